@@ -4,24 +4,33 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from obsq.schema import (
-    ACKNOWLEDGED,
-    INCIDENT_PREFERENCES,
-    MONITOR_STATUSES,
-    OPEN,
-    PERIODS,
-    RUNNING,
-    TAGS,
-)
+from pyspark.sql import DataFrame, SparkSession
+
+from obsq.schema import INCIDENT_PREFERENCES, MONITOR_STATUSES, PERIODS
 from obsq.sources.catalog import union_kinds
 
-# The market segments of the sample data, in alphabetical order.
+# --- fixed values ----------------------------------------------------------
+# The columns of the sample tables, and the market segments they use.
+
+SAMPLE_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "pages": "page_id bigint, url string, html string",
+}
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
-ACCOUNTS = 25
 TABLE_NAMES = [
     "account",
     "entity",
@@ -39,46 +48,31 @@ TABLE_NAMES = [
 ]
 
 
-def _guid(kind: str, key: str | Column) -> Column:
-    value = F.col(key) if isinstance(key, str) else key
-    return F.concat(F.lit(f"{kind}|"), value.cast("string"))
-
-
-def _text(prefix: str, value: Column) -> Column:
-    return F.concat(F.lit(prefix), value.cast("string"))
-
-
-def _pick(values: list[str], index: Column) -> Column:
-    return F.get(F.array([F.lit(v) for v in values]), index.cast("int"))
-
+def _array(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
-def _tag(key: str, value: Column) -> Column:
-    return F.struct(F.lit(key).alias("key"), value.alias("value"))
 
-
-def _severity(balance: Column) -> Column:
-    return F.when(balance < 0, "CRITICAL").when(balance < 1000, "WARNING")
+def _common(kind: str, key: str, name: str, account: str, domain: str, entity_type: str):
+    return [
+        f"concat('{kind}|', {key}) AS guid",
+        f"{name} AS name",
+        f"CAST({account} AS int) AS account_id",
+        f"'{domain}' AS domain",
+        f"'{entity_type}' AS type",
+        f"'{domain}_{entity_type}' AS entity_type",
+        f"concat('https://example.test/{kind}|', {key}) AS permalink",
+    ]
 
 
-def _level(priority: Column) -> Column:
-    return (
-        F.when(priority.isin("1-URGENT", "2-HIGH"), "CRITICAL")
-        .when(priority == "3-MEDIUM", "WARNING")
-        .otherwise("INFO")
-    )
+def _severity(balance: str) -> str:
+    return f"CASE WHEN {balance} < 0 THEN 'CRITICAL' WHEN {balance} < 1000 THEN 'WARNING' END"
 
 
-def _common(kind: str, key: str, name: str, account: Column, domain: str, entity_type: str):
-    guid = _guid(kind, key)
-    return [
-        guid.alias("guid"),
-        F.col(name).alias("name"),
-        account.cast("int").alias("account_id"),
-        F.lit(domain).alias("domain"),
-        F.lit(entity_type).alias("type"),
-        F.lit(f"{domain}_{entity_type}").alias("entity_type"),
-        F.concat(F.lit("https://example.test/"), guid).alias("permalink"),
-    ]
+NO_TAGS = "CAST(array() AS array<struct<key: string, value: string>>) AS tags"
+LEVEL = (
+    "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'CRITICAL'"
+    " WHEN o_orderpriority = '3-MEDIUM' THEN 'WARNING' ELSE 'INFO' END"
+)
 
 
 class Fixtures:
@@ -89,118 +83,91 @@ class Fixtures:
         self.folder = folder
 
     def sample(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SAMPLE_COLUMNS[name]).parquet(
+            f"{self.folder}/{name}.parquet"
+        )
 
     def tables(self, *names: str) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in (names or TABLE_NAMES)}
 
     @cached_property
     def account(self) -> DataFrame:
-        return self.sample("nation").select(
-            F.col("n_nationkey").alias("account_id"), F.col("n_name").alias("name")
-        )
+        return self.sample("nation").selectExpr("n_nationkey AS account_id", "n_name AS name")
 
     # --- entities ---
 
     @cached_property
     def applications(self) -> DataFrame:
-        key = F.col("c_custkey")
-        places = (
-            self.sample("nation")
-            .join(self.sample("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-            .select("n_nationkey", "r_name")
-        )
+        customers = self.sample("customer").withColumnRenamed("c_nationkey", "n_nationkey")
+        nations = self.sample("nation").withColumnRenamed("n_regionkey", "r_regionkey")
         return (
-            self.sample("customer")
-            .join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-            .select(
-                *_common("APM", "c_custkey", "c_name", F.col("c_nationkey"), "APM", "APPLICATION"),
-                (F.col("c_acctbal") >= 0).alias("reporting"),
-                _severity(F.col("c_acctbal")).alias("alert_severity"),
-                F.array(
-                    _tag("segment", F.col("c_mktsegment")), _tag("region", F.col("r_name"))
-                ).alias("tags"),
-                F.struct(
-                    F.lower("c_mktsegment").alias("language"),
-                    F.col("c_name").alias("application_name"),
-                    _text("1.", key % 5).alias("min_version"),
-                    _text("2.", key % 7).alias("max_version"),
-                ).alias("apm"),
+            customers.join(nations, "n_nationkey", "left")
+            .join(self.sample("region"), "r_regionkey", "left")
+            .selectExpr(
+                *_common("APM", "c_custkey", "c_name", "n_nationkey", "APM", "APPLICATION"),
+                "c_acctbal >= 0 AS reporting",
+                f"{_severity('c_acctbal')} AS alert_severity",
+                "array(struct('segment' AS key, c_mktsegment AS value),"
+                " struct('region' AS key, r_name AS value)) AS tags",
+                "struct(lower(c_mktsegment) AS language, c_name AS application_name,"
+                " concat('1.', c_custkey % 5) AS min_version,"
+                " concat('2.', c_custkey % 7) AS max_version) AS apm",
             )
         )
 
     @cached_property
     def hosts(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        balance = F.col("s_acctbal")
-        return self.sample("supplier").select(
-            *_common("INFRA", "s_suppkey", "s_name", F.col("s_nationkey"), "INFRA", "HOST"),
-            (balance >= 0).alias("reporting"),
-            _severity(balance).alias("alert_severity"),
-            F.array().cast(TAGS).alias("tags"),
-            F.struct(
-                F.struct(
-                    (balance / 100.0).alias("cpu_utilization_percent"),
-                    (key % 100).cast("double").alias("disk_used_percent"),
-                    (key % 90).cast("double").alias("memory_used_percent"),
-                    (balance * 2.0).alias("network_receive_rate"),
-                    (balance * 0.5).alias("network_transmit_rate"),
-                ).alias("summary"),
-                F.when(key % 2 == 0, "linux").otherwise("windows").alias("operating_system"),
-                ((key % 8 + 1) * F.lit(1024 * 1024 * 1024)).alias("system_memory_bytes"),
-                (key % 16 + 1).cast("int").alias("processor_count"),
-                _text("5.", key % 20).alias("kernel_version"),
-                _text("1.", key % 50).alias("agent_version"),
-            ).alias("host"),
+        return self.sample("supplier").selectExpr(
+            *_common("INFRA", "s_suppkey", "s_name", "s_nationkey", "INFRA", "HOST"),
+            "s_acctbal >= 0 AS reporting",
+            f"{_severity('s_acctbal')} AS alert_severity",
+            NO_TAGS,
+            "struct("
+            " struct(s_acctbal / 100D AS cpu_utilization_percent,"
+            "  CAST(s_suppkey % 100 AS double) AS disk_used_percent,"
+            "  CAST(s_suppkey % 90 AS double) AS memory_used_percent,"
+            "  s_acctbal * 2D AS network_receive_rate,"
+            "  s_acctbal * 0.5D AS network_transmit_rate) AS summary,"
+            " if(s_suppkey % 2 = 0, 'linux', 'windows') AS operating_system,"
+            " (s_suppkey % 8 + 1) * 1073741824 AS system_memory_bytes,"
+            " CAST(s_suppkey % 16 + 1 AS int) AS processor_count,"
+            " concat('5.', s_suppkey % 20) AS kernel_version,"
+            " concat('1.', s_suppkey % 50) AS agent_version) AS host",
         )
 
     @cached_property
     def monitors(self) -> DataFrame:
-        key = F.col("p_partkey")
-        words = F.split("p_name", " ")
-        status = _pick(MONITOR_STATUSES, F.col("p_size") % 3)
-        private = F.struct(
-            _text("LOCP|", key % 4).alias("guid"), _text("private-", key % 4).alias("name")
-        )
-        return self.sample("part").select(
-            *_common("SYNTH", "p_partkey", "p_name", key % ACCOUNTS, "SYNTH", "MONITOR"),
-            (status == "ENABLED").alias("reporting"),
-            F.array(
-                _tag("brand", F.col("p_brand")),
-                _tag("word", F.get(words, F.lit(0))),
-                _tag("word", F.get(words, F.lit(1))),
-            ).alias("tags"),
-            F.struct(
-                F.col("p_type").alias("monitor_type"),
-                _pick(PERIODS, key % 9).alias("period"),
-                status.alias("status"),
-                F.array(_text("LOC_", key % 3), _text("LOC_", key % 5)).alias("locations_public"),
-                F.array(private).alias("locations_private"),
-                F.when(key % 4 == 0, F.concat(F.lit("// "), "p_name")).alias("script_text"),
-            ).alias("monitor"),
+        status = f"get({_array(MONITOR_STATUSES)}, p_size % 3)"
+        return self.sample("part").selectExpr(
+            *_common("SYNTH", "p_partkey", "p_name", "p_partkey % 25", "SYNTH", "MONITOR"),
+            f"{status} = 'ENABLED' AS reporting",
+            "array(struct('brand' AS key, p_brand AS value),"
+            " struct('word' AS key, split_part(p_name, ' ', 1) AS value),"
+            " struct('word' AS key, split_part(p_name, ' ', 2) AS value)) AS tags",
+            "struct(p_type AS monitor_type,"
+            f" get({_array(PERIODS)}, CAST(p_partkey % 9 AS int)) AS period,"
+            f" {status} AS status,"
+            " array(concat('LOC_', p_partkey % 3), concat('LOC_', p_partkey % 5))"
+            "  AS locations_public,"
+            " array(struct(concat('LOCP|', p_partkey % 4) AS guid,"
+            "  concat('private-', p_partkey % 4) AS name)) AS locations_private,"
+            " if(p_partkey % 4 = 0, concat('// ', p_name), NULL) AS script_text) AS monitor",
         )
 
     @cached_property
     def browser_applications(self) -> DataFrame:
-        key = F.col("page_id")
-        return self.sample("pages").select(
-            *_common("BROWSER", "page_id", "url", key % ACCOUNTS, "BROWSER", "APPLICATION"),
-            F.lit(True).alias("reporting"),
-            F.array().cast(TAGS).alias("tags"),
-            F.struct(
-                _text("1.", key % 30).alias("serving_agent_version"),
-                F.col("url").alias("application_name"),
-                key.alias("application_id"),
-            ).alias("browser"),
+        return self.sample("pages").selectExpr(
+            *_common("BROWSER", "page_id", "url", "page_id % 25", "BROWSER", "APPLICATION"),
+            "true AS reporting",
+            NO_TAGS,
+            "struct(concat('1.', page_id % 30) AS serving_agent_version,"
+            " url AS application_name, page_id AS application_id) AS browser",
         )
 
     @cached_property
     def dashboards(self) -> DataFrame:
-        return self.sample("nation").select(
-            *_common(
-                "DASH", "n_nationkey", "n_name", F.col("n_nationkey"), "VIZ", "DASHBOARD"
-            ),
-            F.array().cast(TAGS).alias("tags"),
+        return self.sample("nation").selectExpr(
+            *_common("DASH", "n_nationkey", "n_name", "n_nationkey", "VIZ", "DASHBOARD"), NO_TAGS
         )
 
     @cached_property
@@ -219,44 +186,38 @@ class Fixtures:
 
     @cached_property
     def violation(self) -> DataFrame:
-        return self.sample("orders").select(
-            F.col("o_orderkey").alias("violation_id"),
-            _guid("APM", "o_custkey").alias("guid"),
-            _text("Violation ", F.col("o_orderkey")).alias("label"),
-            _level(F.col("o_orderpriority")).alias("level"),
-            F.col("o_orderdate").alias("opened_at"),
-            F.when(
-                F.col("o_orderstatus") == "F", F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")
-            ).alias("closed_at"),
+        return self.sample("orders").selectExpr(
+            "o_orderkey AS violation_id",
+            "concat('APM|', o_custkey) AS guid",
+            "concat('Violation ', o_orderkey) AS label",
+            f"{LEVEL} AS level",
+            "o_orderdate AS opened_at",
+            "if(o_orderstatus = 'F', o_orderdate + INTERVAL 1 DAY, NULL) AS closed_at",
         )
 
     @cached_property
     def policy(self) -> DataFrame:
-        number = F.col("n_nationkey").cast("bigint") * 10 + F.col("i")
+        """A policy per nation and segment."""
         return (
             self.sample("nation")
-            .select(
-                "n_nationkey",
-                "n_name",
-                F.posexplode(F.array([F.lit(s) for s in SEGMENTS])).alias("i", "segment"),
-            )
-            .select(
-                number.alias("policy_id"),
-                F.concat_ws(" ", "segment", "n_name").alias("name"),
-                _pick(INCIDENT_PREFERENCES, number % 3).alias("incident_preference"),
-                F.col("n_nationkey").alias("account_id"),
+            .selectExpr("*", f"posexplode({_array(SEGMENTS)}) AS (i, segment)")
+            .selectExpr(
+                "n_nationkey * 10L + i AS policy_id",
+                "concat(segment, ' ', n_name) AS name",
+                f"get({_array(INCIDENT_PREFERENCES)}, (n_nationkey * 10 + i) % 3)"
+                " AS incident_preference",
+                "n_nationkey AS account_id",
             )
         )
 
     @cached_property
     def alert_condition(self) -> DataFrame:
-        key = F.col("p_partkey")
-        return self.sample("part").select(
-            key.alias("condition_id"),
-            F.col("p_name").alias("name"),
-            (F.col("p_size") > 25).alias("enabled"),
-            ((key % 25) * 10 + key % 5).alias("policy_id"),
-            _guid("INFRA", key % 10).alias("guid"),
+        return self.sample("part").selectExpr(
+            "p_partkey AS condition_id",
+            "p_name AS name",
+            "p_size > 25 AS enabled",
+            "(p_partkey % 25) * 10 + p_partkey % 5 AS policy_id",
+            "concat('INFRA|', p_partkey % 10) AS guid",
         )
 
     @cached_property
@@ -265,92 +226,85 @@ class Fixtures:
             self.sample("lineitem")
             .select("l_suppkey", "l_partkey")
             .distinct()
-            .select(
-                _guid("INFRA", "l_suppkey").alias("source_guid"),
-                _guid("SYNTH", "l_partkey").alias("target_guid"),
-                F.lit("SERVES").alias("type"),
+            .selectExpr(
+                "concat('INFRA|', l_suppkey) AS source_guid",
+                "concat('SYNTH|', l_partkey) AS target_guid",
+                "'SERVES' AS type",
             )
         )
 
     @cached_property
     def app_instance(self) -> DataFrame:
-        key = F.col("event_id")
-        return self.sample("events").select(
-            key.alias("instance_id"),
-            _guid("APM", "user_id").alias("guid"),
-            _text("host-", key % 50).alias("host"),
-            (key % 1000 + 8000).cast("int").alias("port"),
-            _text("1.", key % 5).alias("agent_version"),
-            F.when(F.col("event_type") == "error", "STOPPED").otherwise(RUNNING).alias("state"),
+        return self.sample("events").selectExpr(
+            "event_id AS instance_id",
+            "concat('APM|', user_id) AS guid",
+            "concat('host-', event_id % 50) AS host",
+            "CAST(event_id % 1000 + 8000 AS int) AS port",
+            "concat('1.', event_id % 5) AS agent_version",
+            "if(event_type = 'error', 'STOPPED', 'RUNNING') AS state",
         )
 
     @cached_property
     def dashboard_page(self) -> DataFrame:
-        return self.sample("customer").select(
-            _guid("DASH", "c_nationkey").alias("dashboard_guid"),
-            _guid("PAGE", "c_custkey").alias("page_guid"),
-            F.col("c_name").alias("name"),
-            F.col("c_custkey").alias("position"),
+        return self.sample("customer").selectExpr(
+            "concat('DASH|', c_nationkey) AS dashboard_guid",
+            "concat('PAGE|', c_custkey) AS page_guid",
+            "c_name AS name",
+            "c_custkey AS position",
         )
 
     @cached_property
     def dashboard_widget(self) -> DataFrame:
-        return self.sample("orders").select(
-            _guid("PAGE", "o_custkey").alias("page_guid"),
-            F.col("o_orderkey").alias("widget_id"),
-            _text("Widget ", F.col("o_orderkey")).alias("title"),
-            F.col("o_orderpriority").alias("visualization"),
+        return self.sample("orders").selectExpr(
+            "concat('PAGE|', o_custkey) AS page_guid",
+            "o_orderkey AS widget_id",
+            "concat('Widget ', o_orderkey) AS title",
+            "o_orderpriority AS visualization",
         )
 
     # --- incidents ---
 
     @cached_property
     def incident(self) -> DataFrame:
-        key = F.col("o_orderkey")
-        priority = _level(F.col("o_orderpriority"))
-        state = (
-            F.when(F.col("o_orderstatus") == "O", OPEN)
-            .when(F.col("o_orderstatus") == "P", ACKNOWLEDGED)
-            .otherwise("CLOSED")
-        )
-        customers = self.sample("customer").join(
-            self.sample("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
+        customers = (
+            self.sample("customer")
+            .withColumnRenamed("c_nationkey", "n_nationkey")
+            .join(self.sample("nation"), "n_nationkey", "left")
+            .withColumnRenamed("c_custkey", "o_custkey")
         )
         return (
             self.sample("orders")
-            .join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
-            .select(
-                key.alias("incident_id"),
-                F.concat_ws(" on ", priority, "c_name").alias("title"),
-                priority.alias("priority"),
-                state.alias("state"),
-                F.concat_ws(" ", "c_mktsegment", "n_name").alias("policy_name"),
-                _text("Condition ", key % 100).alias("condition_name"),
-                _guid("APM", "o_custkey").alias("entity_guid"),
-                F.col("o_orderdate").alias("started_at"),
-                (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("updated_at"),
-                _text("Incident ", key).alias("description"),
-                _text("https://example.test/violation/", key).alias("violation_url"),
-                F.col("c_nationkey").alias("account_id"),
+            .join(customers, "o_custkey", "left")
+            .selectExpr(
+                "o_orderkey AS incident_id",
+                f"concat({LEVEL}, ' on ', c_name) AS title",
+                f"{LEVEL} AS priority",
+                "CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'P' THEN 'ACKNOWLEDGED'"
+                " ELSE 'CLOSED' END AS state",
+                "concat(c_mktsegment, ' ', n_name) AS policy_name",
+                "concat('Condition ', o_orderkey % 100) AS condition_name",
+                "concat('APM|', o_custkey) AS entity_guid",
+                "o_orderdate AS started_at",
+                "o_orderdate + INTERVAL 1 DAY AS updated_at",
+                "concat('Incident ', o_orderkey) AS description",
+                "concat('https://example.test/violation/', o_orderkey) AS violation_url",
+                "n_nationkey AS account_id",
             )
         )
 
     @cached_property
     def incident_ack(self) -> DataFrame:
-        key = F.col("event_id")
         return (
             self.sample("events")
-            .filter(F.col("event_type") == "click")
-            .select(
-                key.alias("req_id"),
-                F.when(key % 10 == 9, key + 1000000)
-                .when(key % 10 == 8, -key)
-                .otherwise(key % 700)
-                .alias("incident_id"),
-                F.lit(None).cast("int").alias("account_id"),
-                F.when(key % 3 == 0, _text("seen by ", F.col("user_id"))).alias("message"),
-                F.col("user_id").cast("string").alias("acknowledged_by"),
-                F.col("ts").alias("acknowledged_at"),
+            .filter("event_type = 'click'")
+            .selectExpr(
+                "event_id AS req_id",
+                "CASE event_id % 10 WHEN 9 THEN event_id + 1000000 WHEN 8 THEN -event_id"
+                " ELSE event_id % 700 END AS incident_id",
+                "CAST(NULL AS int) AS account_id",
+                "if(event_id % 3 = 0, concat('seen by ', user_id), NULL) AS message",
+                "CAST(user_id AS string) AS acknowledged_by",
+                "ts AS acknowledged_at",
             )
         )
 
@@ -358,95 +312,77 @@ class Fixtures:
 
     @cached_property
     def monitor_request(self) -> DataFrame:
-        key = F.col("page_id")
-        second = F.when(key % 13 != 0, _text("LOC_", key % 5))
-        status = (
-            F.when(key % 7 == 0, "PAUSED")
-            .when(key % 7 == 1, "MUTED")
-            .when(key % 7 == 2, "DISABLED")
-            .otherwise("ENABLED")
-        )
-        team = F.when(key % 4 != 0, _text("team-", key % 6))
-        return self.sample("pages").select(
-            key.alias("req_id"),
-            F.when(key % 11 == 0, "").otherwise(_text("mon-", key)).alias("name"),
-            F.col("url").alias("uri"),
-            F.array(_text("LOC_", key % 3), second).alias("locations"),
-            F.coalesce(_pick(PERIODS, key % 10), F.lit("EVERY_WEEK")).alias("period"),
-            status.alias("status"),
-            (key % 24 + 1).cast("int").alias("account_id"),
-            F.array(_tag("team", team)).alias("tags"),
+        return self.sample("pages").selectExpr(
+            "page_id AS req_id",
+            "if(page_id % 11 = 0, '', concat('mon-', page_id)) AS name",
+            "url AS uri",
+            "array(concat('LOC_', page_id % 3),"
+            " if(page_id % 13 = 0, NULL, concat('LOC_', page_id % 5))) AS locations",
+            f"coalesce(get({_array(PERIODS)}, CAST(page_id % 10 AS int)), 'EVERY_WEEK')"
+            " AS period",
+            "CASE page_id % 7 WHEN 0 THEN 'PAUSED' WHEN 1 THEN 'MUTED' WHEN 2 THEN 'DISABLED'"
+            " ELSE 'ENABLED' END AS status",
+            "CAST(page_id % 24 + 1 AS int) AS account_id",
+            "array(struct('team' AS key,"
+            " if(page_id % 4 = 0, NULL, concat('team-', page_id % 6)) AS value)) AS tags",
         )
 
     @cached_property
     def account_request(self) -> DataFrame:
         """One request per customer; every fifth names no account."""
-        key = F.col("c_custkey")
-        return self.sample("customer").select(
-            key.alias("req_id"),
-            F.when(key % 5 != 4, F.col("c_nationkey")).alias("account_id"),
+        return self.sample("customer").selectExpr(
+            "c_custkey AS req_id", "if(c_custkey % 5 = 4, NULL, c_nationkey) AS account_id"
         )
 
     @cached_property
     def lookup_request(self) -> DataFrame:
-        """As above, but every tenth names an account that does not exist."""
-        key = F.col("c_custkey")
-        account = F.col("c_nationkey")
-        return self.sample("customer").select(
-            key.alias("req_id"),
-            F.when(key % 10 == 9, account + 100)
-            .when(key % 10 != 4, account)
-            .alias("account_id"),
+        """As above; some name no account, some one that does not exist."""
+        return self.sample("customer").selectExpr(
+            "c_custkey AS req_id",
+            "CASE c_custkey % 10 WHEN 9 THEN c_nationkey + 100 WHEN 4 THEN NULL"
+            " ELSE c_nationkey END AS account_id",
         )
 
     @cached_property
     def detail_request(self) -> DataFrame:
         """The application behind each event; error events name an unknown GUID."""
-        return self.sample("events").select(
-            F.col("event_id").alias("req_id"),
-            F.when(F.col("event_type") == "error", _guid("MOBILE", "user_id"))
-            .otherwise(_guid("APM", "user_id"))
-            .alias("guid"),
+        return self.sample("events").selectExpr(
+            "event_id AS req_id",
+            "concat(if(event_type = 'error', 'MOBILE|', 'APM|'), user_id) AS guid",
         )
 
     @cached_property
     def search_request(self) -> DataFrame:
         """One search per nation, of four kinds; the last kind has no criterion."""
-        key = F.col("n_nationkey")
-        kind = key % 10
-        return self.sample("nation").select(
-            key.cast("bigint").alias("req_id"),
-            key.alias("account_id"),
-            F.when(kind.between(3, 5), "0001").when(kind.between(6, 8), "red").alias("name"),
-            F.when(kind.between(0, 2), "APM").when(kind.between(3, 5), "INFRA").alias("domain"),
-            F.lit(None).cast("string").alias("type"),
-            F.array().cast(TAGS).alias("tags"),
+        return self.sample("nation").selectExpr(
+            "CAST(n_nationkey AS bigint) AS req_id",
+            "n_nationkey AS account_id",
+            "CASE WHEN n_nationkey % 10 BETWEEN 3 AND 5 THEN '0001'"
+            " WHEN n_nationkey % 10 BETWEEN 6 AND 8 THEN 'red' END AS name",
+            "CASE WHEN n_nationkey % 10 BETWEEN 0 AND 2 THEN 'APM'"
+            " WHEN n_nationkey % 10 BETWEEN 3 AND 5 THEN 'INFRA' END AS domain",
+            "CAST(NULL AS string) AS type",
+            NO_TAGS,
         )
 
     # --- events and replies ---
 
     @cached_property
     def event(self) -> DataFrame:
-        return self.sample("events").withColumn(
-            "account_id", (F.col("user_id") % ACCOUNTS).cast("int")
-        )
+        return self.sample("events").selectExpr("*", "CAST(user_id % 25 AS int) AS account_id")
 
     @cached_property
     def response(self) -> DataFrame:
         """A reply per event, and a page per web page where JSON was expected."""
-        key = F.col("event_id").cast("string")
-        row = F.concat(
-            F.lit('{"id":'), key, F.lit(',"type":"'), F.col("event_type"), F.lit('"}')
-        )
-        failed = F.concat(
-            F.lit('{"data":null,"errors":[{"message":"event '), key, F.lit(' failed"}]}')
+        failed = """concat('{"data":null,"errors":[{"message":"event ', event_id, ' failed"}]}')"""
+        answered = (
+            """concat('{"data":{"rows":[{"id":', event_id, ',"type":"', event_type, '"}]}}')"""
         )
-        answered = F.concat(F.lit('{"data":{"rows":['), row, F.lit("]}}"))
-        replies = self.sample("events").select(
-            F.concat(F.lit("event-"), key).alias("reply_id"),
-            F.when(F.col("event_type") == "error", failed).otherwise(answered).alias("raw"),
+        replies = self.sample("events").selectExpr(
+            "concat('event-', event_id) AS reply_id",
+            f"if(event_type = 'error', {failed}, {answered}) AS raw",
         )
-        pages = self.sample("pages").select(
-            _text("page-", F.col("page_id")).alias("reply_id"), F.col("html").alias("raw")
+        pages = self.sample("pages").selectExpr(
+            "concat('page-', page_id) AS reply_id", "html AS raw"
         )
         return replies.unionByName(pages)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsq.errors import RequestError
 from obsq.plans.skew import salted_left_join
 from obsq.schema import (
     DASHBOARD_PAGES,
@@ -121,10 +122,13 @@ def dashboard_contents(
 def entity_conditions(
     entities: DataFrame, conditions: DataFrame, policies: DataFrame
 ) -> DataFrame:
-    """Alert conditions of each entity with the policy they belong to."""
+    """Alert conditions of each entity with the policy they belong to.
+
+    A condition whose policy is unknown is kept, without the policy's name.
+    """
     policy = policies.select("policy_id", F.col("name").alias("policy_name"))
     return (
-        conditions.join(policy, "policy_id")
+        conditions.join(policy, "policy_id", "left")
         .join(entities.select("guid", F.col("name").alias("entity_name")), "guid")
         .select(
             "guid",
@@ -141,20 +145,28 @@ def entity_conditions(
 def entity_relationships(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges of each entity, as source and as target, with both ends resolved.
 
-    An edge is listed once for each of its ends (once in all if it is a loop);
-    an edge with an unknown end is left out. Both ends are resolved once, and
-    the two listings are made from that, without an OR in a join condition.
+    An edge is listed once for each of its ends that is in the catalog (once in
+    all if it is a loop); the other end may be unknown and is then null. Both
+    ends are resolved once, by two equality joins, and the listings for source
+    and target are made from that without an OR in a join condition.
     """
     def end(side: str) -> DataFrame:
         return entities.select(
             F.col("guid").alias(f"{side}_guid"),
             F.col("name").alias(f"{side}_name"),
             F.col("entity_type").alias(f"{side}_type"),
+            F.lit(True).alias(f"_{side}_known"),
         )
 
-    edges = relationships.join(end("source"), "source_guid").join(end("target"), "target_guid")
-    ends = F.array_distinct(F.array("source_guid", "target_guid"))
-    return edges.withColumn("guid", F.explode(ends)).select(
+    # Outer joins keep the edges as the streamed side, whose hot keys can be
+    # split, and leave only the catalog to be broadcast if it is small enough.
+    edges = relationships.join(end("source"), "source_guid", "left").join(
+        end("target"), "target_guid", "left"
+    )
+    known = F.when(F.col("guid") == F.col("source_guid"), F.col("_source_known")).otherwise(
+        F.col("_target_known")
+    )
+    return _by_end(edges).filter(known).select(
         "guid",
         "type",
         "source_guid",
@@ -166,71 +178,96 @@ def entity_relationships(relationships: DataFrame, entities: DataFrame) -> DataF
     )
 
 
+def _by_end(edges: DataFrame) -> DataFrame:
+    """Each edge once per distinct end, as ``guid``."""
+    ends = F.array_distinct(F.array("source_guid", "target_guid"))
+    return edges.withColumn("guid", F.explode(ends))
+
+
 def nested_details(
     entities: DataFrame,
     violations: DataFrame,
     conditions: DataFrame,
+    policies: DataFrame,
     relationships: DataFrame,
     children_per_row: int = CHILDREN_PER_ROW,
 ) -> DataFrame:
     """Entities with their child rows as lists in a fixed order.
 
-    ``violations``, ``conditions`` and ``relationships`` are the results of the
-    functions above. An entity is one row, ``part`` 0, as long as no list is
-    longer than ``children_per_row``. A longer list goes on in further parts,
-    so that no row and no task has to hold a list without bound; the common
-    fields are in part 0 only. Null lists are empty.
+    An entity is one row, ``part`` 0, as long as no list is longer than
+    ``children_per_row``. A longer list is spread over further parts, so that no
+    row and no task has to hold a list without bound; the common fields are in
+    part 0 only. A list without children is empty.
+
+    All children meet in one grouping by entity and part. Recent violations are
+    few per entity by definition and need no parts.
     """
-    lists = [
-        _nest(
-            violations, "guid", "violation_id", "recent_violations", children_per_row,
-            ["rank", "violation_id", "label", "level", "opened_at", "closed_at"],
-        ),
-        _nest(
-            conditions, "guid", "condition_id", "conditions", children_per_row,
-            ["condition_id", "condition_name", "enabled", "policy_id", "policy_name"],
-        ),
-        _nest(
-            relationships.withColumn(
-                "_edge", F.concat_ws("\u0001", "source_guid", "target_guid", "type")
-            ),
-            "guid", "_edge", "relationships", children_per_row,
-            ["source_guid", "target_guid", "type", "source_name", "source_type",
-             "target_name", "target_type"],
-        ),
-    ]
+    if children_per_row < RECENT_VIOLATIONS:
+        raise RequestError(f"children_per_row must be at least {RECENT_VIOLATIONS}")
     common = [c for c in COMMON_FIELDS if c != "guid"]
-    parts = entities.select("guid", F.lit(0).cast("bigint").alias("part"), *common)
-    for children in lists:
-        parts = parts.unionByName(children, allowMissingColumns=True)
-    # One row per list and part comes in here, so each group is a handful of rows.
-    fields = [c for c in parts.columns if c not in ("guid", "part")]
-    return parts.groupBy("guid", "part").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in fields]
+    first_part = F.lit(0).cast("bigint").alias("part")
+    recent = recent_violations(violations).select(
+        "guid",
+        first_part,
+        F.struct("rank", "violation_id", "label", "level", "opened_at", "closed_at").alias(
+            "violation"
+        ),
     )
-
-
-def _nest(
-    rows: DataFrame, parent: str, row_id: str, name: str, per_row: int, fields: Sequence[str]
-) -> DataFrame:
-    """Child rows as lists of about ``per_row`` per parent and part.
-
-    A child's part follows from a hash of its id, so parts need no ordering of
-    all children of a parent.
-    """
-    counts = rows.groupBy(parent).agg(F.count("*").alias("_children"))
-    parts = counts.select(
-        parent, "_children", F.ceil(F.col("_children") / per_row).alias("_parts")
-    ).filter(F.col("_parts") > 1)
-    digest = F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 8), 16, 10).cast("bigint")
-    placed = salted_left_join(
-        rows, parts.select(parent, "_parts"), [parent], row_id, counts, "_children"
-    ).withColumn(
+    condition_parts = _parts(conditions, children_per_row)
+    ruled = _placed(
+        entity_conditions(entities, conditions, policies), "condition_id", condition_parts
+    ).select(
+        "guid",
         "part",
-        F.when(F.col("_parts").isNotNull(), F.pmod(digest, F.col("_parts"))).otherwise(
-            F.lit(0).cast("bigint")
-        ),
+        F.struct(
+            "condition_id", "condition_name", "enabled", "policy_id", "policy_name"
+        ).alias("condition"),
     )
-    return placed.groupBy(parent, "part").agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias(name)
+    edge_parts = _parts(_by_end(relationships).select("guid"), children_per_row)
+    edge_id = F.concat_ws("\u0001", "source_guid", "target_guid", "type")
+    linked = _placed(
+        entity_relationships(relationships, entities).withColumn("_edge", edge_id),
+        "_edge",
+        edge_parts,
+    ).select(
+        "guid",
+        "part",
+        F.struct(
+            "source_guid", "target_guid", "type",
+            "source_name", "source_type", "target_name", "target_type",
+        ).alias("relationship"),
     )
+    own = entities.select("guid", first_part, F.struct(*common).alias("entity"))
+    together = own
+    for children in (recent, ruled, linked):
+        together = together.unionByName(children, allowMissingColumns=True)
+    return (
+        together.groupBy("guid", "part")
+        .agg(
+            F.first("entity", ignorenulls=True).alias("entity"),
+            F.sort_array(F.collect_list("violation")).alias("recent_violations"),
+            F.sort_array(F.collect_list("condition")).alias("conditions"),
+            F.sort_array(F.collect_list("relationship")).alias("relationships"),
+        )
+        .select(
+            "guid", "part", "entity.*", "recent_violations", "conditions", "relationships"
+        )
+    )
+
+
+def _parts(children: DataFrame, per_row: int) -> DataFrame:
+    """How many children each parent has, and over how many rows they go."""
+    return children.groupBy("guid").agg(F.count("*").alias("children")).withColumn(
+        "parts", F.ceil(F.col("children") / per_row)
+    )
+
+
+def _placed(rows: DataFrame, row_id: str, sizes: DataFrame) -> DataFrame:
+    """Child rows with their ``part``, which follows from a hash of the child's
+    id: parts are near even without ordering all children of a parent."""
+    long_lists = sizes.filter(F.col("parts") > 1).select("guid", "parts")
+    digest = F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 8), 16, 10)
+    part = F.when(F.col("parts").isNotNull(), F.pmod(digest.cast("bigint"), F.col("parts")))
+    return salted_left_join(
+        rows, long_lists, ["guid"], row_id, sizes, "children"
+    ).withColumn("part", F.coalesce(part, F.lit(0).cast("bigint")))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsq.errors import RequestError
@@ -109,8 +109,9 @@ def timeseries_filled(
 ) -> DataFrame:
     """As :func:`timeseries` over a window, with empty buckets as zero.
 
-    Every facet value seen in the window gets every bucket of it. The buckets
-    come from a sequence per facet value, not from a join of the two.
+    Every facet value seen in the window gets every bucket of it. The events are
+    read once: gaps are filled between the buckets that were found, in a window
+    that holds one row per bucket of a facet value, not one per event.
     """
     found = timeseries(scan_events(events, None, begin, end), aggregates, bucket, facets, origin)
     names = _names(events, facets)
@@ -119,26 +120,30 @@ def timeseries_filled(
     first = _floor(begin, size, origin)
     last = _floor(end - timedelta(microseconds=1), size, origin)
     step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(size))
-    slots = F.explode(F.sequence(_instant(events, first), _instant(events, last), step))
     if names:
-        values = found.select(*names).distinct()
+        within = Window.partitionBy(*names).orderBy("bucket_start")
+        before = F.lag("bucket_start").over(within)
+        behind = F.lead("bucket_start").over(within)
+        # A bucket stands for the gap behind it, the first one also for that before.
+        spread = found.withColumn(
+            "_from", F.when(before.isNull(), _instant(events, first)).otherwise(F.col("bucket_start"))
+        ).withColumn("_to", F.coalesce(behind - step, _instant(events, last)))
+        slots = spread.withColumn("_slot", F.explode(F.sequence("_from", "_to", step)))
     else:
-        values = events.sparkSession.range(1).select()
-    spine = values.select(*names, slots.alias("bucket_start"))
-    # Facet values may be null, which an ordinary equality would never match.
-    on = F.col("s.bucket_start") == F.col("f.bucket_start")
-    for name in names:
-        on = on & F.col(f"s.`{name}`").eqNullSafe(F.col(f"f.`{name}`"))
-    zeroed = [F.coalesce(F.col(f"f.`{m}`"), F.lit(0)).alias(m) for m in measures]
-    return (
-        spine.alias("s")
-        .join(found.alias("f"), on, "left")
-        .select(
-            F.col("s.bucket_start").alias("bucket_start"),
-            (F.col("s.bucket_start") + step).alias("bucket_end"),
-            *[F.col(f"s.`{n}`").alias(n) for n in names],
-            *zeroed,
+        count = (last - first) // timedelta(seconds=size) + 1
+        offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id") * size)
+        spine = events.sparkSession.range(count).select(
+            (_instant(events, first) + offset).alias("_slot")
         )
+        slots = spine.join(found, F.col("_slot") == F.col("bucket_start"), "left")
+    return slots.select(
+        F.col("_slot").alias("bucket_start"),
+        (F.col("_slot") + step).alias("bucket_end"),
+        *names,
+        *[
+            F.when(F.col("_slot") == F.col("bucket_start"), F.col(m)).otherwise(F.lit(0)).alias(m)
+            for m in measures
+        ],
     )
 
 

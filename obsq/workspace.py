@@ -137,9 +137,10 @@ class Workspace:
     def nested_details(self, children_per_row: int = details.CHILDREN_PER_ROW) -> DataFrame:
         return details.nested_details(
             self.tables["entity"],
-            self.recent_violations(),
-            self.entity_conditions(),
-            self.entity_relationships(),
+            self.tables["violation"],
+            self.tables["alert_condition"],
+            self.tables["policy"],
+            self.tables["relationship"],
             children_per_row,
         )
 

@@ -335,9 +335,12 @@ LEFT JOIN part ON 'SYNTH|' || p_partkey = e.guid""",
   SELECT DISTINCT guid, part FROM placed UNION SELECT guid, 0 FROM entity
 )
 SELECT s.guid, s.part::BIGINT AS part, CASE WHEN s.part = 0 THEN e.name END AS name,
-       string_agg(p.item, ',' ORDER BY p.place) FILTER (WHERE p.list = 'v') AS violations,
-       string_agg(p.item, ',' ORDER BY p.place) FILTER (WHERE p.list = 'c') AS conditions,
-       string_agg(p.item, ',' ORDER BY p.place) FILTER (WHERE p.list = 'r') AS relationships
+       coalesce(string_agg(p.item, ',' ORDER BY p.place) FILTER (WHERE p.list = 'v'), '')
+         AS violations,
+       coalesce(string_agg(p.item, ',' ORDER BY p.place) FILTER (WHERE p.list = 'c'), '')
+         AS conditions,
+       coalesce(string_agg(p.item, ',' ORDER BY p.place) FILTER (WHERE p.list = 'r'), '')
+         AS relationships
 FROM slot s LEFT JOIN placed p ON p.guid = s.guid AND p.part = s.part
 LEFT JOIN entity e ON e.guid = s.guid
 GROUP BY s.guid, s.part, e.name""",

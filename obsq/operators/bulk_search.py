@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from obsq.errors import RequestError
 from obsq.functions.predicates import given, well_formed_tags
 from obsq.operators.search import BASIC_FIELDS
+from obsq.plans.sizes import fits_broadcast
 
-PIECE = 3
+# Lengths of the pieces of a name that serve as probes. A search for a single
+# character is too common to be helped by one.
+PIECES = (2, 3)
 
 
 @dataclass(frozen=True)
@@ -67,13 +70,12 @@ def search_entities_bulk(entities: DataFrame, requests: DataFrame) -> BulkSearch
         F.lit("at least one of name, type, domain and tags is needed").alias("message"),
     )
 
+    few = fits_broadcast(requests)
+    sent = F.broadcast if few else (lambda rows: rows)
     asked = valid.select("req_id", F.explode(_request_probes()).alias("probe"))
-    offered = entities.select(
-        *BASIC_FIELDS, "type", F.explode(_entity_probes()).alias("probe")
-    )
     frequency = (
-        offered.select("probe")
-        .join(asked.select("probe").distinct(), "probe", "left_semi")
+        _offered(entities)
+        .join(sent(asked.select("probe").distinct()), "probe", "left_semi")
         .groupBy("probe")
         .agg(F.count("*").alias("n"))
     )
@@ -83,11 +85,15 @@ def search_entities_bulk(entities: DataFrame, requests: DataFrame) -> BulkSearch
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "probe")).alias("best"))
         .select("req_id", F.col("best.probe").alias("probe"))
     )
-    matches = (
-        offered.join(valid.join(rarest, "req_id"), "probe")
-        .filter(_satisfies())
-        .select("req_id", *BASIC_FIELDS)
-    )
+    chosen = valid.join(rarest, "req_id")
+    if few:
+        # One row per request: the catalog stays where it is.
+        candidates = _offered(entities, *BASIC_FIELDS, "type").join(sent(chosen), "probe")
+    else:
+        # Only GUIDs and probes are shuffled; the fields join the pairs that meet.
+        met = _offered(entities, "guid").join(chosen, "probe")
+        candidates = met.join(entities.select(*BASIC_FIELDS, "type"), "guid")
+    matches = candidates.filter(_satisfies()).select("req_id", *BASIC_FIELDS)
     return BulkSearch(matches, errors)
 
 
@@ -106,60 +112,86 @@ def _satisfies() -> Column:
     )
 
 
-def _probe(kind: str, *parts: Column) -> Column:
-    return F.xxhash64(F.lit(kind), *parts)
+def _name_probe(piece: Column) -> Column:
+    return F.concat(F.lit("name:"), piece)
 
 
-def _pieces(text: Column) -> Column:
-    """The pieces of a text: its runs of three characters, or a shorter text."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (PIECE - 1), F.lit(1)))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(PIECE)))
+def _tag_probe(tag: Column) -> Column:
+    # The length keeps a key that contains "=" apart from one that does not.
+    key = tag["key"]
+    return F.concat(F.lit("tag:"), F.length(key).cast("string"), F.lit(":"), key, F.lit("="), tag["value"])
 
 
-def _all_pieces(text: Column) -> Column:
-    """Every run of one to three characters: all that a request may ask for."""
-    every = F.transform(
-        F.sequence(F.lit(1), F.length(text)),
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.lit(PIECE)), lambda size: F.substring(text, i, size)
-        ),
-    )
-    return F.when(F.length(text) > 0, F.flatten(every)).otherwise(F.array().cast("array<string>"))
+def _domain_probe(domain: Column) -> Column:
+    return F.concat(F.lit("domain:"), domain)
+
+
+def _type_probe(entity_type: Column) -> Column:
+    return F.concat(F.lit("type:"), entity_type)
+
+
+ANY_PROBE = "any:"
 
 
-def _scoped(account: Column, conditions: Column) -> Column:
-    """The same conditions within one account."""
-    return F.transform(conditions, lambda c: _probe("account", account, c))
+def _within(account: Column, probe: Column) -> Column:
+    return F.concat(F.lit("in "), account.cast("string"), F.lit(" "), probe)
 
 
 def _request_probes() -> Column:
     """One probe per criterion of a request, within its account if it has one."""
-    none = F.array().cast("array<bigint>")
-    literal_runs = F.filter(F.split("r_name", "[%_]"), lambda run: F.length(run) > 0)
-    pieces = F.flatten(F.transform(literal_runs, _pieces))
-    conditions = F.concat(
-        F.coalesce(F.transform(pieces, lambda p: _probe("name", p)), none),
-        F.coalesce(F.transform("r_tags", lambda t: _probe("tag", t["key"], t["value"])), none),
-        F.when(F.col("r_domain").isNotNull(), F.array(_probe("domain", F.col("r_domain")))).otherwise(none),
-        F.when(F.col("r_type").isNotNull(), F.array(_probe("type", F.col("r_type")))).otherwise(none),
+    none = F.array().cast("array<string>")
+    shortest, longest = PIECES
+
+    def pieces(run: Column) -> Column:
+        size = F.when(F.length(run) < longest, F.lit(shortest)).otherwise(F.lit(longest))
+        starts = F.sequence(F.lit(1), F.length(run) - size + 1)
+        return F.transform(starts, lambda start: _name_probe(F.substring(run, start, size)))
+
+    runs = F.filter(F.split("r_name", "[%_]"), lambda run: F.length(run) >= shortest)
+    probes = F.concat(
+        F.coalesce(F.flatten(F.transform(runs, pieces)), none),
+        F.coalesce(F.transform("r_tags", _tag_probe), none),
+        F.coalesce(F.array_compact(F.array(_domain_probe(F.col("r_domain")))), none),
+        F.coalesce(F.array_compact(F.array(_type_probe(F.col("r_type")))), none),
     )
-    # A name of wildcards only restricts nothing a probe could find.
-    conditions = F.when(F.size(conditions) > 0, conditions).otherwise(F.array(_probe("any")))
-    scoped = F.when(
-        F.col("r_account_id").isNotNull(), _scoped(F.col("r_account_id"), conditions)
-    ).otherwise(conditions)
-    return F.array_distinct(scoped)
-
-
-def _entity_probes() -> Column:
-    """Everything a request could ask of an entity, with and without its account."""
-    none = F.array().cast("array<bigint>")
-    conditions = F.concat(
-        F.coalesce(F.transform(_all_pieces(F.col("name")), lambda p: _probe("name", p)), none),
-        F.coalesce(F.transform("tags", lambda t: _probe("tag", t["key"], t["value"])), none),
-        F.array(
-            _probe("domain", F.col("domain")), _probe("type", F.col("type")), _probe("any")
-        ),
+    # A name of wildcards or a single character leaves nothing better to go by.
+    probes = F.when(F.size(probes) > 0, probes).otherwise(F.array(F.lit(ANY_PROBE)))
+    scoped = F.transform(probes, lambda probe: _within(F.col("r_account_id"), probe))
+    return F.array_distinct(
+        F.when(F.col("r_account_id").isNull(), probes).otherwise(scoped)
+    )
+
+
+def _offered(entities: DataFrame, *columns: str) -> DataFrame:
+    """Every probe an entity offers, alone and within its account, each once.
+
+    The probes are numbered: pieces of the name by place and length, then tags,
+    then domain, type and the probe every entity has. One sequence of numbers
+    per entity is exploded, and each number is turned into its probe.
+    """
+    shortest, longest = PIECES
+    name, tags, slot = F.col("name"), F.col("_tags"), F.col("_slot")
+    pieces, labels = F.col("_pieces"), F.col("_labels")
+    start = F.floor(slot / 2).cast("int") + 1
+    size = F.when(slot % 2 == 0, F.lit(shortest)).otherwise(F.lit(longest))
+    piece = F.substring(name, start, size)
+    # A piece that occurs again, or is cut short by the end, is offered elsewhere.
+    first_of_its_kind = (F.length(piece) == size) & (F.instr(name, piece) == start)
+    probe = (
+        F.when((slot < pieces) & first_of_its_kind, _name_probe(piece))
+        .when(slot < pieces, F.lit(None))
+        .when(slot < pieces + labels, _tag_probe(F.get(tags, slot - pieces)))
+        .when(slot == pieces + labels, _domain_probe(F.col("domain")))
+        .when(slot == pieces + labels + 1, _type_probe(F.col("type")))
+        .otherwise(F.lit(ANY_PROBE))
+    )
+    scoped = F.array(F.col("probe"), _within(F.col("account_id"), F.col("probe")))
+    return (
+        entities.withColumn("_tags", F.array_distinct("tags"))
+        .withColumn("_pieces", F.coalesce(2 * F.length(name), F.lit(0)))
+        .withColumn("_labels", F.coalesce(F.size("_tags"), F.lit(0)))
+        .withColumn("_slot", F.explode(F.sequence(F.lit(0), pieces + labels + 2)))
+        .withColumn("probe", probe)
+        .filter(F.col("probe").isNotNull())
+        .select(*columns, F.explode(scoped).alias("probe"))
     )
-    # Repeats are removed, so a search meets each of its entities once.
-    return F.array_distinct(F.concat(conditions, _scoped(F.col("account_id"), conditions)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsq.errors import RequestError
+from obsq.plans.sizes import fits_broadcast
 from obsq.plans.skew import salted_left_join
 from obsq.schema import (
     DASHBOARD_PAGES,
@@ -45,6 +46,10 @@ def entity_details(requests: DataFrame, entities: DataFrame) -> DataFrame:
     empty or that no entity has keeps its row, with NOT_FOUND as ``outcome``.
     """
     known = entities.select(*COMMON_FIELDS, F.lit(True).alias("_known"))
+    if fits_broadcast(requests):
+        # The outer join cannot broadcast the requests, a filter of the catalog
+        # can: what is left of it is as small as they are.
+        known = known.join(F.broadcast(requests.select("guid").distinct()), "guid", "left_semi")
     return (
         requests.join(known, "guid", "left")
         .withColumn("outcome", F.when(F.col("_known"), OK).otherwise(NOT_FOUND))

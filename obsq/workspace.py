@@ -41,9 +41,11 @@ class Workspace:
         self.default_account = default_account
 
     @classmethod
-    def at(cls, spark: SparkSession, root: str, default_account: int | None = None) -> Workspace:
-        """A workspace over the table folders under ``root``."""
-        return cls(spark, read_tables(spark, root), default_account)
+    def at(
+        cls, spark: SparkSession, root: str, default_account: int | None = None, *names: str
+    ) -> Workspace:
+        """A workspace over the table folders under ``root``, all or some of them."""
+        return cls(spark, read_tables(spark, root, *names), default_account)
 
     # --- queries over any table ---
 

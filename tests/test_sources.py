@@ -108,7 +108,7 @@ def test_layout_prunes_days_and_domains(spark, fixtures, tmp_path):
     filters = re.search(r"PartitionFilters: \[(.*?)\], Push", plan(window)).group(1)
     assert filters.count("event_date#") == 3, filters
     assert len(events.inputFiles()) >= 30
-    found = Workspace.at(spark, str(tmp_path)).search_entities(domain="INFRA").rows
+    found = Workspace.at(spark, str(tmp_path), None, "entity").search_entities(domain="INFRA").rows
     assert "PartitionFilters: [isnotnull(domain" in plan(found)
 
 

@@ -178,8 +178,7 @@ def _offered(entities: DataFrame, *columns: str) -> DataFrame:
     # A piece that occurs again, or is cut short by the end, is offered elsewhere.
     first_of_its_kind = (F.length(piece) == size) & (F.instr(name, piece) == start)
     probe = (
-        F.when((slot < pieces) & first_of_its_kind, _name_probe(piece))
-        .when(slot < pieces, F.lit(None))
+        F.when(slot < pieces, _name_probe(piece))
         .when(slot < pieces + labels, _tag_probe(F.get(tags, slot - pieces)))
         .when(slot == pieces + labels, _domain_probe(F.col("domain")))
         .when(slot == pieces + labels + 1, _type_probe(F.col("type")))
@@ -191,7 +190,7 @@ def _offered(entities: DataFrame, *columns: str) -> DataFrame:
         .withColumn("_pieces", F.coalesce(2 * F.length(name), F.lit(0)))
         .withColumn("_labels", F.coalesce(F.size("_tags"), F.lit(0)))
         .withColumn("_slot", F.explode(F.sequence(F.lit(0), pieces + labels + 2)))
+        .filter((slot >= pieces) | first_of_its_kind)
         .withColumn("probe", probe)
-        .filter(F.col("probe").isNotNull())
         .select(*columns, F.explode(scoped).alias("probe"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,14 @@ DEFAULT_ACCOUNT = 7
 HOUR = timedelta(hours=1)
 
 
+@lru_cache(maxsize=4)
+def _fixtures(spark: SparkSession, folder: str) -> Fixtures:
+    """The tables of a folder as unread DataFrames, shared by the queries on it."""
+    return Fixtures(configure(spark), folder)
+
+
 def _workspace(spark: SparkSession, folder: str, *names: str) -> Workspace:
-    return Workspace(spark, Fixtures(spark, folder).tables(*names), DEFAULT_ACCOUNT)
+    return Workspace(spark, _fixtures(spark, folder).tables(*names), DEFAULT_ACCOUNT)
 
 
 def _entities(spark: SparkSession, folder: str) -> Workspace:
@@ -41,10 +48,6 @@ def _events(spark: SparkSession, folder: str) -> Workspace:
     return _workspace(spark, folder, "event")
 
 
-def _fixtures(spark: SparkSession, folder: str) -> Fixtures:
-    return Fixtures(configure(spark), folder)
-
-
 def _n():
     return F.count("*").alias("n")
 
@@ -81,7 +84,7 @@ def entity_catalog(spark, folder):
 
 
 def account_lookup(spark, folder):
-    requests = Fixtures(spark, folder).lookup_request
+    requests = _fixtures(spark, folder).lookup_request
     return _workspace(spark, folder, "account").lookup_accounts(requests)
 
 
@@ -130,12 +133,12 @@ def entity_search_total(spark, folder):
 
 
 def entity_search_bulk(spark, folder):
-    requests = Fixtures(spark, folder).search_request
+    requests = _fixtures(spark, folder).search_request
     return _entities(spark, folder).search_entities_bulk(requests).matches.drop("tags")
 
 
 def entity_exact_match(spark, folder):
-    everywhere = Workspace(spark, Fixtures(spark, folder).tables("entity"))
+    everywhere = Workspace(spark, _fixtures(spark, folder).tables("entity"))
     return _with_tags_text(everywhere.find_exact("red widget", "SYNTH", "MONITOR"))
 
 
@@ -159,7 +162,7 @@ def monitor_list(spark, folder):
 
 
 def entity_detail(spark, folder):
-    requests = Fixtures(spark, folder).detail_request
+    requests = _fixtures(spark, folder).detail_request
     return _with_tags_text(_entities(spark, folder).entity_details(requests))
 
 
@@ -393,7 +396,7 @@ def incident_ack_outcome(spark, folder):
 
 
 def monitor_create(spark, folder):
-    requests = Fixtures(spark, folder).monitor_request
+    requests = _fixtures(spark, folder).monitor_request
     created = _workspace(spark, folder, "account").check_monitors(requests).created
     return _with_tags_text(created).withColumn(
         "locations_public", F.array_join("locations.public", ";")
@@ -401,7 +404,7 @@ def monitor_create(spark, folder):
 
 
 def monitor_create_errors(spark, folder):
-    requests = Fixtures(spark, folder).monitor_request
+    requests = _fixtures(spark, folder).monitor_request
     return _workspace(spark, folder, "account").check_monitors(requests).rejected
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from obsq.schema import EXCERPT_CHARS
+from obsq.schema import EXCERPT_CHARS, OK
 
 
 def tags_text(tags: Column) -> Column:
@@ -27,3 +27,11 @@ def excerpt(text: Column) -> Column:
 def json_text(*columns: str | Column, pretty: bool = False) -> Column:
     """One row as JSON text; null fields are left out."""
     return F.to_json(F.struct(*columns), {"pretty": str(pretty).lower()})
+
+
+def reply_text(data: Column, outcome: Column, message: Column | None = None) -> Column:
+    """The answer to one request as JSON text: its data, or why there is none."""
+    said = F.coalesce(message, outcome) if message is not None else outcome
+    errors = F.array(F.struct(said.alias("message"))).alias("errors")
+    answered = F.to_json(F.struct(data.alias("data")))
+    return F.when(outcome == OK, answered).otherwise(F.to_json(F.struct(errors)))

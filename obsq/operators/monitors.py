@@ -89,7 +89,11 @@ def check_monitors(requests: DataFrame, default_account: int | None = None) -> M
 
 
 def as_entities(created: DataFrame) -> DataFrame:
-    """Created monitors as catalog rows, for the union with the other kinds."""
+    """Created monitors as catalog rows, for the union with the other kinds.
+
+    A batch may ask for one monitor twice, and a rerun writes it again: the
+    first request counts.
+    """
     monitor = F.struct(
         F.col("type").alias("monitor_type"),
         "period",
@@ -98,9 +102,7 @@ def as_entities(created: DataFrame) -> DataFrame:
         F.lit(None).alias("locations_private"),
         F.lit(None).alias("script_text"),
     )
-    # A batch may ask for one monitor twice, and a rerun writes it again.
-    return created.dropDuplicates(["guid"]).select(
-        "guid",
+    entity = F.struct(
         "name",
         "account_id",
         F.lit("SYNTH").alias("domain"),
@@ -109,6 +111,8 @@ def as_entities(created: DataFrame) -> DataFrame:
         "tags",
         monitor.cast(MONITOR).alias("monitor"),
     )
+    first = F.min_by(entity, "req_id").alias("first")
+    return created.groupBy("guid").agg(first).select("guid", "first.*")
 
 
 def _outcome() -> Column:

@@ -38,19 +38,15 @@ def read_tables(spark: SparkSession, root: str, *names: str) -> dict[str, DataFr
 
 
 def write_table(rows: DataFrame, root: str, name: str, mode: str = "append") -> None:
-    """Write one logical table in its layout.
-
-    A job that writes by day first brings each day's rows together. The rows of
-    a day are spread over many tasks by a second key, since one busy day would
-    otherwise be written by a single one.
-    """
+    """Write one logical table in its layout."""
     if name == "event":
         rows = rows.withColumn("event_date", F.to_date("ts"))
     rows = rows.select([F.col(f.name).cast(f.dataType) for f in table_schema(name)])
     layout = PARTITIONS.get(name, [])
     if layout:
-        # AQE merges the small partitions and splits the large ones of a
-        # rebalance, so neither tiny files nor one huge task come out of it.
+        # Each folder's rows are brought together. AQE merges small partitions
+        # of a rebalance and splits large ones, so there are neither tiny files
+        # nor one task that writes a busy day alone.
         rows = rows.hint("rebalance", *layout)
     rows.write.mode(mode).partitionBy(*layout).parquet(f"{root}/{name}")
 

@@ -1,6 +1,8 @@
 from datetime import datetime
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from obsq.errors import AccountRequired, RequestError
@@ -183,6 +185,52 @@ def test_workspace_uses_the_log(spark, requests, incidents, catalog):
     assert outcomes(without.acknowledge(requests))["OK"] == 3
 
 
+log_entry = st.tuples(
+    st.integers(-1, 6), st.sampled_from([None, 0, 1, 2]), st.integers(0, 3)
+)
+
+
+@settings(
+    max_examples=5, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True
+)
+@given(
+    st.lists(log_entry, min_size=1, max_size=40),
+    st.lists(st.sampled_from(["OPEN", "CLOSED"]), min_size=5, max_size=5),
+)
+def test_outcomes_match_a_plain_replay(spark, log, states):
+    """Requests replayed one by one, against the same as a table."""
+    base = {(1 + i % 2, i): state for i, state in enumerate(states)}
+    expected, taken = {}, set()
+    numbered = sorted(enumerate(log), key=lambda e: (e[1][2], e[0]))
+    for req, (number, account, _) in numbered:
+        account = 1 if account is None else account
+        if account == 0:
+            outcome = "ACCOUNT"
+        elif number <= 0:
+            outcome = "INVALID_ID"
+        elif (account, number) not in base:
+            outcome = "NOT_FOUND"
+        elif base[account, number] != "OPEN":
+            outcome = "NOT_OPEN"
+        elif (account, number) in taken:
+            outcome = "ALREADY_ACKED"
+        else:
+            outcome = "OK"
+            taken.add((account, number))
+        expected[req] = outcome
+    incidents = table(
+        spark, "incident", *[incident(n, s, a) for (a, n), s in base.items()]
+    ).coalesce(1)
+    requests = table(
+        spark, "incident_ack", *[ack(r, n, t, a) for r, (n, a, t) in enumerate(log)]
+    ).coalesce(1)
+    done = acknowledge.acknowledge(requests, incidents, default_account=1)
+    assert {r.req_id: r.outcome for r in done.collect()} == expected
+    remaining = acknowledge.still_open(incidents, requests, default_account=1)
+    still = {(r.account_id, r.incident_id) for r in remaining.collect()}
+    assert still == {k for k, s in base.items() if s == "OPEN"} - taken
+
+
 def test_outcomes_of_the_sample(fixtures):
     done = acknowledge.acknowledge(
         fixtures.incident_ack, fixtures.incident, default_account=7, match_account=False

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsq.errors import RequestError
-from obsq.functions.rendering import json_text
+from obsq.functions.rendering import json_text, reply_text
 from obsq.operators.events import scan_events
 from obsq.operators.freequery import free_query
 from obsq.operators.replies import parse_replies
@@ -14,7 +14,7 @@ from obsq.schema import TABLES
 from obsq.sources.tables import read_tables, read_table, write_json, write_table
 from obsq.streaming import bucket_stream, read_event_stream
 from obsq.workspace import Workspace
-from tests.helpers import entities, plan, values
+from tests.helpers import entities, outcomes, plan, values
 
 
 def parsed(spark, *texts, path=("rows",)):
@@ -83,6 +83,20 @@ def test_json_output(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
+def test_replies_to_requests_parse_back(spark, fixtures):
+    from obsq.operators.monitors import check_monitors
+
+    batch = check_monitors(fixtures.monitor_request)
+    row = F.struct(F.array(F.struct("name", "period")).alias("rows"))
+    replies = batch.checked.select(
+        "req_id", reply_text(row, F.col("outcome"), F.lit("no")).alias("raw")
+    )
+    parsed_back = parse_replies(replies, ["rows"])
+    assert outcomes(parsed_back, "kind") == {"data": 161, "error": 89}
+    first = parsed_back.filter("kind = 'data'").orderBy("req_id").first()
+    assert json.loads(first.content)["name"] == f"mon-{first.req_id}"
+
+
 def test_tables_survive_a_round_trip(spark, fixtures, tmp_path):
     for name, rows in fixtures.tables().items():
         write_table(rows, str(tmp_path), name)

@@ -16,7 +16,12 @@ if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
 from obsq import ALL_ACCOUNTS, Workspace  # noqa: E402
-from obsq.functions.rendering import json_text, places_text, tags_text  # noqa: E402
+from obsq.functions.rendering import (  # noqa: E402
+    json_text,
+    places_text,
+    reply_text,
+    tags_text,
+)
 from obsq.operators import acknowledge, alerts  # noqa: E402
 from obsq.operators.accounts import resolve_accounts  # noqa: E402
 from obsq.operators.events import attribute, scan_events  # noqa: E402
@@ -88,6 +93,13 @@ def account_lookup(spark, folder):
     return _workspace(spark, folder, "account").lookup_accounts(requests)
 
 
+def account_lookup_json(spark, folder):
+    """The same answers as JSON text, data or errors."""
+    found = account_lookup(spark, folder)
+    data = F.struct(F.col("account_id").alias("id"), "name")
+    return found.select("req_id", reply_text(data, F.col("outcome")).alias("reply"))
+
+
 def account_resolve(spark, folder):
     return resolve_accounts(_fixtures(spark, folder).account_request, DEFAULT_ACCOUNT)
 
@@ -374,6 +386,27 @@ def open_incident_priority(spark, folder):
     return _flat_entity(found.rows)
 
 
+def open_incident_page_next(spark, folder):
+    """The page behind the last incident of some earlier page."""
+    listed = _workspace(spark, folder, "incident", "entity").list_open_incidents(
+        ALL_ACCOUNTS, limit=100
+    )
+    page = listed.after(datetime(1998, 1, 1), 5000)
+    cursor = page.next_cursor.select(
+        F.concat(F.date_format("started_at", "yyyy-MM-dd"), F.lit(" "), F.col("incident_id"))
+    )
+    return page.rows.select("incident_id", "started_at", "priority").withColumn(
+        "next_cursor", cursor.scalar()
+    )
+
+
+def incident_current_state(spark, folder):
+    fixtures = _fixtures(spark, folder)
+    return acknowledge.current_incidents(
+        fixtures.incident, fixtures.incident_ack, DEFAULT_ACCOUNT, match_account=False
+    ).select("incident_id", "account_id", "state", "acknowledged_by", "acknowledged_at")
+
+
 def open_incident_after_ack(spark, folder):
     fixtures = _fixtures(spark, folder)
     # The sample log names no account; its incident ids hold for all of them.
@@ -428,14 +461,15 @@ def sql_param_query(spark, folder):
 
 
 _QUERIES = [
-    entity_catalog, account_lookup, account_resolve, response_parse, entity_json,
+    entity_catalog, account_lookup, account_lookup_json, account_resolve, response_parse, entity_json,
     sql_param_query, entity_search_name, entity_search_account, entity_search_type,
     entity_search_tags, entity_search_combined, entity_search_total, entity_search_bulk,
     entity_exact_match, entity_page_next, entity_detail, entity_detail_by_type,
     entity_detail_nested, entity_recent_violations, entity_alert_conditions,
     entity_relationships, apm_application_list, apm_running_instances,
     dashboard_pages_widgets, monitor_list, monitor_create, monitor_create_errors, policy_list,
-    open_incident_list, open_incident_priority, open_incident_after_ack, incident_ack_outcome,
+    open_incident_list, open_incident_priority, open_incident_page_next,
+    open_incident_after_ack, incident_current_state, incident_ack_outcome,
     event_count, event_time_range, event_facet, event_facet_attr, event_timeseries,
     event_timeseries_facet, event_timeseries_filled, event_total_result, event_metadata,
     event_compare, event_timeseries_compare,

@@ -143,6 +143,16 @@ BASIC = "guid, name, entity_type, domain, account_id, tags_text"
 INCIDENT_FIELDS = """incident_id, title, priority, state, policy_name, condition_name,
        entity_guid, entity_name, entity_type, started_at, updated_at, description, violation_url"""
 
+ACCOUNT_LOOKUP = """SELECT req_id, r.account_id, n_name AS name,
+       CASE WHEN r.account_id IS NULL THEN 'ACCOUNT' WHEN n_name IS NULL THEN 'NOT_FOUND'
+            ELSE 'OK' END AS outcome
+FROM (SELECT c_custkey AS req_id,
+             nullif(CASE WHEN c_custkey % 10 = 9 THEN c_nationkey + 100
+                         WHEN c_custkey % 10 = 4 THEN NULL
+                         ELSE c_nationkey END, 0)::INTEGER AS account_id
+      FROM customer) r
+LEFT JOIN nation ON n_nationkey = r.account_id"""
+
 KIND_JSON = f"""CASE domain
          WHEN 'APM' THEN (
            SELECT ',"apm":{{"language":"' || lower(c_mktsegment) || '","application_name":"' || c_name
@@ -174,17 +184,14 @@ SELECT guid, name, account_id, domain, type, entity_type, reporting, permalink,
 FROM entity""",
         *ENTITY,
     ),
-    "account_lookup": _sql(
-        """
-SELECT req_id, r.account_id, n_name AS name,
-       CASE WHEN r.account_id IS NULL THEN 'ACCOUNT' WHEN n_name IS NULL THEN 'NOT_FOUND'
-            ELSE 'OK' END AS outcome
-FROM (SELECT c_custkey AS req_id,
-             nullif(CASE WHEN c_custkey % 10 = 9 THEN c_nationkey + 100
-                         WHEN c_custkey % 10 = 4 THEN NULL
-                         ELSE c_nationkey END, 0)::INTEGER AS account_id
-      FROM customer) r
-LEFT JOIN nation ON n_nationkey = r.account_id"""
+    "account_lookup": _sql(f"\n{ACCOUNT_LOOKUP}"),
+    "account_lookup_json": _sql(
+        f"""
+SELECT req_id,
+       CASE WHEN outcome = 'OK'
+            THEN '{{"data":{{"id":' || account_id || ',"name":"' || name || '"}}}}'
+            ELSE '{{"errors":[{{"message":"' || outcome || '"}}]}}' END AS reply
+FROM ({ACCOUNT_LOOKUP})"""
     ),
     "account_resolve": _sql(
         """
@@ -495,6 +502,33 @@ SELECT {INCIDENT_FIELDS} FROM incident
 WHERE state = 'OPEN' AND priority = 'CRITICAL' AND account_id = 7""",
         "incident",
     ),
+    "open_incident_page_next": _sql(
+        """, behind AS (
+  SELECT incident_id, started_at, priority,
+         row_number() OVER (ORDER BY started_at DESC, incident_id DESC) AS rn
+  FROM incident
+  WHERE state = 'OPEN' AND (started_at < TIMESTAMP '1998-01-01'
+        OR (started_at = TIMESTAMP '1998-01-01' AND incident_id < 5000)))
+SELECT incident_id, started_at, priority,
+       (SELECT strftime(started_at, '%Y-%m-%d') || ' ' || incident_id FROM behind
+        WHERE rn = 100 AND (SELECT count(*) FROM behind) > 100) AS next_cursor
+FROM behind WHERE rn <= 100""",
+        "incident",
+    ),
+    "incident_current_state": _sql(
+        """, first AS (
+  SELECT incident_id, acknowledged_by, acknowledged_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY incident_id
+                                 ORDER BY acknowledged_at, req_id) AS rn
+    FROM ack WHERE incident_id > 0) WHERE rn = 1)
+SELECT i.incident_id, i.account_id,
+       CASE WHEN i.state = 'OPEN' AND f.incident_id IS NOT NULL THEN 'ACKNOWLEDGED'
+            ELSE i.state END AS state,
+       CASE WHEN i.state = 'OPEN' THEN f.acknowledged_by END AS acknowledged_by,
+       CASE WHEN i.state = 'OPEN' THEN f.acknowledged_at END AS acknowledged_at
+FROM incident i LEFT JOIN first f USING (incident_id)""",
+        "incident", "ack",
+    ),
     "open_incident_after_ack": _sql(
         f"""
 SELECT {INCIDENT_FIELDS} FROM incident

@@ -19,10 +19,15 @@ from obsq.errors import RequestError
 from obsq.functions.predicates import given, well_formed_tags
 from obsq.operators.search import BASIC_FIELDS
 from obsq.plans.sizes import fits_broadcast
+from obsq.plans.skew import salted_left_join
 
-# Lengths of the pieces of a name that serve as probes. A search for a single
-# character is too common to be helped by one.
-PIECES = (2, 3)
+# Lengths of the pieces of a name that serve as probes, longest first. A search
+# uses the longest that fits; one for a single character is too common for any.
+PIECES = (6, 3, 2)
+SHORTEST = min(PIECES)
+
+# A request becomes a few dozen probes of up to this many times its own size.
+PROBE_GROWTH = 32
 
 
 @dataclass(frozen=True)
@@ -70,20 +75,24 @@ def search_entities_bulk(entities: DataFrame, requests: DataFrame) -> BulkSearch
         F.lit("at least one of name, type, domain and tags is needed").alias("message"),
     )
 
-    few = fits_broadcast(requests)
+    few = fits_broadcast(requests, PROBE_GROWTH)
     sent = F.broadcast if few else (lambda rows: rows)
     asked = valid.select("req_id", F.explode(_request_probes()).alias("probe"))
+    asked_for = asked.groupBy("probe").agg(F.count("*").alias("requests"))
     frequency = (
         _offered(entities)
-        .join(sent(asked.select("probe").distinct()), "probe", "left_semi")
+        .join(sent(asked_for.select("probe")), "probe", "left_semi")
         .groupBy("probe")
         .agg(F.count("*").alias("n"))
     )
+    if few:
+        weighed = asked.join(frequency, "probe", "left")
+    else:
+        # Many names share a beginning, so one probe may be in most requests.
+        weighed = salted_left_join(asked, frequency, ["probe"], "req_id", asked_for, "requests")
+    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "probe"))
     rarest = (
-        asked.join(frequency, "probe", "left")
-        .groupBy("req_id")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "probe")).alias("best"))
-        .select("req_id", F.col("best.probe").alias("probe"))
+        weighed.groupBy("req_id").agg(best.alias("best")).select("req_id", "best.probe")
     )
     chosen = valid.join(rarest, "req_id")
     if few:
@@ -140,14 +149,15 @@ def _within(account: Column, probe: Column) -> Column:
 def _request_probes() -> Column:
     """One probe per criterion of a request, within its account if it has one."""
     none = F.array().cast("array<string>")
-    shortest, longest = PIECES
 
     def pieces(run: Column) -> Column:
-        size = F.when(F.length(run) < longest, F.lit(shortest)).otherwise(F.lit(longest))
+        size = F.lit(SHORTEST)
+        for longer in sorted(PIECES):
+            size = F.when(F.length(run) >= longer, F.lit(longer)).otherwise(size)
         starts = F.sequence(F.lit(1), F.length(run) - size + 1)
         return F.transform(starts, lambda start: _name_probe(F.substring(run, start, size)))
 
-    runs = F.filter(F.split("r_name", "[%_]"), lambda run: F.length(run) >= shortest)
+    runs = F.filter(F.split("r_name", "[%_]"), lambda run: F.length(run) >= SHORTEST)
     probes = F.concat(
         F.coalesce(F.flatten(F.transform(runs, pieces)), none),
         F.coalesce(F.transform("r_tags", _tag_probe), none),
@@ -169,11 +179,10 @@ def _offered(entities: DataFrame, *columns: str) -> DataFrame:
     then domain, type and the probe every entity has. One sequence of numbers
     per entity is exploded, and each number is turned into its probe.
     """
-    shortest, longest = PIECES
     name, tags, slot = F.col("name"), F.col("_tags"), F.col("_slot")
     pieces, labels = F.col("_pieces"), F.col("_labels")
-    start = F.floor(slot / 2).cast("int") + 1
-    size = F.when(slot % 2 == 0, F.lit(shortest)).otherwise(F.lit(longest))
+    start = F.floor(slot / len(PIECES)).cast("int") + 1
+    size = F.get(F.array([F.lit(p) for p in PIECES]), slot % len(PIECES))
     piece = F.substring(name, start, size)
     # A piece that occurs again, or is cut short by the end, is offered elsewhere.
     first_of_its_kind = (F.length(piece) == size) & (F.instr(name, piece) == start)
@@ -187,7 +196,7 @@ def _offered(entities: DataFrame, *columns: str) -> DataFrame:
     scoped = F.array(F.col("probe"), _within(F.col("account_id"), F.col("probe")))
     return (
         entities.withColumn("_tags", F.array_distinct("tags"))
-        .withColumn("_pieces", F.coalesce(2 * F.length(name), F.lit(0)))
+        .withColumn("_pieces", F.coalesce(F.length(name) * len(PIECES), F.lit(0)))
         .withColumn("_labels", F.coalesce(F.size("_tags"), F.lit(0)))
         .withColumn("_slot", F.explode(F.sequence(F.lit(0), pieces + labels + 2)))
         .filter((slot >= pieces) | first_of_its_kind)

@@ -105,9 +105,9 @@ entity = st.fixed_dictionaries(
 
 
 @settings(
-    max_examples=6, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True
+    max_examples=4, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True
 )
-@given(st.lists(entity, min_size=8, max_size=20), st.lists(request, min_size=6, max_size=10))
+@given(st.lists(entity, min_size=8, max_size=20), st.lists(request, min_size=5, max_size=8))
 def test_agrees_with_single_searches(spark, catalog_rows, request_rows):
     catalog = entities(spark, *[{"guid": f"g{i}", **e} for i, e in enumerate(catalog_rows)])
     catalog = catalog.coalesce(1)

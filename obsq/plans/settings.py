@@ -7,16 +7,19 @@ from pyspark.sql import SparkSession
 # Joins of two scans are planned by size: a side under the broadcast threshold
 # is broadcast, otherwise both sides are shuffled and AQE splits the partitions
 # a hot key makes. "force" lets it split even where that costs one more shuffle.
-ADAPTIVE = {
+#
+# Top-N per parent drops rows before the shuffle for any N a caller may want.
+SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Turn on adaptive planning; sizes and partition counts stay the cluster's."""
-    for key, value in ADAPTIVE.items():
+    """Apply the settings; sizes and partition counts stay the cluster's."""
+    for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark

@@ -163,6 +163,7 @@ def test_ranking_cuts_before_the_shuffle(fixtures):
         details.recent_violations(fixtures.violation),
         details.running_instances(fixtures.app_instance),
         details.dashboard_contents(fixtures.dashboard_page, fixtures.dashboard_widget),
+        details.recent_violations(fixtures.violation, 5000),
     ):
         text = plan(rows)
         assert "WindowGroupLimit" in text and "Partial" in text

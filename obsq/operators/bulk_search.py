@@ -21,13 +21,12 @@ from obsq.operators.search import BASIC_FIELDS
 from obsq.plans.sizes import fits_broadcast
 from obsq.plans.skew import salted_left_join
 
-# Lengths of the pieces of a name that serve as probes, longest first. A search
-# uses the longest that fits; one for a single character is too common for any.
-PIECES = (6, 3, 2)
-SHORTEST = min(PIECES)
+# Lengths of the pieces of a name that serve as probes. A search uses the longest
+# that fits, which is the rarest; the short ones are for searches that are short.
+PIECES = (6, 3, 2, 1)
 
-# A request becomes a few dozen probes of up to this many times its own size.
-PROBE_GROWTH = 32
+# The probes of a request together take up to this many times its own size.
+PROBE_GROWTH = 64
 
 
 @dataclass(frozen=True)
@@ -151,20 +150,18 @@ def _request_probes() -> Column:
     none = F.array().cast("array<string>")
 
     def pieces(run: Column) -> Column:
-        size = F.lit(SHORTEST)
-        for longer in sorted(PIECES):
-            size = F.when(F.length(run) >= longer, F.lit(longer)).otherwise(size)
+        size = F.coalesce(*[F.when(F.length(run) >= p, F.lit(p)) for p in PIECES])
         starts = F.sequence(F.lit(1), F.length(run) - size + 1)
         return F.transform(starts, lambda start: _name_probe(F.substring(run, start, size)))
 
-    runs = F.filter(F.split("r_name", "[%_]"), lambda run: F.length(run) >= SHORTEST)
+    runs = F.filter(F.split("r_name", "[%_]"), lambda run: F.length(run) > 0)
     probes = F.concat(
         F.coalesce(F.flatten(F.transform(runs, pieces)), none),
         F.coalesce(F.transform("r_tags", _tag_probe), none),
         F.coalesce(F.array_compact(F.array(_domain_probe(F.col("r_domain")))), none),
         F.coalesce(F.array_compact(F.array(_type_probe(F.col("r_type")))), none),
     )
-    # A name of wildcards or a single character leaves nothing better to go by.
+    # A name of wildcards alone leaves nothing to go by, and matches any name.
     probes = F.when(F.size(probes) > 0, probes).otherwise(F.array(F.lit(ANY_PROBE)))
     scoped = F.transform(probes, lambda probe: _within(F.col("r_account_id"), probe))
     return F.array_distinct(

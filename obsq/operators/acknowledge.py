@@ -130,7 +130,7 @@ def _is_valid() -> Column:
 
 
 def _valid(asked: DataFrame) -> DataFrame:
-    return asked.filter(_is_valid())
+    return asked.filter(F.col("account_id").isNotNull() & (F.col("incident_id") > 0))
 
 
 def _first_requests(asked: DataFrame, keys: list[str]) -> DataFrame:

@@ -262,7 +262,10 @@ def nested_details(
 
 def _parts(children: DataFrame, per_row: int) -> DataFrame:
     """How many children each parent has, and over how many rows they go."""
-    return children.groupBy("guid").agg(F.count("*").alias("children")).withColumn(
+    # Null keys are dropped here as every join on the sizes would drop them, so
+    # that all of them share one aggregation.
+    counted = children.filter(F.col("guid").isNotNull()).groupBy("guid")
+    return counted.agg(F.count("*").alias("children")).withColumn(
         "parts", F.ceil(F.col("children") / per_row)
     )
 

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from obsq.errors import RequestError
 from obsq.operators import details
+from obsq.plans.sizes import fits_broadcast
 from obsq.sources.tables import read_table, write_table
-from tests.helpers import entities, plan, table, values
+from tests.helpers import entities, first_plan, plan, table, values
 
 
 def day(n):
@@ -28,6 +29,23 @@ def test_details_keep_unknown_guids(spark):
     ]
 
 
+def test_a_few_requests_do_not_move_the_catalog(spark, tmp_path, fixtures):
+    """A small request file filters the catalog where it is."""
+    guids = ["APM|1", "nothing", "SYNTH|2", "APM|1"]
+    spark.createDataFrame([(g,) for g in guids], "guid string").coalesce(1).write.parquet(
+        str(tmp_path / "requests")
+    )
+    requests = spark.read.parquet(str(tmp_path / "requests"))
+    assert fits_broadcast(requests) and not fits_broadcast(requests, 10**6)
+    found = details.entity_details(requests, fixtures.entity)
+    assert values(found, "guid", "outcome") == sorted(
+        [("APM|1", "OK"), ("APM|1", "OK"), ("SYNTH|2", "OK"), ("nothing", "NOT_FOUND")], key=str
+    )
+    text = first_plan(found)
+    # Only the requests are exchanged on their way to the catalog.
+    assert "LeftSemi, BuildRight" in text and "SortMergeJoin" not in text.split("LeftSemi")[1]
+
+
 def test_only_the_own_kind_is_filled(spark):
     apm, browser = {"language": "java"}, {"application_id": 7}
     catalog = entities(

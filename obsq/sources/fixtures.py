@@ -197,14 +197,16 @@ class Fixtures:
 
     @cached_property
     def policy(self) -> DataFrame:
-        """A policy per nation and segment."""
+        """A policy per nation and segment that customers use."""
+        used = self.sample("customer").selectExpr("c_nationkey AS n_nationkey", "c_mktsegment")
+        number = f"n_nationkey * 10L + array_position({_array(SEGMENTS)}, c_mktsegment) - 1"
         return (
-            self.sample("nation")
-            .selectExpr("*", f"posexplode({_array(SEGMENTS)}) AS (i, segment)")
+            used.distinct()
+            .join(self.sample("nation"), "n_nationkey")
             .selectExpr(
-                "n_nationkey * 10L + i AS policy_id",
-                "concat(segment, ' ', n_name) AS name",
-                f"get({_array(INCIDENT_PREFERENCES)}, (n_nationkey * 10 + i) % 3)"
+                f"{number} AS policy_id",
+                "concat(c_mktsegment, ' ', n_name) AS name",
+                f"get({_array(INCIDENT_PREFERENCES)}, CAST(({number}) % 3 AS int))"
                 " AS incident_preference",
                 "n_nationkey AS account_id",
             )

@@ -46,13 +46,18 @@ CTES = {
   SELECT *, domain || '_' || type AS entity_type, 'https://example.test/' || guid AS permalink
   FROM entity_base
 )""",
-    "policy": """policy AS (
-  SELECT (n_nationkey * 10 + i)::BIGINT AS policy_id, segment || ' ' || n_name AS name,
+    "policy": """numbered AS (
+  SELECT DISTINCT c_nationkey, c_mktsegment, c_nationkey * 10
+         + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1
+                WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 WHEN 'MACHINERY' THEN 4
+           END AS number
+  FROM customer
+), policy AS (
+  SELECT number::BIGINT AS policy_id, c_mktsegment || ' ' || n_name AS name,
          n_nationkey AS account_id,
-         CASE (n_nationkey * 10 + i) % 3 WHEN 0 THEN 'PER_POLICY' WHEN 1 THEN 'PER_CONDITION'
+         CASE number % 3 WHEN 0 THEN 'PER_POLICY' WHEN 1 THEN 'PER_CONDITION'
               ELSE 'PER_CONDITION_AND_TARGET' END AS incident_preference
-  FROM nation, (VALUES (0, 'AUTOMOBILE'), (1, 'BUILDING'), (2, 'FURNITURE'),
-                       (3, 'HOUSEHOLD'), (4, 'MACHINERY')) AS s(i, segment)
+  FROM numbered JOIN nation ON n_nationkey = c_nationkey
 )""",
     "violation": f"""violation AS (
   SELECT o_orderkey AS violation_id, 'APM|' || o_custkey AS guid,
@@ -75,7 +80,8 @@ CTES = {
     "entity_condition": """entity_condition AS (
   SELECT c.guid, e.name AS entity_name, c.condition_id, c.condition_name, c.enabled,
          c.policy_id, p.name AS policy_name
-  FROM condition c JOIN policy p USING (policy_id) JOIN entity e ON e.guid = c.guid
+  FROM condition c LEFT JOIN policy p ON p.policy_id = c.policy_id
+  JOIN entity e ON e.guid = c.guid
 )""",
     "edge": """edge AS (
   SELECT DISTINCT 'INFRA|' || l_suppkey AS source_guid, 'SYNTH|' || l_partkey AS target_guid,
@@ -327,7 +333,7 @@ LEFT JOIN part ON 'SYNTH|' || p_partkey = e.guid""",
   SELECT guid, 'v' AS list, violation_id::VARCHAR AS id, rank::VARCHAR || ':' || violation_id AS item,
          lpad(rank::VARCHAR, 20, '0') AS place FROM recent
   UNION ALL
-  SELECT guid, 'c', condition_id::VARCHAR, condition_id || ':' || policy_name,
+  SELECT guid, 'c', condition_id::VARCHAR, concat_ws(':', condition_id, policy_name),
          lpad(condition_id::VARCHAR, 20, '0') FROM entity_condition
   UNION ALL
   SELECT guid, 'r', source_guid || chr(1) || target_guid || chr(1) || type,

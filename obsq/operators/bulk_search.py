@@ -107,16 +107,13 @@ def search_entities_bulk(entities: DataFrame, requests: DataFrame) -> BulkSearch
 
 def _satisfies() -> Column:
     pattern = F.concat(F.lit("%"), F.replace(F.col("r_name"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    has_all_tags = F.forall(
-        "r_tags",
-        lambda r: F.exists("tags", lambda t: (t["key"] == r["key"]) & (t["value"] == r["value"])),
-    )
+    missing_tags = F.size(F.array_except("r_tags", "tags"))
     return (
         (F.col("r_account_id").isNull() | (F.col("account_id") == F.col("r_account_id")))
         & (F.col("r_domain").isNull() | (F.col("domain") == F.col("r_domain")))
         & (F.col("r_type").isNull() | (F.col("type") == F.col("r_type")))
         & (F.col("r_name").isNull() | F.like(F.col("name"), pattern))
-        & (F.col("r_tags").isNull() | has_all_tags)
+        & (F.col("r_tags").isNull() | (missing_tags == 0))
     )
 
 

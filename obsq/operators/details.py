@@ -242,8 +242,7 @@ def nested_details(
             "source_name", "source_type", "target_name", "target_type",
         ).alias("relationship"),
     )
-    own = entities.select("guid", first_part, F.struct(*common).alias("entity"))
-    together = own
+    together = entities.select("guid", first_part, F.struct(*common).alias("entity"))
     for children in (recent, ruled, linked):
         together = together.unionByName(children, allowMissingColumns=True)
     return (
@@ -254,6 +253,8 @@ def nested_details(
             F.sort_array(F.collect_list("condition")).alias("conditions"),
             F.sort_array(F.collect_list("relationship")).alias("relationships"),
         )
+        # Violations of a GUID that no entity has; other children were joined.
+        .filter(F.col("entity").isNotNull() | (F.col("part") > 0))
         .select(
             "guid", "part", "entity.*", "recent_violations", "conditions", "relationships"
         )

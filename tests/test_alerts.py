@@ -12,7 +12,7 @@ from obsq.operators.paging import NEWEST_INCIDENT, Listing
 from obsq.plans import skew
 from obsq.sources.tables import append_rows
 from obsq.workspace import Workspace
-from tests.helpers import entities, first_plan, outcomes, plan, table, values
+from tests.helpers import entities, first_plan, outcomes, table, values
 
 
 def minute(m):
@@ -74,7 +74,8 @@ def test_incident_pages_make_up_the_whole(fixtures):
         fixtures.incident, fixtures.entity, ALL_ACCOUNTS, "critical", limit=800
     )
     order = NEWEST_INCIDENT.columns()
-    expected = [r.incident_id for r in Listing(listed.matches, NEWEST_INCIDENT).rows.orderBy(*order).collect()]
+    whole = Listing(listed.matches, NEWEST_INCIDENT).rows.orderBy(*order)
+    expected = [r.incident_id for r in whole.collect()]
     seen, page = [], listed
     while True:
         seen += [r.incident_id for r in page.rows.collect()]

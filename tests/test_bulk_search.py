@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from obsq.errors import RequestError
 from obsq.operators.bulk_search import search_entities_bulk
 from obsq.operators.search import search_entities
-from tests.helpers import entities, first_plan, plan, table, values
+from tests.helpers import entities, first_plan, table, values
 
 
 def pairs(result):

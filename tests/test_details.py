@@ -149,6 +149,7 @@ def test_nested_details_are_whole_however_long(spark):
         spark,
         "violation",
         *[{"violation_id": i, "guid": "small", "opened_at": day(1)} for i in range(9)],
+        {"violation_id": 77, "guid": "gone", "opened_at": day(1)},
     )
     edges = table(
         spark,
@@ -161,6 +162,7 @@ def test_nested_details_are_whole_however_long(spark):
     )
     rows = {(r.guid, r.part): r for r in nested.collect()}
 
+    assert {guid for guid, _ in rows} == {"big", "small"}
     small = rows[("small", 0)]
     assert [v.violation_id for v in small.recent_violations] == [8, 7, 6, 5, 4]
     assert [c.condition_id for c in small.conditions] == [900, 901]

@@ -28,7 +28,7 @@ from obsq.operators.events import attribute, scan_events  # noqa: E402
 from obsq.operators.replies import parse_replies  # noqa: E402
 from obsq.plans.settings import configure  # noqa: E402
 from obsq.sources.fixtures import Fixtures  # noqa: E402
-from oracle import ORACLE_SQL  # noqa: E402
+from obsq_oracle import ORACLE_SQL  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 DEFAULT_ACCOUNT = 7

@@ -1,5 +1,5 @@
 """Expected results in SQL over the sample tables."""
 
-from oracle.sql import ORACLE_SQL
+from obsq_oracle.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL"]

@@ -28,6 +28,9 @@ PIECES = (6, 3, 2, 1)
 # The probes of a request together take up to this many times its own size.
 PROBE_GROWTH = 64
 
+# Numbers that probes are hashed to, to tell early which ones nobody asks for.
+HASH_SLOTS = 2**20
+
 
 @dataclass(frozen=True)
 class BulkSearch:
@@ -75,15 +78,16 @@ def search_entities_bulk(entities: DataFrame, requests: DataFrame) -> BulkSearch
     )
 
     few = fits_broadcast(requests, PROBE_GROWTH)
-    sent = F.broadcast if few else (lambda rows: rows)
     asked = valid.select("req_id", F.explode(_request_probes()).alias("probe"))
     asked_for = asked.groupBy("probe").agg(F.count("*").alias("requests"))
-    frequency = (
-        _offered(entities)
-        .join(sent(asked_for.select("probe")), "probe", "left_semi")
-        .groupBy("probe")
-        .agg(F.count("*").alias("n"))
-    )
+    offered = _offered(entities)
+    if few:
+        of_interest = offered.join(F.broadcast(asked_for.select("probe")), "probe", "left_semi")
+    else:
+        of_interest = _maybe_asked(offered, asked_for).join(
+            asked_for.select("probe"), "probe", "left_semi"
+        )
+    frequency = of_interest.groupBy("probe").agg(F.count("*").alias("n"))
     if few:
         weighed = asked.join(frequency, "probe", "left")
     else:
@@ -96,15 +100,35 @@ def search_entities_bulk(entities: DataFrame, requests: DataFrame) -> BulkSearch
     chosen = valid.join(rarest, "req_id")
     if few:
         # One row per request: the catalog stays where it is.
-        candidates = _offered(entities, *BASIC_FIELDS, "type").join(sent(chosen), "probe")
+        offered = _offered(entities, *BASIC_FIELDS, "type")
+        candidates = offered.join(F.broadcast(chosen), "probe")
     else:
         # Only GUIDs and probes are shuffled; the fields join the pairs that meet.
-        met = _offered(entities, "guid").join(chosen, "probe")
+        met = _maybe_asked(_offered(entities, "guid"), chosen).join(chosen, "probe")
         candidates = met.join(entities.select(*BASIC_FIELDS, "type"), "guid")
     matches = candidates.filter(_satisfies()).select("req_id", *BASIC_FIELDS)
     return BulkSearch(matches, errors)
 
 
+def _maybe_asked(offered: DataFrame, asked: DataFrame) -> DataFrame:
+    """Offered probes without most of those that nobody asks for.
+
+    What is sent to every task are hash slots, so at most ``HASH_SLOTS`` numbers
+    however many requests there are. Probes that share a slot by chance stay in
+    and are dropped by the join that follows.
+    """
+    slots = asked.select(_hash_slot().alias("_hash")).distinct()
+    return (
+        offered.withColumn("_hash", _hash_slot())
+        .join(F.broadcast(slots), "_hash", "left_semi")
+        .drop("_hash")
+    )
+
+
+def _hash_slot() -> Column:
+    return F.pmod(F.xxhash64("probe"), F.lit(HASH_SLOTS))
+
+
 def _satisfies() -> Column:
     pattern = F.concat(F.lit("%"), F.replace(F.col("r_name"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
     missing_tags = F.size(F.array_except("r_tags", "tags"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from obsq.llm.bpe import encode_digests
 from obsq.llm.linededup import line_dedup_digests
 from obsq.llm.mixing import mix_sources
 from obsq.llm.quality import quality_rules
@@ -17,6 +19,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
+    path = path or public_tokenizers.path("word_bpe_49k.json")
+    return encode_digests(_table(spark, folder, "documents"), path)
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup_digests(_table(spark, folder, "documents"))
 
@@ -38,5 +45,5 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_line_dedup, op5_simhash, op6_quality, op9_mixing, op10_toxicity)
+    f.__name__: f for f in (op1_bpe, op4_line_dedup, op5_simhash, op6_quality, op9_mixing, op10_toxicity)
 }

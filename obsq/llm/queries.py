@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from obsq.llm.bpe import encode_digests
+from obsq.llm.htmltext import extract_pages
 from obsq.llm.linededup import line_dedup_digests
 from obsq.llm.mixing import mix_sources
+from obsq.llm.pii import pii_digests
 from obsq.llm.quality import quality_rules
+from obsq.llm.secrets import secret_digests
 from obsq.llm.simhash import near_dedup_digests
+from obsq.llm.topk import top_k, vectors
 from obsq.llm.toxicity import toxicity
 
 
@@ -24,6 +29,15 @@ def op1_bpe(spark: SparkSession, folder: str, path: str | None = None) -> DataFr
     return encode_digests(_table(spark, folder, "documents"), path)
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_digests(_table(spark, folder, "documents"))
+
+
+def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
+    points = vectors(_table(spark, folder, "embeddings"))
+    return top_k(points, points.filter(F.col("vec_id") % 50 == 0))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup_digests(_table(spark, folder, "documents"))
 
@@ -36,6 +50,14 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_digests(_table(spark, folder, "documents"))
+
+
+def op8_html(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(_table(spark, folder, "pages"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(_table(spark, folder, "documents"))
 
@@ -45,5 +67,9 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op4_line_dedup, op5_simhash, op6_quality, op9_mixing, op10_toxicity)
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_pii, op3_topk, op4_line_dedup, op5_simhash, op6_quality, op7_secrets, op8_html, op9_mixing,
+        op10_toxicity,
+    )
 }

@@ -476,12 +476,25 @@ _QUERIES = [
 ]
 
 
+# The text operators and their pipeline can be taken out as a whole.
+try:
+    import corpus_pipeline
+    from obsq.llm.oracle import ORACLE_SQL as _TEXT_SQL
+    from obsq.llm.queries import QUERIES as _TEXT_QUERIES
+except ImportError:
+    _TEXT_QUERIES, _TEXT_SQL = {}, {}
+else:
+    _TEXT_QUERIES = _TEXT_QUERIES | {"pipeline": corpus_pipeline.run}
+    if corpus_pipeline.ORACLE_SQL:
+        _TEXT_SQL = _TEXT_SQL | {"pipeline": corpus_pipeline.ORACLE_SQL}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in _QUERIES}
+    return {query.__name__: query for query in _QUERIES} | _TEXT_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return ORACLE_SQL | _TEXT_SQL
 
 
 def entry(spark: SparkSession) -> DataFrame:

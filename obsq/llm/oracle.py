@@ -56,8 +56,8 @@ WITH sized AS (
     FROM ranked
 ), levels AS (
     SELECT *,
-        CAST(total - coalesce(CAST(sum(room) OVER (before) AS BIGINT), 0) AS DOUBLE)
-            / CAST(sum(weight) OVER (after) AS DOUBLE) AS level
+        CAST(total - coalesce(CAST(sum(room) OVER before AS BIGINT), 0) AS DOUBLE)
+            / CAST(sum(weight) OVER after AS DOUBLE) AS level
     FROM weighed
     WINDOW before AS (ORDER BY room / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
         after AS (ORDER BY room / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)

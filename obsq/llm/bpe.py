@@ -3,16 +3,17 @@
 The tokenizer never looks past white space, so a text's ids are those of its
 words in order. Texts are read in blocks of about ``BLOCK_WORDS`` words (a part
 of one input partition). A block keeps, per text, the places of its words in the
-block's list of distinct words, and sends only that list to be encoded: sorted
-by word, every word of the corpus is encoded once and its ids go back to all
-blocks that have it. Then ids are joined back by position inside each block, and
-decoded through the id-to-piece table, which has a row per id of the vocabulary
-(49,408 here) and is held as an array: a broadcast join of a known size.
-
-Nothing is grouped by word beyond one row for each block, and a task holds one
-block's words at a time. A block's key is a digest of its texts in order: should the
-input come in another order when a part is computed again, the run fails instead
-of mixing up words.
+block's list of distinct words. That list is dealt to buckets by a hash of the
+word, a packed list per block and bucket, so that one task meets all blocks'
+copies of a word: it encodes each distinct word once and sends every block its
+ids back. Then ids are joined back by position inside each block, and decoded
+through the id-to-piece table, which has a row per id of the vocabulary (49,408
+here) and is held as an array: a broadcast join of a known size.
+
+A task holds one block's words, or the distinct words of its buckets up to
+``CACHE_WORDS``, at a time. A block's key is a digest of its texts in order:
+should the input come in another order when a part is computed again, the run
+fails instead of mixing up words.
 
 Defined cases: a null or empty text, or one of white space, has no ids and the
 empty string as decoded text. Special tokens written out in a text become their
@@ -27,7 +28,7 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Words and distinct words after which a block is closed, at the next text.
 BLOCK_WORDS = 2_000_000
 BLOCK_DISTINCT = 500_000
+#: Distinct words after which an encoding task starts its list anew.
+CACHE_WORDS = 2_000_000
+#: Buckets of words for each shuffle partition.
+BUCKETS = 4
 
 # Str.split() also splits at these, the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -72,13 +77,12 @@ class _Block:
         self.index: dict[str, int] = defaultdict(count().__next__)
         self.digest = xxhash.xxh3_128()
         self.words = 0
-        self.packed: list[bytes] = []
+        self.found: list[np.ndarray] = []
         self.rows: list = []
 
     def add(self, text: str, row) -> None:
         words = split_words(text)
-        place = self.index
-        self.packed.append(_pack(np.fromiter((place[w] for w in words), np.uint32, len(words))))
+        self.found.append(np.fromiter(map(self.index.__getitem__, words), np.uint32, len(words)))
         raw = text.encode("utf-8", "surrogatepass")
         self.digest.update(len(raw).to_bytes(8, "little") + raw)
         self.words += len(words)
@@ -88,17 +92,29 @@ class _Block:
     def full(self) -> bool:
         return self.words >= BLOCK_WORDS or len(self.index) >= BLOCK_DISTINCT
 
-    @property
-    def key(self) -> str:
-        self.index.default_factory = None
-        return self.digest.hexdigest()
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], text: str, row: str) -> Iterator[_Block]:
+    def lists(self, buckets: int) -> list[list[str]]:
+        """The distinct words by bucket, in order; a word's place counts through all of them."""
+        out: list[list[str]] = [[] for _ in range(buckets)]
+        digest = xxhash.xxh32_intdigest
+        for word in self.index:
+            out[digest(word.encode("utf-8", "surrogatepass")) % buckets].append(word)
+        for words in out:
+            words.sort()
+        return out
+
+    def packed(self, buckets: int) -> Iterator[bytes]:
+        """The texts as places, in the order of ``lists``."""
+        place = np.empty(len(self.index), np.uint32)
+        old = [self.index[w] for words in self.lists(buckets) for w in words]
+        place[old] = np.arange(len(old), dtype=np.uint32)
+        return (_pack(place[found]) for found in self.found)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
     block = _Block()
     for batch in batches:
-        for t, r in zip(batch.column(text), batch.column(row)):
-            block.add(t.as_py() or "", r)
+        for text, row in zip(batch.column("text"), batch.column("row")):
+            block.add(text.as_py() or "", row)
             if block.full:
                 yield block
                 block = _Block()
@@ -106,45 +122,43 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: str, row: str) -> Iterator[
         yield block
 
 
-def _distinct_words(rows: DataFrame) -> DataFrame:
-    """``block, place, word``: each block's list of distinct words."""
-    schema = T.StructType.fromDDL("block string, place int, word string")
+def _distinct_words(rows: DataFrame, buckets: int) -> DataFrame:
+    """``block, bucket, words``: a block's distinct words of a bucket, packed."""
+    schema = T.StructType.fromDDL("block binary, bucket int, words binary")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, "text", "row"):
-            key, words = block.key, list(block.index)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([key] * len(part), pa.string()),
-                        pa.array(np.arange(at, at + len(part), dtype=np.int32)),
-                        pa.array(part, pa.string()),
-                    ],
-                    schema=arrow,
-                )
+        for block in _blocks(batches):
+            lists = [(i, words) for i, words in enumerate(block.lists(buckets)) if words]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block.digest.digest()] * len(lists), pa.binary()),
+                    pa.array([i for i, _ in lists], pa.int32()),
+                    pa.array([_squeeze("\n".join(words)) for _, words in lists], pa.binary()),
+                ],
+                schema=arrow,
+            )
 
     return rows.mapInArrow(run, schema)
 
 
-def _placed_texts(rows: DataFrame) -> DataFrame:
+def _placed_texts(rows: DataFrame, buckets: int) -> DataFrame:
     """``block, row, packed``: every row with its words as places in its block's list."""
     schema = T.StructType(
-        [T.StructField("block", T.StringType()), rows.schema["row"], T.StructField("packed", T.BinaryType())]
+        [T.StructField("block", T.BinaryType()), rows.schema["row"], T.StructField("packed", T.BinaryType())]
     )
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, "text", "row"):
-            key = block.key
+        for block in _blocks(batches):
+            key, packed = block.digest.digest(), block.packed(buckets)
             for at in range(0, len(block.rows), 1024):
                 part = block.rows[at : at + 1024]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([key] * len(part), pa.string()),
+                        pa.array([key] * len(part), pa.binary()),
                         pa.array([r.as_py() for r in part], arrow.field(1).type),
-                        pa.array(block.packed[at : at + 1024], pa.binary()),
+                        pa.array(list(islice(packed, len(part))), pa.binary()),
                     ],
                     schema=arrow,
                 )
@@ -152,9 +166,17 @@ def _placed_texts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _squeeze(text: str) -> bytes:
+    return zstandard.compress(text.encode("utf-8", "surrogatepass"), 3)
+
+
+def _spread(packed: bytes) -> list[str]:
+    return zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+
+
 def _encode_once(words: DataFrame, tokenizer_json: str) -> DataFrame:
-    """``block, place, ids`` from words in order; runs of a word share one encoding."""
-    schema = T.StructType.fromDDL("block string, place int, ids string")
+    """``block, bucket, ids``: the packed ids of packed words, each word encoded once in a task."""
+    schema = T.StructType.fromDDL("block binary, bucket int, ids binary")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,22 +184,21 @@ def _encode_once(words: DataFrame, tokenizer_json: str) -> DataFrame:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
-        last, ids = None, ""
+        known: dict[str, str] = {}
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            fresh = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
-            coded = iter(
-                " ".join(map(str, e.ids))
-                for at in range(0, len(fresh), 4096)
-                for e in tokenizer.encode_batch(fresh[at : at + 4096], add_special_tokens=False)
-            )
             out = []
-            for w in words:
-                if w != last:
-                    last, ids = w, next(coded)
-                out.append(ids)
+            for packed in batch.column("words").to_pylist():
+                words = _spread(packed)
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                fresh = [w for w in words if w not in known]
+                for at in range(0, len(fresh), 4096):
+                    part = fresh[at : at + 4096]
+                    coded = tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                    known.update((w, " ".join(map(str, e.ids))) for w, e in zip(part, coded))
+                out.append(_squeeze("\n".join([known[w] for w in words])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("place"), pa.array(out, pa.string())], schema=arrow
+                [batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], schema=arrow
             )
 
     return words.mapInArrow(run, schema)
@@ -211,19 +232,19 @@ def encode_words(rows: DataFrame, path: str, finish: str, per_text) -> DataFrame
     tokenizer_json = _plain_tokenizer(path)
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * parts
     pieces = spark.sparkContext.broadcast(pieces_of(tokenizer_json))
-    words = _distinct_words(rows).repartition(parts, "word").sortWithinPartitions("word")
-    coded = _encode_once(words, tokenizer_json)
+    coded = _encode_once(_distinct_words(rows, buckets).repartition(parts, "bucket"), tokenizer_json)
     row_field = T.StructField("row", rows.schema["row"].dataType)
     nothing = F.lit(None)
     both = coded.select(
-        "block", "place", "ids", nothing.cast(row_field.dataType).alias("row"), nothing.cast("binary").alias("packed")
+        "block", "bucket", "ids", nothing.cast(row_field.dataType).alias("row"), nothing.cast("binary").alias("packed")
     ).unionByName(
-        _placed_texts(rows).select(
-            "block", F.lit(2**31 - 1).alias("place"), nothing.cast("string").alias("ids"), "row", "packed"
+        _placed_texts(rows, buckets).select(
+            "block", F.lit(buckets).alias("bucket"), nothing.cast("binary").alias("ids"), "row", "packed"
         )
     )
-    together = both.repartition(parts, "block").sortWithinPartitions("block", "place")
+    together = both.repartition(parts, "block").sortWithinPartitions("block", "bucket")
     out = T.StructType([row_field, *T.StructType.fromDDL(finish).fields])
     arrow = to_arrow_schema(out)
 
@@ -233,44 +254,41 @@ def encode_words(rows: DataFrame, path: str, finish: str, per_text) -> DataFrame
         def decode(ids: str) -> str:
             return " ".join([table[int(i)] for i in ids.split()])
 
-        current, ids, texts = None, [], []
+        current, last, ids, texts = None, -1, [], []
         for batch in batches:
-            keys = batch.column("block").to_pylist()
-            places = batch.column("place").to_numpy()
-            edges = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else current)]
-            for start, end in zip([0, *edges], [*edges, len(keys)]):
-                if start == end:
-                    continue
-                if keys[start] != current:
-                    current, ids, texts = keys[start], [], []
-                n_words = int(np.searchsorted(places[start:end], 2**31 - 1))
-                if n_words:
+            keys, numbers = batch.column("block").to_pylist(), batch.column("bucket").to_pylist()
+            at = 0
+            while at < len(keys):
+                if keys[at] != current:
+                    current, last, ids, texts = keys[at], -1, [], []
+                if numbers[at] < buckets:
                     # blocks of equal texts share a key and bring their words twice
-                    here = places[start : start + n_words]
-                    new = np.flatnonzero(np.diff(here, prepend=len(ids) - 1))
-                    found = batch.column("ids").slice(start, n_words).to_pylist()
-                    fresh = [found[i] for i in new]
-                    ids += fresh
-                    texts += map(decode, fresh)
-                if n_words == end - start:
+                    if numbers[at] != last:
+                        last = numbers[at]
+                        fresh = _spread(batch.column("ids")[at].as_py())
+                        ids += fresh
+                        texts += map(decode, fresh)
+                    at += 1
                     continue
-                at, length = start + n_words, end - start - n_words
-                for small in range(at, at + length, 1024):
-                    size = min(1024, at + length - small)
-                    packed = batch.column("packed").slice(small, size).to_pylist()
-                    made = []
-                    for p in packed:
-                        found = _unpack(p)
-                        if found and max(found) >= len(ids):
-                            raise RuntimeError("input rows came in another order when they were read again")
-                        # a word of nothing the tokenizer knows has no ids
-                        made.append(per_text([ids[i] for i in found], [texts[i] for i in found]))
-                    columns = list(zip(*made))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("row").slice(small, size).cast(arrow.field(0).type)]
-                        + [pa.array(c, arrow.field(i + 1).type) for i, c in enumerate(columns)],
-                        schema=arrow,
-                    )
+                end = at
+                while end < len(keys) and end - at < 1024 and keys[end] == current:
+                    end += 1
+                blank = "" in ids
+                made = []
+                for packed in batch.column("packed").slice(at, end - at).to_pylist():
+                    found = _unpack(packed)
+                    if found and max(found) >= len(ids):
+                        raise RuntimeError("input rows came in another order when they were read again")
+                    if blank:  # a word of nothing the tokenizer knows has no ids
+                        found = [i for i in found if ids[i]]
+                    made.append(per_text(list(map(ids.__getitem__, found)), list(map(texts.__getitem__, found))))
+                columns = list(zip(*made))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").slice(at, end - at).cast(arrow.field(0).type)]
+                    + [pa.array(c, arrow.field(i + 1).type) for i, c in enumerate(columns)],
+                    schema=arrow,
+                )
+                at = end
 
     return together.mapInArrow(run, out)
 
@@ -313,8 +331,7 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text", keep: list |
     """Columns ``keep`` (the id) with ``n_tokens, ids_sha256, decoded_sha256`` of every row."""
 
     def per_text(ids: list[str], texts: list[str]) -> tuple:
-        joined = " ".join([i for i in ids if i])
-        decoded = " ".join([t for i, t in zip(ids, texts) if i])
+        joined, decoded = " ".join(ids), " ".join(texts)
         return (
             joined.count(" ") + 1 if joined else 0,
             hashlib.sha256(joined.encode()).hexdigest(),

@@ -101,30 +101,37 @@ def near_components(fps: DataFrame) -> DataFrame:
     ends = indexed.groupBy("variant").agg(
         F.min("fp").alias("low"), F.max("fp").alias("high")
     ).filter("low < high")
+    end = F.explode(F.array("low", "high"))
     stars = (
-        indexed.join(ends, "variant")
-        .select("fp", F.explode(F.array("low", "high")).alias("end"))
+        indexed.join(
+            ends,
+            (indexed["variant"] == ends["variant"])
+            & ((F.col("fp") != F.col("low")) & _close("fp", "low") | (F.col("fp") != F.col("high")) & _close("fp", "high")),
+        )
+        .select("fp", end.alias("end"))
         .filter((F.col("fp") != F.col("end")) & _close("fp", "end"))
         .select(F.greatest("fp", "end").alias("a"), F.least("fp", "end").alias("b"))
         .distinct()
     )
     stars = store(stars)
     found = store(components(stars))
-    # what is not yet joined: variants under which more than one component is left
     placed = store(
         fps.join(found.withColumnRenamed("node", "fp"), "fp", "left")
         .select("fp", F.coalesce("component", "fp").alias("component"))
     )
+    # variants all of whose fingerprints are joined already need no more looks
     listed = indexed.join(placed, "fp")
-    open_ = listed.groupBy("variant").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).filter("low < high").select("variant")
-    left = store(listed.join(open_, "variant", "left_semi"))
-    right = left.select("variant", F.col("fp").alias("fp2"), F.col("component").alias("component2"))
-    late = left.join(
-        right,
-        (left["variant"] == right["variant"]) & (F.col("component") < F.col("component2")) & _close("fp", "fp2"),
-    ).select(F.col("component2").alias("a"), F.col("component").alias("b")).distinct()
+    closed = listed.groupBy("variant").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
+    ).filter("low = high AND n > 1").select("variant")
+    left = listed.join(closed, "variant", "left_anti")
+    one, other = left.alias("one"), left.alias("other")
+    late = one.join(
+        other,
+        (F.col("one.variant") == F.col("other.variant"))
+        & (F.col("one.component") < F.col("other.component"))
+        & _close("one.fp", "other.fp"),
+    ).select(F.col("other.component").alias("a"), F.col("one.component").alias("b")).distinct()
     late = store(late)
     if late.isEmpty():
         return placed
@@ -139,11 +146,9 @@ def near_dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", w
     )
     fps = store(marked.groupBy("fp").agg(F.min("id").alias("least")))
     placed = near_components(fps.select("fp"))
-    named = store(
-        placed.join(fps, "fp").select("fp", "least", "component")
-        .withColumn("component_id", F.min("least").over(W.partitionBy("component")))
-        .select("fp", "component_id")
-    )
+    members = store(placed.join(fps, "fp").select("fp", "least", "component"))
+    names = store(members.groupBy("component").agg(F.min("least").alias("component_id")))
+    named = store(members.join(names, "component").select("fp", "component_id"))
     return marked.join(named, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
 
 

@@ -445,7 +445,7 @@ def monitor_create_errors(spark, folder):
 
 
 def response_parse(spark, folder):
-    return parse_replies(_fixtures(spark, folder).response, rows_path=["rows"])
+    return parse_replies(_fixtures(spark, folder).response, rows_path=["rows"]).drop("detail")
 
 
 def sql_param_query(spark, folder):

@@ -20,8 +20,11 @@ EPOCH = datetime(1970, 1, 1)
 
 def attribute(name: str, props: str = "props") -> Column:
     """An event attribute kept in JSON text, as a facet or inside an aggregate."""
-    path = name.replace("'", "\\'")
-    return F.get_json_object(F.col(props), f"$['{path}']").alias(name)
+    if "'" in name:  # a path cannot name it
+        found = F.try_element_at(F.from_json(F.col(props), "map<string, string>"), F.lit(name))
+    else:
+        found = F.get_json_object(F.col(props), f"$['{name}']")
+    return found.alias(name)
 
 
 def scan_events(
@@ -50,7 +53,8 @@ def scan_events(
     if end is not None:
         rows = rows.filter(F.col("ts") < _instant(events, end))
         if by_day:
-            rows = rows.filter(F.col("event_date") <= F.lit(end.date()))
+            # a window that ends at midnight needs nothing of the day that begins
+            rows = rows.filter(F.col("event_date") <= F.lit((end - timedelta(microseconds=1)).date()))
     return rows
 
 
@@ -169,6 +173,12 @@ def compare(
         F.lit(back.days), F.lit(0), F.lit(0), F.lit(back.seconds + back.microseconds / 1_000_000)
     )
     scanned = scan_events(events, None, begin - back, end)
+    if "event_date" in events.columns and end - back < begin:
+        # the days between the two windows are not read
+        scanned = scanned.filter(
+            (F.col("event_date") <= F.lit((end - back - timedelta(microseconds=1)).date()))
+            | (F.col("event_date") >= F.lit(begin.date()))
+        )
     ts = F.col("ts")
     in_current = ts >= _instant(events, begin)
     in_previous = ts < _instant(events, end - back)

@@ -42,12 +42,12 @@ class MonitorBatch:
     def created(self) -> DataFrame:
         """The accepted monitors in their stored form.
 
-        The GUID follows from account, name and address, so that running a batch
-        again gives the same monitors.
+        The GUID follows from the request's id, account, name and address, each
+        preceded by its length, so that every accepted request gives a monitor of
+        its own and running a batch again gives the same monitors.
         """
-        identity = F.md5(
-            F.concat_ws("|", F.col("account_id").cast("string"), "name", "uri")
-        )
+        parts = [F.col(c).cast("string") for c in ("req_id", "account_id", "name", "uri")]
+        identity = F.md5(F.concat_ws("|", *[F.concat(F.length(p), F.lit(":"), p) for p in parts]))
         return self.checked.filter(F.col("outcome") == OK).select(
             "req_id",
             F.concat(F.lit("SYNTH|"), identity).alias("guid"),
@@ -91,8 +91,7 @@ def check_monitors(requests: DataFrame, default_account: int | None = None) -> M
 def as_entities(created: DataFrame) -> DataFrame:
     """Created monitors as catalog rows, for the union with the other kinds.
 
-    A batch may ask for one monitor twice, and a rerun writes it again: the
-    first request counts.
+    A rerun writes a monitor again: one of its rows counts.
     """
     monitor = F.struct(
         F.col("type").alias("monitor_type"),

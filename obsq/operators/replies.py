@@ -14,21 +14,27 @@ DATA = "data"
 ERROR = "error"
 UNDECODABLE = "undecodable"
 UNEXPECTED = "unexpected"
+EMPTY = "empty"
 
 
 def parse_replies(
     archive: DataFrame, rows_path: Sequence[str], raw: str = "raw"
 ) -> DataFrame:
-    """One output row per data row, per error, and per reply that is neither.
+    """One output row per data row, per error, and per reply without either.
 
     ``rows_path`` leads from ``data`` to the list of rows inside a reply. The
     archive's other columns are kept, and added are
 
     - ``kind``: data, error, undecodable (not a JSON object of the expected
-      shape) or unexpected (an object with neither data nor errors),
+      shape), unexpected (neither data nor errors, or data of another shape) or
+      empty (data that is null or an empty list, or an empty list of errors),
     - ``position``: place within the reply's list, from 0,
-    - ``content``: a data row as JSON text, an error's message, or the first 500
-      characters of any other reply.
+    - ``content``: a data row as JSON text, an error's message (the whole error
+      where it has none), the first 500 characters of an undecodable reply, or
+      the whole of any other,
+    - ``detail``: the whole error as JSON text, null for the other kinds.
+
+    No reply is lost: each gives at least one row.
 
     A reply may hold data and errors at once, and ``"data": null`` holds no rows.
     The text is read once for all kinds; filter on ``kind`` or partition a write
@@ -39,7 +45,7 @@ def parse_replies(
     shape = "array<string>"
     for field in reversed(rows_path):
         shape = f"struct<`{_identifier(field)}`: {shape}>"
-    schema = f"data {shape}, errors array<struct<message: string>>, _malformed string"
+    schema = f"data {shape}, errors array<string>, _malformed string"
 
     text = F.col(raw)
     reply = F.from_json(
@@ -48,31 +54,38 @@ def parse_replies(
     rows = F.col("_reply.data")
     for field in rows_path:
         rows = rows[field]
-    none = F.array().cast("array<struct<kind: string, position: int, content: string>>")
+    none = F.array().cast("array<struct<kind: string, position: int, content: string, detail: string>>")
+    nothing = F.lit(None).cast("string")
 
-    def items(kind, contents):
-        return F.transform(
-            contents,
-            lambda content, i: F.struct(
-                F.lit(kind).alias("kind"), i.alias("position"), content.alias("content")
-            ),
+    def item(kind, position, content, detail=nothing):
+        return F.struct(
+            F.lit(kind).alias("kind"), position.alias("position"), content.alias("content"), detail.alias("detail")
         )
 
-    whole = F.array(excerpt(F.coalesce(text, F.lit(""))))
+    def whole(kind, content):
+        return F.array(item(kind, F.lit(0), content))
+
+    full = F.coalesce(text, F.lit(""))
     decoded = F.col("_reply").isNotNull() & F.col("_reply._malformed").isNull()
-    answered = F.col("_reply.data").isNotNull() | F.col("_reply.errors").isNotNull()
-    has_answer_key = F.arrays_overlap(
-        F.json_object_keys(text), F.array(F.lit("data"), F.lit("errors"))
+    items = F.concat(
+        F.coalesce(F.transform(rows, lambda row, i: item(DATA, i, row)), none),
+        F.coalesce(
+            F.transform(
+                "_reply.errors",
+                lambda e, i: item(ERROR, i, F.coalesce(F.get_json_object(e, "$.message"), e), e),
+            ),
+            none,
+        ),
     )
-    messages = F.transform("_reply.errors", lambda e: e["message"])
+    # what is there but holds nothing: a null, or an empty list
+    empty = F.coalesce(F.size(rows) == 0, F.lit(False)) | F.coalesce(
+        F.size("_reply.errors") == 0, F.lit(False)
+    ) | (F.arrays_overlap(F.json_object_keys(text), F.array(F.lit("data"))) & F.col("_reply.data").isNull())
     content = (
-        F.when(~decoded, items(UNDECODABLE, whole))
-        .when(~answered & ~has_answer_key, items(UNEXPECTED, whole))
-        .otherwise(
-            F.concat(
-                F.coalesce(items(DATA, rows), none), F.coalesce(items(ERROR, messages), none)
-            )
-        )
+        F.when(~decoded, whole(UNDECODABLE, excerpt(full)))
+        .when(F.size(items) > 0, items)
+        .when(F.coalesce(empty, F.lit(False)), whole(EMPTY, full))
+        .otherwise(whole(UNEXPECTED, full))
     )
     return (
         archive.withColumn("_reply", reply)

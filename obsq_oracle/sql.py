@@ -559,7 +559,8 @@ FROM judged""",
     # --- monitors ---
     "monitor_create": _sql(
         """
-SELECT req_id, 'SYNTH|' || md5(account_id || '|' || name || '|' || uri) AS guid, account_id, name,
+SELECT req_id, 'SYNTH|' || md5(length(req_id::VARCHAR) || ':' || req_id || '|' || length(account_id::VARCHAR) || ':'
+       || account_id || '|' || length(name) || ':' || name || '|' || length(uri) || ':' || uri) AS guid, account_id, name,
        uri, first_location || ';' || second_location AS locations_public, period, status,
        'SIMPLE_BROWSER' AS type, tags_text
 FROM monitor_checked WHERE outcome = 'OK'""",

@@ -213,3 +213,9 @@ def test_filled_and_compared_events_are_read_once(fixtures):
         EventQuery(fixtures.event, [n()], None, begin, begin + HOUR, ["event_type"], compare_back=HOUR),
     ):
         assert plan(query.rows).count("FileScan") == 1
+
+
+def test_attribute_with_a_quote(spark):
+    rows = spark.createDataFrame([('{"it\'s": 5, "k": 1}',), ("{}",), (None,)], "props string")
+    got = [tuple(r) for r in rows.select(events.attribute("it's"), events.attribute("k")).collect()]
+    assert got == [("5", "1"), (None, None), (None, None)]

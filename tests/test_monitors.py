@@ -93,3 +93,11 @@ def test_checking_needs_no_shuffle(fixtures):
     batch = check_monitors(fixtures.monitor_request)
     text = batch.created._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text
+
+
+def test_each_accepted_request_has_a_monitor_of_its_own(spark):
+    schema = "req_id long, account_id int, name string, uri string, locations array<string>, period string, status string, tags array<struct<key: string, value: string>>"
+    asked = [(1, 7, "a|b", "c"), (2, 7, "a", "b|c"), (3, 7, "a", "b|c")]
+    requests = spark.createDataFrame([(*a, ["X"], None, None, None) for a in asked], schema)
+    created = check_monitors(requests).created
+    assert as_entities(created.unionByName(created)).count() == 3

@@ -19,7 +19,7 @@ from tests.helpers import entities, outcomes, plan, values
 
 def parsed(spark, *texts, path=("rows",)):
     archive = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, raw string")
-    return values(parse_replies(archive, list(path)))
+    return values(parse_replies(archive, list(path)).drop("detail"))
 
 
 def test_replies_of_every_shape(spark):
@@ -47,6 +47,8 @@ def test_replies_of_every_shape(spark):
             (1, "error", 0, "partly"),
             (2, "error", 0, "x"),
             (2, "error", 1, "y"),
+            (3, "empty", 0, '{"data": null}'),
+            (4, "empty", 0, '{"data": {"rows": []}}'),
             (5, "unexpected", 0, '{"other": 1}'),
             (6, "undecodable", 0, "<html>gateway</html>"),
             (7, "undecodable", 0, '{"data": {"rows": [{"a": 1'),
@@ -54,11 +56,28 @@ def test_replies_of_every_shape(spark):
             (9, "undecodable", 0, ""),
             (10, "undecodable", 0, "[]"),
             (11, "undecodable", 0, '{"data": {"rows": 5}}'),
+            (12, "empty", 0, '{"errors": []}'),
         ],
         key=str,
     )
 
 
+def test_no_reply_is_cut_or_lost(spark):
+    long = '{"value": "' + "x" * 2000 + '"}'
+    other = '{"data": {"actor": {"rows": [1]}}}'
+    error = '{"message":"m","extensions":{"code":7},"path":["a"]}'
+    archive = spark.createDataFrame(
+        enumerate([long, other, f'{{"errors": [{error}, {{"code": 3}}]}}']), "id int, raw string"
+    )
+    rows = values(parse_replies(archive, ["rows"]))
+    assert rows == [
+        (0, "unexpected", 0, long, None),
+        (1, "unexpected", 0, other, None),
+        (2, "error", 0, "m", error),
+        (2, "error", 1, '{"code":3}', '{"code":3}'),
+    ]
+
+
 def test_rows_further_down_and_long_texts(spark):
     nested = '{"data": {"actor": {"found": {"rows": ["p", 2]}}}}'
     rows = parsed(spark, nested, "x" * 2000, path=("actor", "found", "rows"))

@@ -12,6 +12,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from obsq.llm import boosting, bpe, htmltext, linededup, mixing, pii, quality, secrets, simhash, topk, toxicity
+from obsq.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans int, row string"
 LONG = "word " * 20_000 + "end"
@@ -167,6 +168,27 @@ def test_near_dedup(spark, docs):
     assert kept.columns == docs.columns and kept.count() == len(set(group))
 
 
+@pytest.mark.parametrize("links", [
+    [], [(1, 2), (1, 3), (4, 5)], [(n + 1, n) for n in range(40)], [(5, 5)],
+    [(n, (n * 7919 + 3) % 60) for n in range(60) if n % 3],
+])
+def test_components(spark, links):
+    parent = {}
+
+    def root(n):
+        while parent.setdefault(n, n) != n:
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        if a != b:
+            high, low = sorted((root(a), root(b)), reverse=True)
+            parent[high] = low
+    rows = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(rows) == len(parent)
+    assert {r.node: r.component for r in rows} == {n: root(n) for n in parent}
+
+
 def test_quality(spark, docs, labels):
     got = quality.quality_rules(docs, labels)
     want = []

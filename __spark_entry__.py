@@ -367,6 +367,45 @@ def event_timeseries_compare(spark, folder):
     ).rows
 
 
+def event_account(spark, folder):
+    return _events(spark, folder).event_query(
+        [_n(), _users()], facets=["event_type"], account=5
+    ).rows
+
+
+def event_default_account(spark, folder):
+    return _events(spark, folder).event_query([_n(), _users()], facets=["event_type"]).rows
+
+
+def event_filled_measures(spark, folder):
+    """Empty buckets count 0 and have no largest value and no text."""
+    return _events(spark, folder).event_query(
+        [_n(), F.max("value").alias("max_value"), F.min("props").alias("first_props")],
+        begin=datetime(2024, 1, 10),
+        end=datetime(2024, 1, 12),
+        facets=["event_type"],
+        bucket=HOUR,
+        fill=True,
+    ).rows
+
+
+def event_bucket_total(spark, folder):
+    return _events(spark, folder).event_query(
+        [_n(), _users()], facets=["event_type"], bucket=HOUR, account=ALL_ACCOUNTS
+    ).with_total
+
+
+def event_compare_total(spark, folder):
+    return _events(spark, folder).event_query(
+        [_n()],
+        begin=datetime(2024, 1, 15),
+        end=datetime(2024, 1, 16),
+        facets=["event_type"],
+        compare_back=timedelta(days=1),
+        account=ALL_ACCOUNTS,
+    ).with_total
+
+
 # --- alerts ----------------------------------------------------------------
 
 
@@ -425,6 +464,26 @@ def incident_ack_outcome(spark, folder):
     )
 
 
+def account_ack_outcome(spark, folder):
+    fixtures = _fixtures(spark, folder)
+    return acknowledge.acknowledge(fixtures.account_ack, fixtures.incident, DEFAULT_ACCOUNT)
+
+
+def account_ack_state(spark, folder):
+    fixtures = _fixtures(spark, folder)
+    return acknowledge.current_incidents(
+        fixtures.incident, fixtures.account_ack, DEFAULT_ACCOUNT
+    ).select("incident_id", "account_id", "state", "acknowledged_by", "acknowledged_at")
+
+
+def account_ack_still_open(spark, folder):
+    fixtures = _fixtures(spark, folder)
+    remaining = acknowledge.still_open(fixtures.incident, fixtures.account_ack, DEFAULT_ACCOUNT)
+    return _flat_entity(
+        alerts.list_open_incidents(remaining, fixtures.entity, ALL_ACCOUNTS).rows
+    )
+
+
 # --- monitors --------------------------------------------------------------
 
 
@@ -472,7 +531,9 @@ _QUERIES = [
     open_incident_after_ack, incident_current_state, incident_ack_outcome,
     event_count, event_time_range, event_facet, event_facet_attr, event_timeseries,
     event_timeseries_facet, event_timeseries_filled, event_total_result, event_metadata,
-    event_compare, event_timeseries_compare,
+    event_compare, event_timeseries_compare, event_account, event_default_account,
+    event_filled_measures, event_bucket_total, event_compare_total,
+    account_ack_outcome, account_ack_state, account_ack_still_open,
 ]
 
 

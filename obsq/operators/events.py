@@ -7,15 +7,18 @@ Facets are column names or aliased Columns, such as an attribute read from JSON.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, TimestampNTZType
 
 from obsq.errors import RequestError
 
 EPOCH = datetime(1970, 1, 1)
+#: Buckets made from one row at a time when gaps are filled.
+BLOCK = 4096
 
 
 def attribute(name: str, props: str = "props") -> Column:
@@ -110,47 +113,62 @@ def timeseries_filled(
     end: datetime,
     facets: Sequence[str | Column] = (),
     origin: datetime = EPOCH,
+    zero: bool = True,
 ) -> DataFrame:
-    """As :func:`timeseries` over a window, with empty buckets as zero.
+    """As :func:`timeseries` over a window, with rows for empty buckets.
+
+    In these, measures are zero, or without ``zero`` only those that are never
+    null, which counts are; the others are null.
 
     Every facet value seen in the window gets every bucket of it. The events are
     read once: gaps are filled between the buckets that were found, in a window
-    that holds one row per bucket of a facet value, not one per event.
+    that holds one row per bucket of a facet value, not one per event. A gap is
+    cut into blocks, which are dealt to all tasks before they become buckets.
     """
     found = timeseries(scan_events(events, None, begin, end), aggregates, bucket, facets, origin)
     names = _names(events, facets)
     measures = [c for c in found.columns if c not in ("bucket_start", "bucket_end", *names)]
     size = _seconds(bucket)
-    first = _floor(begin, size, origin)
-    last = _floor(end - timedelta(microseconds=1), size, origin)
-    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(size))
+    first = _slot_of(events, begin, size, origin)
+    last = _slot_of(events, end - timedelta(microseconds=1), size, origin)
+    step = _interval(size)
     if names:
         within = Window.partitionBy(*names).orderBy("bucket_start")
         before = F.lag("bucket_start").over(within)
         behind = F.lead("bucket_start").over(within)
         # A bucket stands for the gap behind it, the first one also for that before.
         spread = found.withColumn(
-            "_from", F.when(before.isNull(), _instant(events, first)).otherwise(F.col("bucket_start"))
-        ).withColumn("_to", F.coalesce(behind - step, _instant(events, last)))
-        slots = spread.withColumn("_slot", F.explode(F.sequence("_from", "_to", step)))
+            "_from", F.when(before.isNull(), first).otherwise(F.col("bucket_start"))
+        ).withColumn("_to", F.coalesce(behind - step, last))
+        slots = _each_slot(spread, size)
     else:
-        count = (last - first) // timedelta(seconds=size) + 1
-        offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id") * size)
-        spine = events.sparkSession.range(count).select(
-            (_instant(events, first) + offset).alias("_slot")
-        )
+        whole = events.sparkSession.range(1).select(first.alias("_from"), last.alias("_to"))
+        spine = _each_slot(whole, size).select("_slot")
         slots = spine.join(found, F.col("_slot") == F.col("bucket_start"), "left")
+    fields = {f.name: f for f in found.schema}
+    counts = [m for m in measures if not fields[m].nullable and isinstance(fields[m].dataType, NumericType)]
+    empty = {m: F.lit(0 if zero or m in counts else None) for m in measures}
     return slots.select(
         F.col("_slot").alias("bucket_start"),
         (F.col("_slot") + step).alias("bucket_end"),
         *names,
         *[
-            F.when(F.col("_slot") == F.col("bucket_start"), F.col(m)).otherwise(F.lit(0)).alias(m)
+            F.when(F.col("_slot") == F.col("bucket_start"), F.col(m)).otherwise(empty[m]).alias(m)
             for m in measures
         ],
     )
 
 
+def _each_slot(spans: DataFrame, size: int) -> DataFrame:
+    """A row for each bucket ``_slot`` from ``_from`` to ``_to``, by way of blocks of buckets."""
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = spans.withColumn(
+        "_block", F.explode(F.sequence("_from", "_to", _interval(size * BLOCK)))
+    ).repartition(parts, "_block", "_from", "_to")
+    block_end = F.least(F.col("_to"), F.col("_block") + _interval(size * (BLOCK - 1)))
+    return blocks.withColumn("_slot", F.explode(F.sequence("_block", block_end, _interval(size))))
+
+
 def compare(
     events: DataFrame,
     aggregates: Sequence[Column],
@@ -296,7 +314,8 @@ class EventQuery:
             return facet(self._in_window, self.aggregates, self.facets)
         if self.fill:
             return timeseries_filled(
-                self._of_types, self.aggregates, self.bucket, self.begin, self.end, self.facets
+                self._of_types, self.aggregates, self.bucket, self.begin, self.end, self.facets,
+                zero=False,
             )
         return timeseries(self._in_window, self.aggregates, self.bucket, self.facets)
 
@@ -306,7 +325,19 @@ class EventQuery:
 
     @property
     def with_total(self) -> DataFrame:
-        return facet_with_total(self._in_window, self.aggregates, self.facets)
+        """``rows`` and, marked by ``is_total``, the same question without facets and buckets."""
+        if self.fill or self.compare_back is not None:
+            if self.bucket is None and not self.facets:
+                raise RequestError("a total beside facets needs a facet")
+            overall = replace(self, facets=(), bucket=None, fill=False).rows
+            return self.rows.withColumn("is_total", F.lit(0)).unionByName(
+                overall.withColumn("is_total", F.lit(1)), allowMissingColumns=True
+            )
+        if self.bucket is None:
+            return facet_with_total(self._in_window, self.aggregates, self.facets)
+        placed = self._in_window.withColumn("_slot", F.window("ts", f"{_seconds(self.bucket)} seconds"))
+        ends = [F.col(f"_slot.{end}").alias(f"bucket_{end}") for end in ("start", "end")]
+        return facet_with_total(placed, self.aggregates, [*ends, *self.facets])
 
     @property
     def metadata(self) -> DataFrame:
@@ -320,6 +351,19 @@ def _instant(events: DataFrame, value: datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast(events.schema["ts"].dataType)
 
 
+def _interval(seconds: int) -> Column:
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+
+
+def _slot_of(events: DataFrame, value: datetime, size: int, origin: datetime) -> Column:
+    """The start of the bucket of a moment; instants are placed on the grid in UTC, as ``window`` does."""
+    if events.schema["ts"].dataType == TimestampNTZType():
+        return _instant(events, _floor(value, size, origin))
+    offset = int((origin - EPOCH).total_seconds()) * 1_000_000
+    micros = F.unix_micros(_instant(events, value))
+    return F.timestamp_micros(micros - F.pmod(micros - F.lit(offset), F.lit(size * 1_000_000)))
+
+
 def _seconds(bucket: timedelta) -> int:
     size = int(bucket.total_seconds())
     if size < 1 or timedelta(seconds=size) != bucket:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from obsq.schema import INCIDENT_PREFERENCES, MONITOR_STATUSES, PERIODS
 from obsq.sources.catalog import union_kinds
@@ -310,6 +311,24 @@ class Fixtures:
             )
         )
 
+    @cached_property
+    def account_ack(self) -> DataFrame:
+        """Two requests per incident: most name its account, some another one or none."""
+        owners = self.incident.select("incident_id", F.col("account_id").alias("owner"))
+        return (
+            self.sample("events")
+            .withColumn("incident_id", F.expr("event_id div 2"))
+            .join(owners, "incident_id", "left")
+            .selectExpr(
+                "event_id AS req_id",
+                "if(event_id % 10 = 8, -event_id, incident_id) AS incident_id",
+                "CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN owner + 1 ELSE owner END AS account_id",
+                "if(event_id % 3 = 0, concat('seen by ', user_id), NULL) AS message",
+                "CAST(user_id AS string) AS acknowledged_by",
+                "ts AS acknowledged_at",
+            )
+        )
+
     # --- requests ---
 
     @cached_property

@@ -116,6 +116,19 @@ CTES = {
          CASE WHEN event_id % 3 = 0 THEN 'seen by ' || user_id END AS message,
          user_id::VARCHAR AS acknowledged_by, ts AS acknowledged_at
   FROM events WHERE event_type = 'click'
+)""",
+    "scoped": """scoped AS (
+  SELECT * FROM events
+  WHERE user_id % 25 = 7 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'
+)""",
+    "account_ack": """account_ack AS (
+  SELECT event_id AS req_id,
+         CASE WHEN event_id % 10 = 8 THEN -event_id ELSE event_id // 2 END AS incident_id,
+         nullif(coalesce(CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN i.account_id + 1
+                              ELSE i.account_id END, 7), 0)::INTEGER AS account_id,
+         CASE WHEN event_id % 3 = 0 THEN 'seen by ' || user_id END AS message,
+         user_id::VARCHAR AS acknowledged_by, ts AS acknowledged_at
+  FROM events LEFT JOIN incident i ON i.incident_id = event_id // 2
 )""",
     "monitor_checked": f"""monitor_request AS (
   SELECT page_id AS req_id, CASE WHEN page_id % 11 = 0 THEN '' ELSE 'mon-' || page_id END AS name,
@@ -454,6 +467,48 @@ CROSS JOIN (SELECT DISTINCT event_type FROM events
 LEFT JOIN events e ON e.event_type = f.event_type AND e.ts >= bucket_start
      AND e.ts < bucket_start + INTERVAL 1 HOUR
 GROUP BY 1, 2, 3"""
+    ),
+    "event_account": _sql(
+        """
+SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users
+FROM events WHERE user_id % 25 = 5 GROUP BY event_type"""
+    ),
+    "event_default_account": _sql(
+        """
+SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users
+FROM events WHERE user_id % 25 = 7 GROUP BY event_type"""
+    ),
+    "event_filled_measures": _sql(
+        """, b AS (
+  SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-11 23:00:00',
+                                INTERVAL 1 HOUR)) AS bucket_start)
+SELECT bucket_start, bucket_start + INTERVAL 1 HOUR AS bucket_end, f.event_type,
+       count(e.event_id) AS n, max(e.value) AS max_value, min(e.props) AS first_props
+FROM b CROSS JOIN (SELECT DISTINCT event_type FROM scoped) f
+LEFT JOIN scoped e ON e.event_type = f.event_type AND e.ts >= bucket_start
+     AND e.ts < bucket_start + INTERVAL 1 HOUR
+GROUP BY 1, 2, 3""",
+        "scoped",
+    ),
+    "event_bucket_total": _sql(
+        """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket_start,
+       time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS bucket_end, event_type,
+       0 AS is_total, count(*) AS n, count(DISTINCT user_id) AS users
+FROM events GROUP BY 1, 2, 3
+UNION ALL
+SELECT NULL, NULL, NULL, 1, count(*), count(DISTINCT user_id) FROM events"""
+    ),
+    "event_compare_total": _sql(
+        """
+WITH sides AS (
+  SELECT *, ts >= TIMESTAMP '2024-01-15' AS now FROM events
+  WHERE ts >= TIMESTAMP '2024-01-14' AND ts < TIMESTAMP '2024-01-16'), counted AS (
+  SELECT event_type, grouping(event_type)::INTEGER AS is_total,
+         nullif(count(*) FILTER (now), 0) AS current_n,
+         nullif(count(*) FILTER (NOT now), 0) AS previous_n
+  FROM sides GROUP BY GROUPING SETS ((event_type), ()))
+SELECT * FROM counted"""
     ),
     "event_total_result": _sql(
         """
@@ -556,6 +611,44 @@ SELECT req_id, incident_id, 7 AS account_id, message, acknowledged_by, acknowled
 FROM judged""",
         "incident", "ack",
     ),
+    "account_ack_outcome": _sql(
+        """, judged AS (
+  SELECT a.*, i.state AS base_state, i.title AS base_title,
+         CASE WHEN a.account_id IS NULL THEN 'ACCOUNT' WHEN a.incident_id <= 0 THEN 'INVALID_ID'
+              WHEN i.incident_id IS NULL THEN 'NOT_FOUND' WHEN i.state <> 'OPEN' THEN 'NOT_OPEN'
+              WHEN row_number() OVER (PARTITION BY a.account_id, a.incident_id
+                                      ORDER BY acknowledged_at, req_id) > 1 THEN 'ALREADY_ACKED'
+              ELSE 'OK' END AS outcome
+  FROM account_ack a LEFT JOIN incident i
+    ON i.incident_id = a.incident_id AND i.account_id = a.account_id AND a.incident_id > 0)
+SELECT req_id, incident_id, account_id, message, acknowledged_by, acknowledged_at, outcome,
+       CASE WHEN outcome = 'OK' THEN 'ACKNOWLEDGED' ELSE base_state END AS state,
+       CASE WHEN outcome = 'OK' THEN base_title END AS title
+FROM judged""",
+        "incident", "account_ack",
+    ),
+    "account_ack_state": _sql(
+        """, first AS (
+  SELECT account_id, incident_id, acknowledged_by, acknowledged_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY account_id, incident_id
+                                 ORDER BY acknowledged_at, req_id) AS rn
+    FROM account_ack WHERE incident_id > 0 AND account_id IS NOT NULL) WHERE rn = 1)
+SELECT incident_id, account_id,
+       CASE WHEN i.state = 'OPEN' AND f.incident_id IS NOT NULL THEN 'ACKNOWLEDGED'
+            ELSE i.state END AS state,
+       CASE WHEN i.state = 'OPEN' THEN f.acknowledged_by END AS acknowledged_by,
+       CASE WHEN i.state = 'OPEN' THEN f.acknowledged_at END AS acknowledged_at
+FROM incident i LEFT JOIN first f USING (account_id, incident_id)""",
+        "incident", "account_ack",
+    ),
+    "account_ack_still_open": _sql(
+        f"""
+SELECT {INCIDENT_FIELDS} FROM incident i
+WHERE state = 'OPEN' AND NOT EXISTS (
+  SELECT 1 FROM account_ack a WHERE a.incident_id = i.incident_id AND a.account_id = i.account_id
+    AND a.incident_id > 0)""",
+        "incident", "account_ack",
+    ),
     # --- monitors ---
     "monitor_create": _sql(
         """

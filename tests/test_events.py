@@ -219,3 +219,45 @@ def test_attribute_with_a_quote(spark):
     rows = spark.createDataFrame([('{"it\'s": 5, "k": 1}',), ("{}",), (None,)], "props string")
     got = [tuple(r) for r in rows.select(events.attribute("it's"), events.attribute("k")).collect()]
     assert got == [("5", "1"), (None, None), (None, None)]
+
+
+def test_empty_buckets_of_other_measures(spark):
+    rows = table(spark, "event", at(0, value=-5.0, props="a"), at(2, value=-2.0, props="b"))
+    measures = [n(), F.max("value").alias("top"), F.max("props").alias("text")]
+    for facets in ((), ("event_type",)):
+        query = EventQuery(rows, measures, None, START, START + 3 * HOUR, facets, HOUR, fill=True)
+        got = query.rows.orderBy("bucket_start").select("n", "top", "text").collect()
+        assert [tuple(r) for r in got] == [(1, -5.0, "a"), (0, None, None), (1, -2.0, "b")]
+
+
+def test_long_gaps_of_short_buckets(spark):
+    days = 20
+    rows = table(spark, "event", at(0), at(24 * days - 1))
+    filled = events.timeseries_filled(
+        rows, [n()], timedelta(seconds=1), START, START + timedelta(days=days), ["event_type"]
+    )
+    got = filled.agg(F.count("*"), F.countDistinct("bucket_start"), F.sum("n")).first()
+    assert tuple(got) == (days * 86400, days * 86400, 2)
+
+
+def test_filled_instants_keep_to_one_grid(spark, conf):
+    conf(spark__sql__session__timeZone="Asia/Kolkata")
+    rows = spark.sql(
+        "SELECT explode(array(timestamp'2024-01-01 00:10:00', timestamp'2024-01-01 02:50:00')) AS ts, 'x' AS event_type"
+    )
+    filled = events.timeseries_filled(rows, [n()], HOUR, START, START + 3 * HOUR, ["event_type"])
+    got = filled.orderBy("bucket_start").selectExpr("date_format(bucket_start, 'HH:mm')", "n").collect()
+    assert [tuple(r) for r in got] == [("23:30", 1), ("00:30", 0), ("01:30", 0), ("02:30", 1)]
+
+
+def test_total_beside_buckets_and_comparisons(spark):
+    rows = table(spark, "event", at(0, user_id=1), at(1, user_id=1), at(1, user_id=2))
+    users = F.countDistinct("user_id").alias("users")
+    for fill in (False, True):
+        query = EventQuery(rows, [users], None, START, START + 2 * HOUR, (), HOUR, fill=fill)
+        got = query.with_total.select("bucket_start", "is_total", "users")
+        assert values(got) == sorted([(START, 0, 1), (START + HOUR, 0, 2), (None, 1, 2)], key=str)
+    compared = EventQuery(rows, [n()], None, START + HOUR, START + 2 * HOUR, ["event_type"], compare_back=HOUR)
+    assert values(compared.with_total, "event_type", "is_total", "current_n", "previous_n") == sorted(
+        [("view", 0, 2, 1), (None, 1, 2, 1)], key=str
+    )

@@ -12,6 +12,19 @@ from obsq.operators.paging import BY_POLICY, NEWEST_INCIDENT, Listing
 from obsq.schema import OPEN, PRIORITIES
 
 POLICY_FIELDS = ["policy_id", "name", "incident_preference"]
+INCIDENT_FIELDS = [
+    "incident_id",
+    "title",
+    "priority",
+    "state",
+    "policy_name",
+    "condition_name",
+    "entity",
+    "started_at",
+    "updated_at",
+    "description",
+    "violation_url",
+]
 
 
 def list_policies(
@@ -48,20 +61,15 @@ def list_open_incidents(
         F.col("guid").alias("entity_guid"),
         F.struct("guid", "name", "type").alias("entity"),
     )
-    matches = scoped.join(raised_by, "entity_guid", "left").select(
-        "incident_id",
-        "title",
-        "priority",
-        "state",
-        "policy_name",
-        "condition_name",
-        "entity",
-        "started_at",
-        "updated_at",
-        "description",
-        "violation_url",
-    )
-    return Listing(matches, NEWEST_INCIDENT, limit)
+
+    def with_entities(rows: DataFrame, is_page: bool) -> DataFrame:
+        """A page takes its few entities out of the catalog before it is joined."""
+        known = raised_by
+        if is_page:
+            known = known.join(rows.select("entity_guid").distinct(), "entity_guid", "left_semi")
+        return rows.join(known, "entity_guid", "left").select(INCIDENT_FIELDS)
+
+    return Listing(scoped, NEWEST_INCIDENT, limit, with_entities)
 
 
 def _priority(text: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import cached_property, reduce
@@ -52,11 +52,16 @@ def _literal(rows: DataFrame, key: str, value) -> Column:
 
 @dataclass(frozen=True)
 class Listing:
-    """All matching rows in an order, cut to ``limit`` when there is one."""
+    """All matching rows in an order, cut to ``limit`` when there is one.
+
+    ``complete`` adds what other tables know about rows, one row each, and is told
+    whether they are a page. Totals and cursors do without.
+    """
 
     matches: DataFrame
     order: Order
     limit: int | None = None
+    complete: Callable[[DataFrame, bool], DataFrame] | None = None
 
     def __post_init__(self):
         if self.limit is not None and self.limit <= 0:
@@ -66,8 +71,12 @@ class Listing:
     def rows(self) -> DataFrame:
         """The page; without a limit, every match in no particular order."""
         if self.limit is None:
-            return self.matches
-        return self.matches.orderBy(*self.order.columns()).limit(self.limit)
+            return self.complete(self.matches, False) if self.complete else self.matches
+        page = self._cut(self.matches)
+        return self._cut(self.complete(page, True)) if self.complete else page
+
+    def _cut(self, rows: DataFrame) -> DataFrame:
+        return rows.orderBy(*self.order.columns()).limit(self.limit)
 
     @property
     def total(self) -> DataFrame:
@@ -81,7 +90,7 @@ class Listing:
     def after(self, *cursor) -> Listing:
         """The listing behind a cursor, i.e. behind the last row of a page."""
         behind = self.matches.filter(self.order.after(self.matches, cursor))
-        return Listing(behind, self.order, self.limit)
+        return Listing(behind, self.order, self.limit, self.complete)
 
     @property
     def next_cursor(self) -> DataFrame:

@@ -293,3 +293,19 @@ def test_account_lookup_and_resolution(spark):
     assert Workspace(spark, {"account": known}, 6).account_details().count() == 0
     with pytest.raises(AccountRequired):
         Workspace(spark, {"account": known}, 0).account_details()
+
+
+def test_only_a_page_of_incidents_meets_the_catalog(fixtures):
+    listed = alerts.list_open_incidents(fixtures.incident, fixtures.entity, ALL_ACCOUNTS, limit=100)
+    for keys_only in (listed.total, listed.next_cursor):
+        assert "entity_guid" not in first_plan(keys_only)
+    # every join with the catalog has the limit below it
+    joined = listed.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("GlobalLimit 100") >= 2
+    assert joined.index("GlobalLimit 100") < joined.index("LeftOuter")
+    below = joined[joined.index("LeftOuter"):]
+    assert below.index("GlobalLimit 100") < below.index("LeftSemi")
+    page = [tuple(r) for r in listed.rows.select("incident_id", "entity.guid").collect()]
+    whole = alerts.list_open_incidents(fixtures.incident, fixtures.entity, ALL_ACCOUNTS).rows
+    newest = whole.orderBy(F.desc("started_at"), F.desc("incident_id")).limit(100)
+    assert page == [tuple(r) for r in newest.select("incident_id", "entity.guid").collect()]

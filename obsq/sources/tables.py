@@ -23,9 +23,15 @@ PARTITIONS = {
 # columns that windows, cursors, lookups and account scopes filter by.
 SORTED = {
     "entity": ["guid"],
-    "event": ["ts"],
+    "event": ["account_id", "ts"],
     "incident": ["account_id", "started_at"],
     "policy": ["account_id", "policy_id"],
+    "violation": ["guid", "opened_at"],
+    "alert_condition": ["guid"],
+    "relationship": ["source_guid"],
+    "app_instance": ["guid"],
+    "dashboard_page": ["dashboard_guid"],
+    "dashboard_widget": ["page_guid"],
 }
 
 

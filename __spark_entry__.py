@@ -22,7 +22,7 @@ from obsq.functions.rendering import (  # noqa: E402
     reply_text,
     tags_text,
 )
-from obsq.operators import acknowledge, alerts  # noqa: E402
+from obsq.operators import acknowledge, alerts, details  # noqa: E402
 from obsq.operators.accounts import resolve_accounts  # noqa: E402
 from obsq.operators.events import attribute, scan_events  # noqa: E402
 from obsq.operators.replies import parse_replies  # noqa: E402
@@ -230,6 +230,50 @@ def entity_detail_nested(spark, folder):
     )
 
 
+def entity_detail_requested(spark, folder):
+    fixtures = _fixtures(spark, folder)
+    found = details.requested_details(
+        fixtures.guid_request,
+        fixtures.entity,
+        fixtures.violation,
+        fixtures.alert_condition,
+        fixtures.policy,
+        fixtures.delivery,
+        fixtures.app_instance,
+        fixtures.dashboard_page,
+        fixtures.dashboard_widget,
+        children_per_row=100,
+    )
+
+    def text(items: str, *fields: str):
+        return F.array_join(
+            F.transform(items, lambda i: F.concat_ws(":", *[i[f].cast("string") for f in fields])),
+            ",",
+        ).alias(items)
+
+    widgets = F.transform(
+        "pages",
+        lambda p: F.concat_ws(
+            ":",
+            p["page_guid"],
+            F.array_join(F.transform(p["widgets"], lambda w: w["widget_id"].cast("string")), "+"),
+        ),
+    )
+    return found.select(
+        "guid",
+        "part",
+        "outcome",
+        "name",
+        "apm.language",
+        "host.operating_system",
+        text("recent_violations", "rank", "violation_id"),
+        text("conditions", "condition_id", "policy_name"),
+        text("relationships", "source_guid", "target_guid"),
+        text("running_instances", "rank", "instance_id"),
+        F.array_join(widgets, ",").alias("pages"),
+    )
+
+
 def entity_recent_violations(spark, folder):
     return _rank_as_long(_workspace(spark, folder, "violation").recent_violations(), "rank")
 
@@ -469,6 +513,14 @@ def account_ack_outcome(spark, folder):
     return acknowledge.acknowledge(fixtures.account_ack, fixtures.incident, DEFAULT_ACCOUNT)
 
 
+def account_ack_rerun(spark, folder):
+    """The outcomes of a batch judged again after its accepted rows were logged."""
+    fixtures = _fixtures(spark, folder)
+    batch, incidents = fixtures.account_ack, fixtures.incident
+    log = acknowledge.accepted(acknowledge.acknowledge(batch, incidents, DEFAULT_ACCOUNT))
+    return acknowledge.acknowledge_again(batch, incidents, log, DEFAULT_ACCOUNT)
+
+
 def account_ack_state(spark, folder):
     fixtures = _fixtures(spark, folder)
     return acknowledge.current_incidents(
@@ -533,7 +585,8 @@ _QUERIES = [
     event_timeseries_facet, event_timeseries_filled, event_total_result, event_metadata,
     event_compare, event_timeseries_compare, event_account, event_default_account,
     event_filled_measures, event_bucket_total, event_compare_total,
-    account_ack_outcome, account_ack_state, account_ack_still_open,
+    account_ack_outcome, account_ack_state, account_ack_still_open, account_ack_rerun,
+    entity_detail_requested,
 ]
 
 

@@ -49,14 +49,45 @@ def acknowledge(
     row per incident before any shuffle, and hot incidents are split when the
     result is joined back.
     """
+    return _judge(requests, incidents, default_account, match_account)
+
+
+def acknowledge_again(
+    requests: DataFrame,
+    incidents: DataFrame,
+    log: DataFrame,
+    default_account: int | None = None,
+    match_account: bool = True,
+) -> DataFrame:
+    """Outcomes of a batch whose accepted requests may be in the log already.
+
+    A request that the log took is OK again, and those that lost to it in the
+    batch are ALREADY_ACKED again. A request is recognised by its ``req_id``,
+    which no other batch may use. ``incidents`` are in their base state.
+    """
+    now = _folded(incidents, log, default_account, match_account)
+    return _judge(requests, now, default_account, match_account, F.col("_logged"))
+
+
+def _judge(
+    requests: DataFrame,
+    incidents: DataFrame,
+    default_account: int | None,
+    match_account: bool,
+    logged: Column | None = None,
+) -> DataFrame:
+    """``logged`` is the request the log accepted for an incident, null if none."""
     keys = ["account_id", "incident_id"] if match_account else ["incident_id"]
     asked = requests.withColumn(
         "account_id", resolved_account(F.col("account_id"), default_account)
     ).withColumn("message", F.nullif("message", F.lit("")))
     per_incident = _first_requests(asked, keys)
-    base = incidents.select(*keys, "state", "title")
+    logged = F.lit(None).cast("bigint") if logged is None else logged
+    base = incidents.select(*keys, "state", "title", logged.alias("_logged"))
+    # the batch that was logged finds its incidents as it found them then
+    state = F.when(F.col("first.req_id") == F.col("_logged"), OPEN).otherwise(F.col("state"))
     known = per_incident.join(base, keys).select(
-        *keys, F.col("first.req_id").alias("_first"), F.col("state").alias("_base"), "title"
+        *keys, F.col("first.req_id").alias("_first"), state.alias("_base"), "title", "_logged"
     )
     counts = per_incident.select(*keys, "_requests")
     placed = salted_left_join(asked, known, keys, "req_id", counts, "_requests", _is_valid())
@@ -64,6 +95,7 @@ def acknowledge(
         F.when(F.col("account_id").isNull(), ACCOUNT)
         .when(~F.coalesce(F.col("incident_id") > 0, F.lit(False)), INVALID_ID)
         .when(F.col("_base").isNull(), NOT_FOUND)
+        .when(F.col("req_id") == F.col("_logged"), OK)
         .when(F.col("_base") != OPEN, NOT_OPEN)
         .when(F.col("req_id") != F.col("_first"), ALREADY_ACKED)
         .otherwise(OK)
@@ -93,10 +125,18 @@ def current_incidents(
     ``log`` may hold every request ever made: those that never were valid, or
     came second, have no effect.
     """
+    return _folded(incidents, log, default_account, match_account).drop("_logged")
+
+
+def _folded(
+    incidents: DataFrame, log: DataFrame, default_account: int | None, match_account: bool
+) -> DataFrame:
+    """`current_incidents` with ``_logged``, the request that acknowledged each."""
     keys = ["account_id", "incident_id"] if match_account else ["incident_id"]
     asked = log.withColumn("account_id", resolved_account(F.col("account_id"), default_account))
     first = _first_requests(asked, keys).select(
         *keys,
+        F.col("first.req_id").alias("_req"),
         F.col("first.acknowledged_by").alias("_by"),
         F.col("first.acknowledged_at").alias("_at"),
         F.lit(True).alias("_asked"),
@@ -105,10 +145,11 @@ def current_incidents(
     columns = incidents.columns
     return (
         incidents.join(first, keys, "left")
+        .withColumn("_logged", F.when(changed, F.col("_req")))
         .withColumn("acknowledged_by", F.when(changed, F.col("_by")))
         .withColumn("acknowledged_at", F.when(changed, F.col("_at")))
         .withColumn("state", F.when(changed, F.lit(ACKNOWLEDGED)).otherwise(F.col("state")))
-        .select(*columns, "acknowledged_by", "acknowledged_at")
+        .select(*columns, "acknowledged_by", "acknowledged_at", "_logged")
     )
 
 

@@ -37,6 +37,8 @@ COMMON_FIELDS = [
     "alert_severity",
 ]
 CHILDREN_PER_ROW = 1000
+#: Equal edges that become rows in one go.
+COPY_BLOCK = 4096
 
 
 def entity_details(requests: DataFrame, entities: DataFrame) -> DataFrame:
@@ -60,13 +62,16 @@ def entity_details(requests: DataFrame, entities: DataFrame) -> DataFrame:
 def details_by_type(entities: DataFrame) -> DataFrame:
     """The fields each kind of entity has of its own, one nullable struct per
     kind; only the struct of an entity's own kind is filled."""
-    own = [
+    return entities.select("guid", "name", "domain", "entity_type", *_own_structs())
+
+
+def _own_structs() -> list[Column]:
+    return [
         F.when((F.col("domain") == domain) & (F.col("type") == entity_type), F.col(column)).alias(
             column
         )
         for (domain, entity_type), column in ENTITY_KINDS.items()
     ]
-    return entities.select("guid", "name", "domain", "entity_type", *own)
 
 
 def top_per_parent(
@@ -155,6 +160,21 @@ def entity_relationships(relationships: DataFrame, entities: DataFrame) -> DataF
     ends are resolved once, by two equality joins, and the listings for source
     and target are made from that without an OR in a join condition.
     """
+    return _by_end(_with_ends(relationships, entities)).filter(_end_known()).select(
+        "guid",
+        "type",
+        "source_guid",
+        "source_name",
+        "source_type",
+        "target_guid",
+        "target_name",
+        "target_type",
+    )
+
+
+def _with_ends(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges with the name and type of both ends, null where no entity has the GUID."""
+
     def end(side: str) -> DataFrame:
         return entities.select(
             F.col("guid").alias(f"{side}_guid"),
@@ -165,22 +185,15 @@ def entity_relationships(relationships: DataFrame, entities: DataFrame) -> DataF
 
     # Outer joins keep the edges as the streamed side, whose hot keys can be
     # split, and leave only the catalog to be broadcast if it is small enough.
-    edges = relationships.join(end("source"), "source_guid", "left").join(
+    return edges.join(end("source"), "source_guid", "left").join(
         end("target"), "target_guid", "left"
     )
-    known = F.when(F.col("guid") == F.col("source_guid"), F.col("_source_known")).otherwise(
+
+
+def _end_known() -> Column:
+    return F.when(F.col("guid") == F.col("source_guid"), F.col("_source_known")).otherwise(
         F.col("_target_known")
     )
-    return _by_end(edges).filter(known).select(
-        "guid",
-        "type",
-        "source_guid",
-        "source_name",
-        "source_type",
-        "target_guid",
-        "target_name",
-        "target_type",
-    )
 
 
 def _by_end(edges: DataFrame) -> DataFrame:
@@ -207,76 +220,229 @@ def nested_details(
     All children meet in one grouping by entity and part. Recent violations are
     few per entity by definition and need no parts.
     """
+    _check_bound(children_per_row)
+    common = [c for c in COMMON_FIELDS if c != "guid"]
+    together = entities.select("guid", _first_part(), F.struct(*common).alias("entity"))
+    for children in (
+        _violation_items(violations),
+        _condition_items(entities, conditions, policies, children_per_row),
+        _edge_items(relationships, entities, children_per_row),
+    ):
+        together = together.unionByName(children, allowMissingColumns=True)
+    return (
+        together.groupBy("guid", "part")
+        .agg(
+            F.first("entity", ignorenulls=True).alias("entity"),
+            _list("violation").alias("recent_violations"),
+            _list("condition").alias("conditions"),
+            _list("relationship").alias("relationships"),
+        )
+        # Violations of a GUID that no entity has; other children were joined.
+        .filter(F.col("entity").isNotNull() | (F.col("part") > 0))
+        .select(
+            "guid", "part", "entity.*", "recent_violations", "conditions", "relationships"
+        )
+    )
+
+
+def requested_details(
+    requests: DataFrame,
+    entities: DataFrame,
+    violations: DataFrame,
+    conditions: DataFrame,
+    policies: DataFrame,
+    relationships: DataFrame,
+    instances: DataFrame,
+    pages: DataFrame,
+    widgets: DataFrame,
+    children_per_row: int = CHILDREN_PER_ROW,
+) -> DataFrame:
+    """Everything known of the GUIDs in ``requests``, each answered once.
+
+    Common fields, the struct of the entity's own kind, and as lists: recent
+    violations, conditions, relationships, running instances, and dashboard
+    pages with their widgets. Long lists go on in parts as in `nested_details`.
+    A GUID that no entity has (a null one too) is one row with NOT_FOUND as
+    ``outcome`` and empty lists.
+
+    Every child table is cut to the requested GUIDs before it is joined, ranked
+    or counted, so the work follows the requests and not the catalog.
+    """
+    _check_bound(children_per_row)
+    guids = requests.select("guid").distinct()
+    small = fits_broadcast(requests)
+
+    def cut(rows: DataFrame, column: str = "guid") -> DataFrame:
+        asked = guids.select(F.col("guid").alias(column))
+        return rows.join(F.broadcast(asked) if small else asked, column, "left_semi")
+
+    known = cut(entities)
+    fields = F.struct(*[c for c in COMMON_FIELDS if c != "guid"], *_own_structs())
+    together = guids.join(
+        known.select("guid", fields.alias("entity")), "guid", "left"
+    ).select("guid", _first_part(), "entity")
+
+    running = running_instances(cut(instances)).select(
+        "guid",
+        _first_part(),
+        F.struct("rank", "instance_id", "host", "port", "agent_version").alias("instance"),
+    )
+    for children in (
+        _violation_items(cut(violations)),
+        _condition_items(known, cut(conditions), policies, children_per_row),
+        _edge_items(cut(_by_end(relationships)), entities, children_per_row),
+        running,
+        _page_items(cut(pages, "dashboard_guid"), widgets),
+    ):
+        together = together.unionByName(children, allowMissingColumns=True)
+
+    found = F.col("entity").isNotNull() | (F.col("part") > 0)
+
+    def listed(item: str, name: str) -> Column:
+        # children may name a GUID that no entity has
+        return F.when(found, F.col(item)).otherwise(F.array()).alias(name)
+
+    return (
+        together.groupBy("guid", "part")
+        .agg(
+            F.first("entity", ignorenulls=True).alias("entity"),
+            *[
+                _list(item).alias(item)
+                for item in ("violation", "condition", "relationship", "instance", "page")
+            ],
+        )
+        .select(
+            "guid",
+            "part",
+            F.when(found, OK).otherwise(NOT_FOUND).alias("outcome"),
+            "entity.*",
+            listed("violation", "recent_violations"),
+            listed("condition", "conditions"),
+            listed("relationship", "relationships"),
+            listed("instance", "running_instances"),
+            listed("page", "pages"),
+        )
+    )
+
+
+def _check_bound(children_per_row: int) -> None:
     if children_per_row < RECENT_VIOLATIONS:
         raise RequestError(f"children_per_row must be at least {RECENT_VIOLATIONS}")
-    common = [c for c in COMMON_FIELDS if c != "guid"]
-    first_part = F.lit(0).cast("bigint").alias("part")
-    recent = recent_violations(violations).select(
+
+
+def _first_part() -> Column:
+    return F.lit(0).cast("bigint").alias("part")
+
+
+def _list(item: str) -> Column:
+    return F.sort_array(F.collect_list(item))
+
+
+def _violation_items(violations: DataFrame) -> DataFrame:
+    return recent_violations(violations).select(
         "guid",
-        first_part,
+        _first_part(),
         F.struct("rank", "violation_id", "label", "level", "opened_at", "closed_at").alias(
             "violation"
         ),
     )
-    condition_parts = _parts(conditions, children_per_row)
-    ruled = _placed(
-        entity_conditions(entities, conditions, policies), "condition_id", condition_parts
-    ).select(
+
+
+def _condition_items(
+    entities: DataFrame, conditions: DataFrame, policies: DataFrame, per_row: int
+) -> DataFrame:
+    counted = conditions.groupBy("guid").agg(F.count("*").alias("children"))
+    ruled = entity_conditions(entities, conditions, policies)
+    return _with_parts(ruled, "condition_id", counted, per_row).select(
         "guid",
-        "part",
+        _part(F.col("condition_id").cast("string")),
         F.struct(
             "condition_id", "condition_name", "enabled", "policy_id", "policy_name"
         ).alias("condition"),
     )
-    edge_parts = _parts(_by_end(relationships).select("guid"), children_per_row)
-    edge_id = F.concat_ws("\u0001", "source_guid", "target_guid", "type")
-    linked = _placed(
-        entity_relationships(relationships, entities).withColumn("_edge", edge_id),
-        "_edge",
-        edge_parts,
-    ).select(
-        "guid",
-        "part",
-        F.struct(
-            "source_guid", "target_guid", "type",
-            "source_name", "source_type", "target_name", "target_type",
-        ).alias("relationship"),
+
+
+def _edge_items(edges: DataFrame, entities: DataFrame, per_row: int) -> DataFrame:
+    """Edges of each end, equal ones numbered so that parts divide them as well.
+
+    Equal edges travel as one row with their number. They become rows again in
+    two steps, blocks and then the edges of a block, with the blocks dealt to
+    all tasks in between. ``edges`` may already hold ``guid``, the end meant.
+    """
+    ends = ["source_guid", "target_guid", "type"]
+    if "guid" in edges.columns:
+        counted = edges.groupBy("guid", *ends).agg(F.count("*").alias("copies"))
+        listed = _with_ends(counted, entities)
+    else:
+        counted = edges.groupBy(*ends).agg(F.count("*").alias("copies"))
+        listed = _by_end(_with_ends(counted, entities))
+        counted = _by_end(counted)
+    sizes = counted.groupBy("guid").agg(F.sum("copies").alias("children"))
+    edge_id = F.concat_ws("\u0001", *ends)
+    last = F.col("copies") - 1
+    blocks = (
+        listed.filter(_end_known())
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / COPY_BLOCK))))
+        .withColumn("_row", F.concat_ws("\u0001", edge_id, F.col("_block").cast("string")))
+        .repartition("guid", "_row")
+    )
+    first = F.col("_block") * COPY_BLOCK
+    copies = F.sequence(first, F.least(last, first + (COPY_BLOCK - 1)))
+    numbered = F.when(F.col("_copy") == 0, edge_id).otherwise(
+        F.concat_ws("\u0001", edge_id, F.col("_copy").cast("string"))
     )
-    together = entities.select("guid", first_part, F.struct(*common).alias("entity"))
-    for children in (recent, ruled, linked):
-        together = together.unionByName(children, allowMissingColumns=True)
     return (
-        together.groupBy("guid", "part")
-        .agg(
-            F.first("entity", ignorenulls=True).alias("entity"),
-            F.sort_array(F.collect_list("violation")).alias("recent_violations"),
-            F.sort_array(F.collect_list("condition")).alias("conditions"),
-            F.sort_array(F.collect_list("relationship")).alias("relationships"),
+        _with_parts(blocks, "_row", sizes, per_row)
+        .withColumn("_copy", F.explode(copies))
+        .select(
+            "guid",
+            _part(numbered),
+            F.struct(
+                "source_guid", "target_guid", "type",
+                "source_name", "source_type", "target_name", "target_type",
+            ).alias("relationship"),
         )
-        # Violations of a GUID that no entity has; other children were joined.
-        .filter(F.col("entity").isNotNull() | (F.col("part") > 0))
+    )
+
+
+def _page_items(pages: DataFrame, widgets: DataFrame) -> DataFrame:
+    """The first pages of dashboards, each with the list of its first widgets."""
+    kept = top_per_parent(
+        pages, "dashboard_guid", [F.asc("position"), F.asc("page_guid")], DASHBOARD_PAGES, "_rank"
+    ).drop("_rank")
+    shown = widgets.join(kept.select("page_guid"), "page_guid", "left_semi")
+    widget = F.when(
+        F.col("widget_rank").isNotNull(),
+        F.struct("widget_rank", "widget_id", "title", "visualization"),
+    )
+    page = ["page_rank", "page_guid", "page_name"]
+    return (
+        dashboard_contents(kept, shown)
+        .groupBy("dashboard_guid", *page)
+        .agg(F.sort_array(F.collect_list(widget)).alias("widgets"))
         .select(
-            "guid", "part", "entity.*", "recent_violations", "conditions", "relationships"
+            F.col("dashboard_guid").alias("guid"),
+            _first_part(),
+            F.struct(*page, "widgets").alias("page"),
         )
     )
 
 
-def _parts(children: DataFrame, per_row: int) -> DataFrame:
-    """How many children each parent has, and over how many rows they go."""
-    # Null keys are dropped here as every join on the sizes would drop them, so
-    # that all of them share one aggregation.
-    counted = children.filter(F.col("guid").isNotNull()).groupBy("guid")
-    return counted.agg(F.count("*").alias("children")).withColumn(
-        "parts", F.ceil(F.col("children") / per_row)
+def _with_parts(rows: DataFrame, row_id: str, sizes: DataFrame, per_row: int) -> DataFrame:
+    """Child rows with ``parts``, the rows their parent's list goes over (null: one).
+
+    ``sizes`` holds each parent's ``children``. Null keys are dropped as every
+    join on the sizes would drop them.
+    """
+    sizes = sizes.filter(F.col("guid").isNotNull())
+    long_lists = sizes.filter(F.col("children") > per_row).select(
+        "guid", F.ceil(F.col("children") / per_row).alias("parts")
     )
+    return salted_left_join(rows, long_lists, ["guid"], row_id, sizes, "children")
 
 
-def _placed(rows: DataFrame, row_id: str, sizes: DataFrame) -> DataFrame:
-    """Child rows with their ``part``, which follows from a hash of the child's
-    id: parts are near even without ordering all children of a parent."""
-    long_lists = sizes.filter(F.col("parts") > 1).select("guid", "parts")
-    digest = F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 8), 16, 10)
-    part = F.when(F.col("parts").isNotNull(), F.pmod(digest.cast("bigint"), F.col("parts")))
-    return salted_left_join(
-        rows, long_lists, ["guid"], row_id, sizes, "children"
-    ).withColumn("part", F.coalesce(part, F.lit(0).cast("bigint")))
+def _part(row_id: Column) -> Column:
+    """A child's part follows from a hash of its id: parts are near even without
+    ordering all children of a parent."""
+    digest = F.conv(F.substring(F.md5(row_id), 1, 8), 16, 10).cast("bigint")
+    return F.coalesce(F.pmod(digest, F.col("parts")), F.lit(0).cast("bigint")).alias("part")

@@ -236,6 +236,15 @@ class Fixtures:
             )
         )
 
+    @cached_property
+    def delivery(self) -> DataFrame:
+        """Edges as above, one per line item, so that some are equal."""
+        return self.sample("lineitem").selectExpr(
+            "concat('INFRA|', l_suppkey) AS source_guid",
+            "concat('SYNTH|', l_partkey) AS target_guid",
+            "'SERVES' AS type",
+        )
+
     @cached_property
     def app_instance(self) -> DataFrame:
         return self.sample("events").selectExpr(
@@ -372,6 +381,20 @@ class Fixtures:
             "concat(if(event_type = 'error', 'MOBILE|', 'APM|'), user_id) AS guid",
         )
 
+    @cached_property
+    def guid_request(self) -> DataFrame:
+        """The customers of all orders, all suppliers and nations, and GUIDs of no entity."""
+        asked = [
+            ("orders", "concat('APM|', o_custkey)"),
+            ("supplier", "concat('INFRA|', s_suppkey)"),
+            ("nation", "concat('DASH|', n_nationkey)"),
+            ("customer", "concat('MOBILE|', c_custkey)"),
+        ]
+        first, *others = [self.sample(t).selectExpr(f"{guid} AS guid") for t, guid in asked]
+        for more in others:
+            first = first.unionByName(more)
+        return first
+
     @cached_property
     def search_request(self) -> DataFrame:
         """One search per nation, of four kinds; the last kind has no criterion."""

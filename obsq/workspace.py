@@ -146,6 +146,23 @@ class Workspace:
             children_per_row,
         )
 
+    def requested_details(
+        self, requests: DataFrame, children_per_row: int = details.CHILDREN_PER_ROW
+    ) -> DataFrame:
+        """Everything known of the GUIDs in ``requests``, children as lists."""
+        return details.requested_details(
+            requests,
+            self.tables["entity"],
+            self.tables["violation"],
+            self.tables["alert_condition"],
+            self.tables["policy"],
+            self.tables["relationship"],
+            self.tables["app_instance"],
+            self.tables["dashboard_page"],
+            self.tables["dashboard_widget"],
+            children_per_row,
+        )
+
     def list_applications(self, account=None, limit: int | None = LISTING_LIMIT) -> Listing:
         return search.list_applications(
             self.tables["entity"], account, self.default_account, limit
@@ -181,9 +198,17 @@ class Workspace:
             incidents, self.tables["entity"], account, priority, self.default_account, limit
         )
 
-    def acknowledge(self, requests: DataFrame) -> DataFrame:
-        """Outcome of each request, given the log of earlier ones if there is one."""
+    def acknowledge(self, requests: DataFrame, rerun: bool = False) -> DataFrame:
+        """Outcome of each request, given the log of earlier ones if there is one.
+
+        With ``rerun`` the requests may be a batch that was logged already, which
+        then gets the outcomes it had.
+        """
         incidents = self.tables["incident"]
+        if rerun and "incident_ack" in self.tables:
+            return acknowledge.acknowledge_again(
+                requests, incidents, self.tables["incident_ack"], self.default_account
+            )
         if "incident_ack" in self.tables:
             incidents = acknowledge.current_incidents(
                 incidents, self.tables["incident_ack"], self.default_account

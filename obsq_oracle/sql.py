@@ -373,6 +373,75 @@ GROUP BY s.guid, s.part, e.name""",
         *ENTITY, "policy", "violation", "recent", "condition", "entity_condition", "edge",
         "entity_edge",
     ),
+    "entity_detail_requested": _sql(
+        """, asked AS (
+  SELECT 'APM|' || o_custkey AS guid FROM orders UNION SELECT 'INFRA|' || s_suppkey FROM supplier
+  UNION SELECT 'DASH|' || n_nationkey FROM nation UNION SELECT 'MOBILE|' || c_custkey FROM customer
+), delivery AS (
+  SELECT 'INFRA|' || l_suppkey AS source_guid, 'SYNTH|' || l_partkey AS target_guid FROM lineitem
+), numbered_edge AS (
+  SELECT *, row_number() OVER (PARTITION BY guid, source_guid, target_guid) - 1 AS copy
+  FROM (SELECT source_guid AS guid, * FROM delivery
+        UNION ALL SELECT target_guid, * FROM delivery) JOIN asked USING (guid)
+), child AS (
+  SELECT guid, 'v' AS list, violation_id::VARCHAR AS id, rank::VARCHAR || ':' || violation_id AS item,
+         lpad(rank::VARCHAR, 20, '0') AS place FROM recent
+  UNION ALL
+  SELECT guid, 'c', condition_id::VARCHAR, concat_ws(':', condition_id, policy_name),
+         lpad(condition_id::VARCHAR, 20, '0') FROM entity_condition
+  UNION ALL
+  SELECT guid, 'r', source_guid || chr(1) || target_guid || chr(1) || 'SERVES'
+         || CASE WHEN copy > 0 THEN chr(1) || copy ELSE '' END,
+         source_guid || ':' || target_guid, source_guid || chr(1) || target_guid
+  FROM numbered_edge
+  UNION ALL
+  SELECT 'APM|' || user_id, 'i', event_id::VARCHAR, rank || ':' || event_id,
+         lpad(rank::VARCHAR, 20, '0')
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank
+        FROM events WHERE event_type <> 'error') WHERE rank <= 5
+  UNION ALL
+  SELECT 'DASH|' || c_nationkey, 'p', c_custkey::VARCHAR,
+         'PAGE|' || c_custkey || ':' || coalesce((
+           SELECT string_agg(o_orderkey::VARCHAR, '+' ORDER BY o_orderkey)
+           FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank
+                 FROM orders) o WHERE o.o_custkey = c.c_custkey AND o.rank <= 10), ''),
+         lpad(page_rank::VARCHAR, 20, '0')
+  FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS page_rank
+        FROM customer) c WHERE page_rank <= 10
+), sized AS (
+  SELECT *, ceil(count(*) OVER (PARTITION BY guid, list) / 100.0)::BIGINT AS parts
+  FROM child JOIN asked USING (guid)
+), placed AS (
+  SELECT *, CASE WHEN parts > 1 THEN ('0x' || substr(md5(id), 1, 8))::BIGINT % parts
+                 ELSE 0 END AS part
+  FROM sized
+), slot AS (
+  SELECT DISTINCT p.guid, part FROM placed p JOIN entity USING (guid)
+  UNION SELECT guid, 0 FROM asked
+), told AS (
+  SELECT s.guid, s.part, p.list, string_agg(p.item, ',' ORDER BY p.place) AS items
+  FROM slot s JOIN placed p ON p.guid = s.guid AND p.part = s.part JOIN entity e ON e.guid = s.guid
+  GROUP BY ALL
+)
+SELECT s.guid, s.part::BIGINT AS part,
+       CASE WHEN e.guid IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS outcome,
+       CASE WHEN s.part = 0 THEN e.name END AS name,
+       CASE WHEN s.part = 0 THEN lower(c_mktsegment) END AS language,
+       CASE WHEN s.part = 0 THEN CASE s_suppkey % 2 WHEN 0 THEN 'linux' WHEN 1 THEN 'windows' END
+         END AS operating_system,
+       coalesce(v.items, '') AS recent_violations, coalesce(c.items, '') AS conditions,
+       coalesce(r.items, '') AS relationships, coalesce(i.items, '') AS running_instances,
+       coalesce(p.items, '') AS pages
+FROM slot s LEFT JOIN entity e ON e.guid = s.guid
+LEFT JOIN customer ON 'APM|' || c_custkey = e.guid
+LEFT JOIN supplier ON 'INFRA|' || s_suppkey = e.guid
+LEFT JOIN told v ON v.guid = s.guid AND v.part = s.part AND v.list = 'v'
+LEFT JOIN told c ON c.guid = s.guid AND c.part = s.part AND c.list = 'c'
+LEFT JOIN told r ON r.guid = s.guid AND r.part = s.part AND r.list = 'r'
+LEFT JOIN told i ON i.guid = s.guid AND i.part = s.part AND i.list = 'i'
+LEFT JOIN told p ON p.guid = s.guid AND p.part = s.part AND p.list = 'p'""",
+        *ENTITY, "policy", "violation", "recent", "condition", "entity_condition",
+    ),
     "entity_recent_violations": _sql(
         """
 SELECT guid, rank, violation_id, label, level, opened_at, closed_at FROM recent""",
@@ -689,3 +758,5 @@ GROUP BY e.domain, i.priority""",
         *ENTITY, "incident",
     ),
 }
+# A batch judged again after it was logged has the outcomes it had.
+ORACLE_SQL["account_ack_rerun"] = ORACLE_SQL["account_ack_outcome"]

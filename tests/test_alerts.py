@@ -186,6 +186,21 @@ def test_workspace_uses_the_log(spark, requests, incidents, catalog):
     assert outcomes(without.acknowledge(requests))["OK"] == 3
 
 
+def test_a_logged_batch_judged_again_has_its_outcomes(spark, requests, incidents, catalog):
+    done = acknowledge.acknowledge(requests, incidents, default_account=1)
+    log = acknowledge.accepted(done)
+    tables = {"incident": incidents, "entity": catalog, "incident_ack": log}
+    again = Workspace(spark, tables, 1).acknowledge(requests, rerun=True)
+    assert values(again) == values(done)
+    # another batch finds the incidents taken
+    later = requests.withColumn("req_id", F.col("req_id") + 1000)
+    others = outcomes(Workspace(spark, tables, 1).acknowledge(later, rerun=True))
+    assert "OK" not in others and "ALREADY_ACKED" not in others
+    # before anything was logged a rerun is a first run
+    empty = {**tables, "incident_ack": log.limit(0)}
+    assert values(Workspace(spark, empty, 1).acknowledge(requests, rerun=True)) == values(done)
+
+
 log_entry = st.tuples(
     st.integers(-1, 6), st.sampled_from([None, 0, 1, 2]), st.integers(0, 3)
 )

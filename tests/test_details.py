@@ -178,6 +178,133 @@ def test_nested_details_are_whole_however_long(spark):
         details.nested_details(catalog, violations, conditions, policies, edges, 4)
 
 
+def test_equal_edges_are_spread_over_parts(spark):
+    catalog = entities(spark, {"guid": "a", "name": "A"}, {"guid": "b", "name": "B"})
+    edge = {"source_guid": "a", "target_guid": "b", "type": "SERVES"}
+    edges = spark.range(details.COPY_BLOCK + 500).select(
+        *[F.lit(v).alias(k) for k, v in edge.items()]
+    )
+    empty = [table(spark, t) for t in ("violation", "alert_condition", "policy")]
+    nested = details.nested_details(catalog, *empty, edges, children_per_row=100)
+    sizes = nested.select("guid", F.size("relationships").alias("n")).collect()
+    assert {g: sum(r.n for r in sizes if r.guid == g) for g in "ab"} == {
+        "a": details.COPY_BLOCK + 500, "b": details.COPY_BLOCK + 500
+    }
+    assert max(r.n for r in sizes) < 200
+
+
+def _requested(spark, requests, **tables):
+    names = [
+        "violation", "alert_condition", "policy", "relationship", "app_instance",
+        "dashboard_page", "dashboard_widget",
+    ]
+    found = details.requested_details(
+        requests, tables["entity"], *[tables.get(n) or table(spark, n) for n in names]
+    )
+    return {r.guid: r for r in found.collect()}
+
+
+def test_requested_details(spark):
+    requests = spark.createDataFrame(
+        [("d",), ("d",), ("app",), ("gone",), (None,), ("",)], "guid string"
+    )
+    rows = _requested(
+        spark,
+        requests,
+        entity=entities(
+            spark,
+            {"guid": "d", "name": "D", "domain": "VIZ", "type": "DASHBOARD"},
+            {"guid": "app", "name": "A"},
+            {"guid": "other", "name": "O"},
+        ),
+        violation=table(
+            spark,
+            "violation",
+            {"violation_id": 1, "guid": "app", "opened_at": day(1)},
+            {"violation_id": 2, "guid": "gone", "opened_at": day(1)},
+            {"violation_id": 3, "guid": "other", "opened_at": day(1)},
+        ),
+        relationship=table(
+            spark,
+            "relationship",
+            {"source_guid": "other", "target_guid": "app", "type": "CALLS"},
+            {"source_guid": "other", "target_guid": "app", "type": "CALLS"},
+            {"source_guid": "app", "target_guid": "app", "type": "LOOPS"},
+        ),
+        app_instance=table(
+            spark,
+            "app_instance",
+            {"instance_id": 5, "guid": "app", "state": "RUNNING"},
+            {"instance_id": 6, "guid": "gone", "state": "RUNNING"},
+        ),
+        dashboard_page=table(
+            spark,
+            "dashboard_page",
+            {"dashboard_guid": "d", "page_guid": "p1", "name": "P1", "position": 1},
+            {"dashboard_guid": "d", "page_guid": "p2", "name": "P2", "position": 2},
+        ),
+        dashboard_widget=table(
+            spark,
+            "dashboard_widget",
+            *[{"page_guid": "p2", "widget_id": i} for i in range(30)],
+        ),
+    )
+    assert set(rows) == {"d", "app", "gone", None, ""}
+    for unknown in ("gone", None, ""):
+        row = rows[unknown]
+        assert row.outcome == "NOT_FOUND" and row.name is None
+        assert row.recent_violations == row.running_instances == row.pages == []
+    app = rows["app"]
+    assert (app.outcome, app.name, app.pages) == ("OK", "A", [])
+    assert [v.violation_id for v in app.recent_violations] == [1]
+    assert [i.instance_id for i in app.running_instances] == [5]
+    assert [(e.type, e.source_name) for e in app.relationships] == [
+        ("LOOPS", "A"), ("CALLS", "O"), ("CALLS", "O")
+    ]
+    assert [(p.page_guid, len(p.widgets)) for p in rows["d"].pages] == [("p1", 0), ("p2", 10)]
+
+
+def test_requested_details_of_empty_tables(spark):
+    nobody = spark.createDataFrame([], "guid string")
+    assert _requested(spark, nobody, entity=entities(spark, {"guid": "a"})) == {}
+    asked = spark.createDataFrame([("a",)], "guid string")
+    assert _requested(spark, asked, entity=entities(spark))["a"].outcome == "NOT_FOUND"
+
+
+def test_requests_cut_child_tables_before_they_are_shuffled(spark, fixtures, tmp_path):
+    """The semi joins with the GUIDs lie right above the scans."""
+    tables = {}
+    for name in ("entity", "violation", "relationship", "app_instance", "dashboard_page"):
+        write_table(getattr(fixtures, name), str(tmp_path), name)
+        tables[name] = read_table(spark, str(tmp_path), name)
+    spark.range(3).selectExpr("concat('APM|', id) AS guid").write.parquet(f"{tmp_path}/asked")
+    found = details.requested_details(
+        spark.read.parquet(f"{tmp_path}/asked"),
+        tables["entity"],
+        tables["violation"],
+        table(spark, "alert_condition"),
+        table(spark, "policy"),
+        tables["relationship"],
+        tables["app_instance"],
+        tables["dashboard_page"],
+        table(spark, "dashboard_widget"),
+    )
+    lines = first_plan(found).splitlines()
+    for name in ("violation", "relationship", "app_instance", "dashboard_page"):
+        scans = [i for i, line in enumerate(lines) if f"/{name}]" in line and "Scan" in line]
+        assert scans
+        for at in scans:
+            depth = len(lines[at]) - len(lines[at].lstrip(" :+-*()0123456789"))
+            above = []
+            for line in reversed(lines[:at]):
+                step = len(line) - len(line.lstrip(" :+-*()0123456789"))
+                if step < depth:
+                    above.append(line)
+                    depth = step
+            first = next(line for line in above if "Exchange" in line or "LeftSemi" in line)
+            assert "LeftSemi" in first, (name, first)
+
+
 def test_ranking_cuts_before_the_shuffle(fixtures):
     for rows in (
         details.recent_violations(fixtures.violation),

@@ -149,6 +149,28 @@ def entity_search_bulk(spark, folder):
     return _entities(spark, folder).search_entities_bulk(requests).matches.drop("tags")
 
 
+def _customer_searches(spark, folder):
+    requests = _fixtures(spark, folder).customer_search
+    return _entities(spark, folder).search_entities_bulk(requests)
+
+
+def entity_search_bulk_many(spark, folder):
+    return _customer_searches(spark, folder).matches.drop("tags")
+
+
+def entity_search_bulk_totals(spark, folder):
+    return _customer_searches(spark, folder).totals
+
+
+def entity_search_bulk_errors(spark, folder):
+    return _customer_searches(spark, folder).errors
+
+
+def entity_search_bulk_first(spark, folder):
+    requests = _fixtures(spark, folder).search_request
+    return _entities(spark, folder).search_entities_bulk(requests).first(5).drop("tags")
+
+
 def entity_exact_match(spark, folder):
     everywhere = Workspace(spark, _fixtures(spark, folder).tables("entity"))
     return _with_tags_text(everywhere.find_exact("red widget", "SYNTH", "MONITOR"))
@@ -586,7 +608,8 @@ _QUERIES = [
     event_compare, event_timeseries_compare, event_account, event_default_account,
     event_filled_measures, event_bucket_total, event_compare_total,
     account_ack_outcome, account_ack_state, account_ack_still_open, account_ack_rerun,
-    entity_detail_requested,
+    entity_detail_requested, entity_search_bulk_many, entity_search_bulk_totals,
+    entity_search_bulk_errors, entity_search_bulk_first,
 ]
 
 

@@ -80,7 +80,8 @@ def search_entities_bulk(entities: DataFrame, requests: DataFrame) -> BulkSearch
     few = fits_broadcast(requests, PROBE_GROWTH)
     asked = valid.select("req_id", F.explode(_request_probes()).alias("probe"))
     asked_for = asked.groupBy("probe").agg(F.count("*").alias("requests"))
-    offered = _offered(entities)
+    used = _forms_used(valid)
+    offered = _offered(entities, used)
     if few:
         of_interest = offered.join(F.broadcast(asked_for.select("probe")), "probe", "left_semi")
     else:
@@ -100,11 +101,11 @@ def search_entities_bulk(entities: DataFrame, requests: DataFrame) -> BulkSearch
     chosen = valid.join(rarest, "req_id")
     if few:
         # One row per request: the catalog stays where it is.
-        offered = _offered(entities, *BASIC_FIELDS, "type")
+        offered = _offered(entities, used, *BASIC_FIELDS, "type")
         candidates = offered.join(F.broadcast(chosen), "probe")
     else:
         # Only GUIDs and probes are shuffled; the fields join the pairs that meet.
-        met = _maybe_asked(_offered(entities, "guid"), chosen).join(chosen, "probe")
+        met = _maybe_asked(_offered(entities, used, "guid"), chosen).join(chosen, "probe")
         candidates = met.join(entities.select(*BASIC_FIELDS, "type"), "guid")
     matches = candidates.filter(_satisfies()).select("req_id", *BASIC_FIELDS)
     return BulkSearch(matches, errors)
@@ -166,18 +167,46 @@ def _within(account: Column, probe: Column) -> Column:
     return F.concat(F.lit("in "), account.cast("string"), F.lit(" "), probe)
 
 
+def _runs() -> Column:
+    """The parts of a searched name between its wildcards."""
+    return F.filter(F.split("r_name", "[%_]"), lambda run: F.length(run) > 0)
+
+
+def _piece_length(run: Column) -> Column:
+    return F.coalesce(*[F.when(F.length(run) >= p, F.lit(p)) for p in PIECES])
+
+
+@dataclass(frozen=True)
+class _Forms:
+    """What kinds of probes any request has; one value each, read once before the job."""
+
+    sizes: Column
+    plain: Column
+    scoped: Column
+
+
+def _forms_used(valid: DataFrame) -> _Forms:
+    lengths = valid.select(F.explode(F.transform(_runs(), _piece_length)).alias("size"))
+    unscoped = F.col("r_account_id").isNull()
+    return _Forms(
+        # at most as many as there are lengths of pieces
+        lengths.agg(F.sort_array(F.collect_set("size"))).scalar(),
+        valid.agg(F.bool_or(unscoped)).scalar(),
+        valid.agg(F.bool_or(~unscoped)).scalar(),
+    )
+
+
 def _request_probes() -> Column:
     """One probe per criterion of a request, within its account if it has one."""
     none = F.array().cast("array<string>")
 
     def pieces(run: Column) -> Column:
-        size = F.coalesce(*[F.when(F.length(run) >= p, F.lit(p)) for p in PIECES])
+        size = _piece_length(run)
         starts = F.sequence(F.lit(1), F.length(run) - size + 1)
         return F.transform(starts, lambda start: _name_probe(F.substring(run, start, size)))
 
-    runs = F.filter(F.split("r_name", "[%_]"), lambda run: F.length(run) > 0)
     probes = F.concat(
-        F.coalesce(F.flatten(F.transform(runs, pieces)), none),
+        F.coalesce(F.flatten(F.transform(_runs(), pieces)), none),
         F.coalesce(F.transform("r_tags", _tag_probe), none),
         F.coalesce(F.array_compact(F.array(_domain_probe(F.col("r_domain")))), none),
         F.coalesce(F.array_compact(F.array(_type_probe(F.col("r_type")))), none),
@@ -190,8 +219,9 @@ def _request_probes() -> Column:
     )
 
 
-def _offered(entities: DataFrame, *columns: str) -> DataFrame:
-    """Every probe an entity offers, alone and within its account, each once.
+def _offered(entities: DataFrame, used: _Forms, *columns: str) -> DataFrame:
+    """Every probe an entity offers that has a form in use, each once: pieces of
+    the lengths searched for, and probes alone or within the account.
 
     The probes are numbered: pieces of the name by place and length, then tags,
     then domain, type and the probe every entity has. One sequence of numbers
@@ -199,8 +229,9 @@ def _offered(entities: DataFrame, *columns: str) -> DataFrame:
     """
     name, tags, slot = F.col("name"), F.col("_tags"), F.col("_slot")
     pieces, labels = F.col("_pieces"), F.col("_labels")
-    start = F.floor(slot / len(PIECES)).cast("int") + 1
-    size = F.get(F.array([F.lit(p) for p in PIECES]), slot % len(PIECES))
+    kinds = F.greatest(F.size("_sizes"), F.lit(1))
+    start = F.floor(slot / kinds).cast("int") + 1
+    size = F.get("_sizes", slot % kinds)
     piece = F.substring(name, start, size)
     # A piece that occurs again, or is cut short by the end, is offered elsewhere.
     first_of_its_kind = (F.length(piece) == size) & (F.instr(name, piece) == start)
@@ -211,13 +242,19 @@ def _offered(entities: DataFrame, *columns: str) -> DataFrame:
         .when(slot == pieces + labels + 1, _type_probe(F.col("type")))
         .otherwise(F.lit(ANY_PROBE))
     )
-    scoped = F.array(F.col("probe"), _within(F.col("account_id"), F.col("probe")))
+    forms = F.array_compact(
+        F.array(
+            F.when(used.plain, F.col("probe")),
+            F.when(used.scoped, _within(F.col("account_id"), F.col("probe"))),
+        )
+    )
     return (
         entities.withColumn("_tags", F.array_distinct("tags"))
-        .withColumn("_pieces", F.coalesce(F.length(name) * len(PIECES), F.lit(0)))
+        .withColumn("_sizes", used.sizes)
+        .withColumn("_pieces", F.coalesce(F.length(name) * F.size("_sizes"), F.lit(0)))
         .withColumn("_labels", F.coalesce(F.size("_tags"), F.lit(0)))
         .withColumn("_slot", F.explode(F.sequence(F.lit(0), pieces + labels + 2)))
         .filter((slot >= pieces) | first_of_its_kind)
         .withColumn("probe", probe)
-        .select(*columns, F.explode(scoped).alias("probe"))
+        .select(*columns, F.explode(forms).alias("probe"))
     )

@@ -409,6 +409,20 @@ class Fixtures:
             NO_TAGS,
         )
 
+    @cached_property
+    def customer_search(self) -> DataFrame:
+        """One search per customer by the end of its name, some within an account or
+        for a tag; every seventh has no criterion."""
+        return self.sample("customer").selectExpr(
+            "c_custkey AS req_id",
+            "if(c_custkey % 3 = 0, NULL, c_nationkey) AS account_id",
+            "if(c_custkey % 7 = 6, NULL, substring(c_name, -6)) AS name",
+            "CAST(NULL AS string) AS domain",
+            "CAST(NULL AS string) AS type",
+            "if(c_custkey % 7 < 3, array(struct('segment' AS key, c_mktsegment AS value)),"
+            " CAST(array() AS array<struct<key: string, value: string>>)) AS tags",
+        )
+
     # --- events and replies ---
 
     @cached_property

@@ -266,6 +266,42 @@ FROM nation JOIN entity e ON e.account_id = n_nationkey AND (
   OR (n_nationkey % 10 BETWEEN 6 AND 8 AND e.name LIKE '%red%'))""",
         *ENTITY,
     ),
+    "entity_search_bulk_many": _sql(
+        """
+SELECT r.c_custkey AS req_id, e.guid, e.name, e.entity_type, e.domain, e.account_id
+FROM customer r JOIN entity e ON contains(e.name, right(r.c_name, 6))
+WHERE r.c_custkey % 7 <> 6 AND (r.c_custkey % 3 = 0 OR e.account_id = r.c_nationkey)
+  AND (r.c_custkey % 7 >= 3
+       OR list_contains(string_split(e.tags_text, ';'), 'segment=' || r.c_mktsegment))""",
+        *ENTITY,
+    ),
+    "entity_search_bulk_totals": _sql(
+        """
+SELECT r.c_custkey AS req_id, count(*) AS total_count
+FROM customer r JOIN entity e ON contains(e.name, right(r.c_name, 6))
+WHERE r.c_custkey % 7 <> 6 AND (r.c_custkey % 3 = 0 OR e.account_id = r.c_nationkey)
+  AND (r.c_custkey % 7 >= 3
+       OR list_contains(string_split(e.tags_text, ';'), 'segment=' || r.c_mktsegment))
+GROUP BY r.c_custkey""",
+        *ENTITY,
+    ),
+    "entity_search_bulk_errors": _sql(
+        """
+SELECT c_custkey AS req_id, 'at least one of name, type, domain and tags is needed' AS message
+FROM customer WHERE c_custkey % 7 = 6"""
+    ),
+    "entity_search_bulk_first": _sql(
+        """
+SELECT * EXCLUDE rank FROM (
+  SELECT n_nationkey::BIGINT AS req_id, e.guid, e.name, e.entity_type, e.domain, e.account_id,
+         row_number() OVER (PARTITION BY n_nationkey ORDER BY e.guid) AS rank
+  FROM nation JOIN entity e ON e.account_id = n_nationkey AND (
+       (n_nationkey % 10 BETWEEN 0 AND 2 AND e.domain = 'APM')
+    OR (n_nationkey % 10 BETWEEN 3 AND 5 AND e.domain = 'INFRA' AND e.name LIKE '%0001%')
+    OR (n_nationkey % 10 BETWEEN 6 AND 8 AND e.name LIKE '%red%')))
+WHERE rank <= 5""",
+        *ENTITY,
+    ),
     "entity_exact_match": _sql(
         f"""
 SELECT {BASIC} FROM entity

@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from obsq.errors import RequestError
+from obsq.operators import bulk_search
 from obsq.operators.bulk_search import search_entities_bulk
 from obsq.operators.search import search_entities
 from tests.helpers import entities, first_plan, table, values
@@ -135,6 +136,33 @@ def test_requests_of_the_sample(spark, fixtures):
     assert values(result.errors, "req_id") == [9]
 
 
+def test_both_plans_give_the_same_matches(spark, fixtures, conf):
+    found = []
+    for threshold in ("100MB", "-1"):
+        conf(spark__sql__autoBroadcastJoinThreshold=threshold)
+        found.append(pairs(search_entities_bulk(fixtures.entity, fixtures.customer_search)))
+    assert found[0] == found[1] and found[0]
+
+
+def test_only_pieces_somebody_asks_for_are_offered(spark, catalog):
+    requests = table(
+        spark, "search_request", {"req_id": 1, "name": "check", "account_id": 2}
+    ).withColumnsRenamed({"name": "r_name", "account_id": "r_account_id"})
+    used = bulk_search._forms_used(requests)
+    offered = values(bulk_search._offered(catalog.filter("guid = 'b'"), used), "probe")
+    assert offered == sorted(
+        [f"in 2 name:{p}" for p in ("che", "hec", "eck", "ck ", "k i", " in")]
+        + ["in 2 tag:3:env=prod", "in 2 domain:APM", "in 2 type:APPLICATION", "in 2 any:"]
+    )
+
+
+def test_searches_of_empty_tables(spark, catalog):
+    none = table(spark, "search_request")
+    assert pairs(search_entities_bulk(catalog, none)) == []
+    asked = table(spark, "search_request", {"req_id": 1, "name": "check"})
+    assert pairs(search_entities_bulk(catalog.limit(0), asked)) == []
+
+
 def test_nothing_is_paired_with_everything(spark, fixtures, conf):
     conf(spark__sql__autoBroadcastJoinThreshold="-1")
     text = first_plan(search_entities_bulk(fixtures.entity, fixtures.search_request).matches)

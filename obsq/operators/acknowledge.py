@@ -114,6 +114,23 @@ def accepted(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter(F.col("outcome") == OK).select(LOG_FIELDS)
 
 
+def folded_log(
+    log: DataFrame, default_account: int | None = None, match_account: bool = True
+) -> DataFrame:
+    """The log with one row per incident, the request that counts.
+
+    Written to a folder of its own, it stands in for the log: incidents folded
+    with it have the same states, and a later batch need not read every request
+    ever made.
+    """
+    keys = ["account_id", "incident_id"] if match_account else ["incident_id"]
+    asked = log.withColumn("account_id", resolved_account(F.col("account_id"), default_account))
+    order = ["acknowledged_at", "req_id", "acknowledged_by"]
+    rest = [c for c in LOG_FIELDS if c not in order]
+    first = F.min(F.struct(*order, *rest)).alias("first")
+    return _valid(asked).groupBy(*keys).agg(first).select(*[f"first.{c}" for c in LOG_FIELDS])
+
+
 def current_incidents(
     incidents: DataFrame,
     log: DataFrame,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,28 @@ def register_views(tables: Mapping[str, DataFrame]) -> None:
         rows.createOrReplaceTempView(name)
 
 
+@contextmanager
+def views(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Iterator[None]:
+    """The tables as views for as long as a query is analysed.
+
+    Temporary views the caller has under the same names are there again after it.
+    """
+    own = {name: spark.table(name) for name in tables if _is_temporary(spark, name)}
+    register_views(tables)
+    try:
+        yield
+    finally:
+        for name in tables:
+            if name in own:
+                own[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
+def _is_temporary(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary
+
+
 def free_query(
     spark: SparkSession, text: str, variables: Mapping[str, Any] | None = None
 ) -> DataFrame:

@@ -7,6 +7,7 @@ are sorted, so that pages are skipped as well.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,10 @@ SORTED = {
 }
 
 
+# Logs have no folder before the first row is appended, and are empty then.
+LOGS = {"incident_ack"}
+
+
 def table_schema(name: str) -> T.StructType:
     if name not in TABLES:
         raise RequestError(f"no such table: {name}")
@@ -46,7 +51,13 @@ def table_schema(name: str) -> T.StructType:
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One logical table under ``root``; the schema is fixed, never inferred."""
-    return spark.read.schema(table_schema(name)).parquet(f"{root}/{name}")
+    schema = table_schema(name)
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/{name}")
+    except AnalysisException as missing:
+        if name not in LOGS or missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def read_tables(spark: SparkSession, root: str, *names: str) -> dict[str, DataFrame]:

@@ -51,8 +51,8 @@ class Workspace:
 
     def query(self, text: str, variables: Mapping[str, Any] | None = None) -> DataFrame:
         """SQL over the tables as views, with bound ``:name`` variables."""
-        freequery.register_views(self.tables)
-        return freequery.free_query(self.spark, text, variables)
+        with freequery.views(self.spark, self.tables):
+            return freequery.free_query(self.spark, text, variables)
 
     def event_query(
         self,

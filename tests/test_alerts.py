@@ -186,6 +186,18 @@ def test_workspace_uses_the_log(spark, requests, incidents, catalog):
     assert outcomes(without.acknowledge(requests))["OK"] == 3
 
 
+def test_a_folded_log_stands_in_for_the_log(requests, incidents):
+    folded = acknowledge.folded_log(requests, 1)
+    keys = ["account_id", "incident_id"]
+    assert folded.count() == folded.select(keys).distinct().count() < requests.count()
+    now = acknowledge.current_incidents(incidents, requests, 1)
+    assert values(acknowledge.current_incidents(incidents, folded, 1)) == values(now)
+    assert values(acknowledge.folded_log(folded, 1)) == values(folded)
+    assert folded.columns == acknowledge.LOG_FIELDS
+    again = acknowledge.acknowledge_again(requests, incidents, folded, 1)
+    assert values(again) == values(acknowledge.acknowledge(requests, incidents, 1))
+
+
 def test_a_logged_batch_judged_again_has_its_outcomes(spark, requests, incidents, catalog):
     done = acknowledge.acknowledge(requests, incidents, default_account=1)
     log = acknowledge.accepted(done)

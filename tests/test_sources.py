@@ -3,6 +3,7 @@ import re
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from obsq.errors import RequestError
@@ -14,7 +15,7 @@ from obsq.schema import TABLES
 from obsq.sources.tables import read_tables, read_table, write_json, write_table
 from obsq.streaming import bucket_stream, read_event_stream
 from obsq.workspace import Workspace
-from tests.helpers import entities, outcomes, plan, values
+from tests.helpers import entities, outcomes, plan, table, values
 
 
 def parsed(spark, *texts, path=("rows",)):
@@ -215,3 +216,26 @@ def test_late_events_are_dropped_from_closed_buckets(spark, tmp_path):
     run()
     out = spark.read.parquet(f"{tmp_path}/out").selectExpr("hour(bucket_start) AS h", "n")
     assert values(out) == [(0, 2), (1, 1), (9, 1)]
+
+
+def test_a_workspace_starts_without_a_log(spark, tmp_path):
+    root = str(tmp_path)
+    write_table(table(spark, "incident", {"incident_id": 1, "account_id": 1, "state": "OPEN"}), root, "incident")
+    workspace = Workspace.at(spark, root, 1, "incident", "incident_ack")
+    request = table(spark, "incident_ack", {"req_id": 1, "incident_id": 1})
+    assert values(workspace.acknowledge(request), "outcome") == ["OK"]
+    with pytest.raises(AnalysisException):
+        Workspace.at(spark, root, 1, "policy")
+
+
+def test_a_free_query_leaves_the_callers_views(spark):
+    spark.range(3).createOrReplaceTempView("policy")
+    policies = table(spark, "policy", {"policy_id": 9})
+    events = table(spark, "event", {"event_id": 4})
+    found = Workspace(spark, {"policy": policies, "event": events}).query(
+        "SELECT policy_id, event_id FROM policy, event"
+    )
+    assert spark.table("policy").columns == ["id"]
+    assert not spark.catalog.tableExists("event")
+    assert values(found) == [(9, 4)]
+    spark.catalog.dropTempView("policy")

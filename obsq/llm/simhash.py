@@ -141,15 +141,21 @@ def near_components(fps: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """``doc_id, fp, component_id`` of every row; the smallest id of a component names it."""
-    marked = store(
-        fingerprints(docs, text, [F.col(id_column).alias("id")], width)
+    return _grouped(docs, text, [F.col(id_column).alias("id")], width).select(
+        F.col("id").alias(id_column), "fp", "component_id"
     )
+
+
+def _grouped(docs: DataFrame, text: str, keep: list[Column], width: int = WIDTH) -> DataFrame:
+    """Columns ``keep``, among them ``id``, with ``fp``, ``component`` (its smallest
+    fingerprint) and ``component_id`` (its smallest id) of every row."""
+    marked = store(fingerprints(docs, text, keep, width))
     fps = store(marked.groupBy("fp").agg(F.min("id").alias("least")))
     placed = near_components(fps.select("fp"))
     members = store(placed.join(fps, "fp").select("fp", "least", "component"))
     names = store(members.groupBy("component").agg(F.min("least").alias("component_id")))
-    named = store(members.join(names, "component").select("fp", "component_id"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
+    named = store(members.join(names, "component").select("fp", "component", "component_id"))
+    return marked.join(named, "fp")
 
 
 def near_dedup_digests(docs: DataFrame) -> DataFrame:
@@ -162,14 +168,21 @@ def near_dedup_digests(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, columns as they came.
 
-    Of rows with that id one stays; documents of null ids only that are near copies
-    of each other keep one row of each fingerprint's component as well.
+    A null id is larger than any; of documents with one id, null or repeated, the
+    one with the smaller hash of its text counts as smaller. Equal texts under one
+    id are one document, of which one row stays.
     """
-    names = docs.columns
-    found = near_dedup(docs.select("doc_id", "text"))
-    heads = store(found.select(F.col("component_id").alias("_head")).distinct())
-    kept = docs.select(F.struct(*names).alias("_doc"), F.col("doc_id").alias("_id")).join(
-        heads, F.col("_id").eqNullSafe(F.col("_head")), "left_semi"
+    text = F.col("text").cast("string")
+    # what tells documents of one id apart
+    own = [F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("g")]
+    found = _grouped(docs.select("text", "doc_id"), "text", own)
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "g")).alias("head")
+    heads = store(found.groupBy("component").agg(least).select("head.id", "head.h", "head.g"))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), *own)
+    kept = rows.join(
+        heads,
+        rows["id"].eqNullSafe(heads["id"]) & (rows["h"] == heads["h"]) & (rows["g"] == heads["g"]),
+        "left_semi",
     )
-    once = W.partitionBy("_id").orderBy(F.xxhash64("_doc"))
+    once = W.partitionBy("id", "h", "g").orderBy(F.xxhash64("_doc"))
     return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_doc.*")

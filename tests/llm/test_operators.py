@@ -168,6 +168,20 @@ def test_near_dedup(spark, docs):
     assert kept.columns == docs.columns and kept.count() == len(set(group))
 
 
+def test_one_document_of_each_group_stays_whatever_its_id(spark):
+    far = ["one two three four five six", "seven eight nine ten eleven", "red green blue black white", "up down left right"]
+    rows = [
+        (None, far[0], 1), (None, far[0], 2), (None, far[1], 3), (7, far[2], 4), (7, far[3], 5),
+        (7, far[3], 6), (8, far[3], 7), (None, far[3], 8), (None, None, 9), (3, "", 10),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h int")
+    kept = [tuple(r) for r in simhash.drop_near_copies(docs).collect()]
+    assert sorted((i, t) for i, t, _ in kept if i is not None) == [(3, ""), (7, far[2]), (7, far[3])]
+    assert sorted(t for i, t, _ in kept if i is None) == sorted([far[0], far[1]])
+    assert all(row in rows for row in kept)
+    assert simhash.drop_near_copies(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("links", [
     [], [(1, 2), (1, 3), (4, 5)], [(n + 1, n) for n in range(40)], [(5, 5)],
     [(n, (n * 7919 + 3) % 60) for n in range(60) if n % 3],

@@ -11,7 +11,7 @@ pytest.importorskip("tokenizers")
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from obsq.llm import boosting, bpe, htmltext, linededup, mixing, pii, quality, secrets, simhash, topk, toxicity
+from obsq.llm import boosting, bpe, htmltext, linededup, mixing, pii, quality, secrets, similar, simhash, topk, toxicity
 from obsq.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans int, row string"
@@ -168,6 +168,40 @@ def test_near_dedup(spark, docs):
     assert kept.columns == docs.columns and kept.count() == len(set(group))
 
 
+def test_near_copies_at_the_similarity_of_the_pipeline(spark, sample_dir):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    rows, shared = [], " ".join(f"q{i}" for i in range(30))
+    for base in range(12):
+        words = [f"w{i}" for i in rng.integers(0, 5000, int(rng.integers(8, 300)))]
+        for edits in (0, 0, 1, 2, 3, 5, 8):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), edits):
+                copy[at] = f"x{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(copy) + (f" {shared}" if base % 3 == 0 else "")))
+    rows += [(900, None), (901, ""), (902, "two words"), (903, "Two  words"), (None, rows[0][1])]
+    rows += [(1000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sample_dir}/documents.parquet").limit(150).collect()]
+    sets = [frozenset(simhash.shingle_hashes(t or "", 5).tolist()) for _, t in rows]
+    group = list(range(len(rows)))
+    bits = [simhash.fingerprint(t or "", 4) for _, t in rows]
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            whole = len(sets[i] | sets[j])
+            if whole == 0 or 10 * len(sets[i] & sets[j]) >= 8 * whole:
+                far += bin(bits[i] ^ bits[j]).count("1") > 4
+                group = [group[j] if g == group[i] else g for g in group]
+    assert far  # near copies that op5's distance does not link
+    least = {}
+    for g, (i, _) in zip(group, rows):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, sample_dir).collect()) == sorted(least.values())
+    assert similar.drop_similar(frame.limit(0)).count() == 0
+
+
 def test_one_document_of_each_group_stays_whatever_its_id(spark):
     far = ["one two three four five six", "seven eight nine ten eleven", "red green blue black white", "up down left right"]
     rows = [

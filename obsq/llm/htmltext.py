@@ -43,7 +43,9 @@ LEFT_OUT = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 CONTAINERS = frozenset("article main section div body td".split())
-#: Words of a class or id that mark what is not the article.
+#: Elements left out that hold a whole page at times.
+WRAPPERS = frozenset("aside form header".split())
+#: Classes or ids, as a whole, that mark what is not the article.
 UNWANTED = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie"
     " cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice outbrain pagination"
@@ -59,7 +61,6 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?][^>]*>", re.S
 )
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Container(NamedTuple):
@@ -77,19 +78,26 @@ def _named(attributes: str) -> tuple[str, bool]:
         if kind.lower() == "role":
             unwanted |= value.strip().lower() in ROLES
             continue
-        unwanted |= any(w.lower() in UNWANTED for w in _PARTS.findall(value))
+        unwanted |= not UNWANTED.isdisjoint(value.lower().split())
         if kind.lower() == "class":
             classes = ".".join(sorted(set(re.sub(r"[0-9]+", "#", value.lower()).split())))
     return classes, unwanted
 
 
-def read_page(html: str) -> tuple[list[str], list[Container]]:
-    """The blocks of text a page shows outside what is left out, and its containers."""
+def read_page(html: str, wanted: frozenset[int] = frozenset()) -> tuple[list[str], list[Container]]:
+    """The blocks of text a page shows outside what is left out, and its containers.
+
+    What its name, role or tag would leave out, but holds an article or main with
+    more text than those shown, or without any of those most of the page's text, is
+    read again as ``wanted`` (places of opening tags).
+    """
+    doubted: dict[int, list] = {}  # by place: characters inside, whether an article is
     blocks: list[str] = []
     done: list[Container] = []
-    stack: list[tuple[str, str, int, bool]] = []  # tag, path, first block, left out
+    stack: list[tuple[str, str, int, int, int]] = []  # tag, path, first block, left out, place
     pieces: list[str] = []
-    hidden = False
+    hidden = 0  # 1: by what is doubted, 2: for sure
+    aside = 0
 
     def flush() -> None:
         if pieces:
@@ -101,10 +109,10 @@ def read_page(html: str) -> tuple[list[str], list[Container]]:
     def close(depth: int) -> None:
         nonlocal hidden
         while len(stack) > depth:
-            tag, path, start, _ = stack.pop()
+            tag, path, start, *_ = stack.pop()
             if tag in CONTAINERS and not hidden:
                 done.append(Container(path, tag, start, len(blocks)))
-            hidden = bool(stack) and stack[-1][3]
+            hidden = stack[-1][3] if stack else 0
 
     at, size = 0, len(html)
     while at < size:
@@ -113,6 +121,12 @@ def read_page(html: str) -> tuple[list[str], list[Container]]:
         if upto > at and not hidden:
             text = html[at:upto]
             pieces.append(unescape(text) if "&" in text else text)
+        elif upto > at and hidden == 1:
+            size_in = len(" ".join(html[at:upto].split()))
+            aside += size_in
+            for entry in stack:
+                if entry[4] in doubted:
+                    doubted[entry[4]][0] += size_in
         if not m:
             break
         at = m.end()
@@ -148,12 +162,18 @@ def read_page(html: str) -> tuple[list[str], list[Container]]:
                 flush()
             elif not hidden:
                 pieces.append(" ")
-            at = end.end() if end else size
+            # foreign content may end in its own tag
+            if not (tag == "svg" and attributes.endswith("/")):
+                at = end.end() if end else size
             continue
         block = tag in BLOCKS
         classes, unwanted = _named(attributes) if attributes else ("", False)
         # the page itself is never left out by what it is called
-        out = tag in LEFT_OUT or (unwanted and tag not in ("html", "body", "article", "main"))
+        out = 0
+        if tag in LEFT_OUT or (unwanted and tag not in ("html", "body", "article", "main")):
+            out = 1 if tag in WRAPPERS or tag not in LEFT_OUT else 2
+            if out == 1 and m.start() in wanted:
+                out = 0
         if not block and not out:
             continue
         if block:
@@ -165,10 +185,24 @@ def read_page(html: str) -> tuple[list[str], list[Container]]:
             continue
         step = f"{tag}.{classes}" if classes else tag
         path = f"{stack[-1][1]}/{step}" if stack else step
-        stack.append((tag, path, len(blocks), hidden or out))
-        hidden = hidden or out
+        if tag in ("article", "main") and hidden == 1:
+            for entry in stack:
+                if entry[4] in doubted:
+                    doubted[entry[4]][1] = True
+        hidden = max(hidden, out)
+        if out == 1 and hidden == 1:
+            doubted[m.start()] = [0, False]
+        stack.append((tag, path, len(blocks), hidden, m.start()))
     flush()
     close(0)
+    if doubted:
+        shown = sum(map(len, blocks))
+        named = max((sum(map(len, blocks[c.start : c.end])) for c in done if c.tag in ("article", "main")), default=0)
+        holds = {at for at, (chars, article) in doubted.items() if article and chars > named}
+        if not named and not holds:
+            holds = {at for at, (chars, _) in doubted.items() if 2 * chars > shown + aside}
+        if holds:
+            return read_page(html, wanted | holds)
     return blocks, done
 
 

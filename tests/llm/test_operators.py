@@ -305,6 +305,16 @@ def test_pages(spark):
     assert got.count() == 7
 
 
+def test_names_around_an_article_do_not_hide_it():
+    article = "<article><p>The whole text.</p></article>"
+    for outer in ("<div class='content with-sidebar'>", "<div class=page-header>", "<div class=sidebar>", "<form id=login>", "<div role=form>"):
+        close = "</form>" if outer.startswith("<form") else "</div>"
+        assert htmltext.page_text(f"<body><div class=ad>buy</div>{outer}{article}{close}</body>", None) == "The whole text."
+    assert htmltext.page_text("<body><nav>menu</nav><form>most of the text is here<input></form><p>end</p></body>", None) == "most of the text is here\nend"
+    assert htmltext.page_text("<body><p>one</p><svg/><p>two</p><svg><g/>x</svg></body>", None) == "one\ntwo"
+    assert htmltext.page_text(f"<body>{article}<div class=ad>{'buy ' * 50}</div></body>", None) == "The whole text."
+
+
 def test_mixing(spark, docs):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == docs.count()

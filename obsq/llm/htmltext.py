@@ -5,7 +5,9 @@ and the blocks of text inside, without what lies in menus, forms and the like.
 A page votes for the path of the container that looks most like its article; the
 votes of a host are counted in Spark (summed before they are shuffled), and all
 pages of the host are extracted anew by the path most of them name. A page that
-lacks the path, or has no text there, falls back on its own best container.
+lacks the path, or has less text there than in its own best container, falls
+back on that one. A page without an article or main element has no container
+known to hold the article, so all it shows outside what is left out is taken.
 
 The pages are not shuffled by the votes: the winning paths, one row for each
 host, are a written table of known size that Catalyst broadcasts while it is
@@ -210,7 +212,7 @@ def best_container(blocks: list[str], containers: list[Container]) -> Container
     """The container most like an article: its own element if there is one, else by text.
 
     Among articles, then mains, the one with most characters. Otherwise the
-    smallest container that holds at least two thirds of the page's text.
+    smallest container that holds all text the page shows outside what is left out.
     """
     total = [0]
     for b in blocks:
@@ -223,13 +225,15 @@ def best_container(blocks: list[str], containers: list[Container]) -> Container
         found = [c for c in containers if c.tag == tag and size(c)]
         if found:
             return max(found, key=lambda c: (size(c), -c.start))
-    large = [c for c in containers if size(c) and 3 * size(c) >= 2 * total[-1]]
-    return min(large, key=lambda c: (size(c), -c.path.count("/"), c.start)) if large else None
+    whole = [c for c in containers if size(c) and size(c) == total[-1]]
+    return min(whole, key=lambda c: (-c.path.count("/"), c.start)) if whole else None
 
 
 def page_text(html: str, path: str | None) -> str:
-    """Text of the containers with the path, or of the page's best one."""
+    """Text of the containers with the path, or of the page's best one if that has more."""
     blocks, containers = read_page(html)
+    best = best_container(blocks, containers)
+    own = blocks[best.start : best.end] if best else blocks
     if path is not None:
         chosen = sorted((c for c in containers if c.path == path), key=lambda c: (c.start, -c.end))
         lines: list[str] = []
@@ -237,10 +241,9 @@ def page_text(html: str, path: str | None) -> str:
         for c in chosen:
             lines += blocks[max(c.start, upto) : c.end]
             upto = max(upto, c.end)
-        if lines:
+        if sum(map(len, lines)) >= sum(map(len, own)):
             return "\n".join(lines)
-    best = best_container(blocks, containers)
-    return "\n".join(blocks[best.start : best.end] if best else blocks)
+    return "\n".join(own)
 
 
 def host_of(url: Column) -> Column:

@@ -315,6 +315,16 @@ def test_names_around_an_article_do_not_hide_it():
     assert htmltext.page_text(f"<body>{article}<div class=ad>{'buy ' * 50}</div></body>", None) == "The whole text."
 
 
+def test_no_part_of_a_page_without_article_is_lost(spark):
+    split = "<body><nav>menu</nav><div class=content><p>lead</p><div class=ad>buy</div><div class=text><p>{}</p></div></div></body>"
+    bodies = [f"long text {n} " * 20 for n in range(4)]
+    rows = [(n, "http://hot.example/x", split.format(t)) for n, t in enumerate(bodies)]
+    # another layout on the same host, with a little text under the path of the others
+    rows.append((9, "http://hot.example/y", "<body><div class=content>teaser</div><article><p>the other article, whole</p></article></body>"))
+    got = dict(rows_of(htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text"))
+    assert got == {n: f"lead\n{t.strip()}" for n, t in enumerate(bodies)} | {9: "the other article, whole"}
+
+
 def test_mixing(spark, docs):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == docs.count()

@@ -4,8 +4,8 @@ Each text is scanned once for the base kinds and for further tokens that look
 like keys (letters and digits mixed, long, of high entropy). Candidates are
 hashed, and the corpus is asked how widely a hash is spread: over how many
 documents (each a repository of its own) and how many owners (the sources).
-A candidate that several owners share is a copied example; one that a single
-owner has, and that looks random, is taken as live. Only further tokens that
+A candidate that ``COPIED_OWNERS`` share is a copied example; one that fewer
+have, and that looks random, is taken as live. Only further tokens that
 look live become spans of their own; the base spans always stay.
 
 Only candidates are shuffled, counts are summed per task before that, and the
@@ -141,7 +141,7 @@ def find_secrets(
     copied = F.col("owners") >= copied_owners
     weighed = held.drop("owner").distinct().join(known, "hash").select(
         "row", "kind", "at", "upto",
-        copied.alias("copied"), (~copied & (F.col("owners") == 1) & F.col("random")).alias("live"),
+        copied.alias("copied"), (~copied & F.col("random")).alias("live"),
     )
     place = F.array_position(F.array(*[F.lit(k) for k in (*KINDS, TOKEN)]), F.col("kind"))
     spans = store(

@@ -288,6 +288,13 @@ def test_widely_copied_keys_are_no_finds(spark):
     assert {r.doc_id: r.spans for r in found.collect() if r.spans} == {9: "key:4:31"}
 
 
+def test_a_key_that_two_sources_hold_is_a_find(spark):
+    key = "aB3dE5fG7hJ9kL1mN2pQ4rS6tU8v"
+    rows = [(i, f"see {key} there", "en", source) for i, source in enumerate(("one", "two"))]
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert rows_of(found, "doc_id", "spans", "n_live", "n_copied") == [(0, "key:4:32", 1, 0), (1, "key:4:32", 1, 0)]
+
+
 PAGE = (
     '<html><head><title>t</title></head><body><nav><a>menu</a></nav><div class="ad">buy</div><div class="post-{n}"><article>'
     "<h1>Head &amp; line</h1><p><b>One\n two<br><p>three<aside>x</aside></article></div>"

@@ -129,7 +129,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     upper = int(((raw >= 65) & (raw <= 90)).sum())
     marks = int((((raw >= 33) & (raw <= 47)) | ((raw >= 58) & (raw <= 64))).sum())
-    caps = sum(map(str.isupper, text.split())) if upper > 0.05 * len(raw) else 0
+    caps = sum(map(str.isupper, text.split()))
     return [
         sum(words[i] in hits for i in spots) / n,
         total / n,

@@ -352,3 +352,9 @@ def test_toxicity(spark, docs, labels, sample_dir):
     marks = spark.read.parquet(f"{sample_dir}/labels.parquet")
     held = toxicity.toxicity(documents, marks).filter("held_out").join(marks, "doc_id").toPandas()
     assert (held.predicted == held.toxic).mean() > 0.9
+
+
+def test_shouted_words_in_long_prose_are_counted():
+    text = "some ordinary words of a long text " * 10 + "SHOUTED"
+    found = dict(zip(toxicity.FEATURES, toxicity.features(text, toxicity.Lexicon({}, {}))))
+    assert found["caps_word_share"] == 1 / 71

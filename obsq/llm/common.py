@@ -118,3 +118,33 @@ def labelled_sample(
         .orderBy(F.xxhash64("_label_id"), "_label_id").limit(bound)
     )
     return docs.join(F.broadcast(chosen), F.col(id_column) == F.col("_label_id"))
+
+
+def map_batches(
+    rows: DataFrame,
+    inputs: Sequence[Column],
+    keep: Sequence[str | Column],
+    schema: str,
+    per_batch: Callable[..., list[list]],
+) -> DataFrame:
+    """Columns ``keep`` beside what ``per_batch`` makes of the values of ``inputs``.
+
+    ``per_batch`` gets one list per input, of at most 1,024 rows, and returns one
+    list per column of ``schema``.
+    """
+    names = [f"_in_{i}" for i in range(len(inputs))]
+    chosen = rows.select(*keep, *[c.alias(n) for c, n in zip(inputs, names)])
+    kept = [f for f in chosen.schema.fields if f.name not in names]
+    out = StructType(kept + StructType.fromDDL(schema).fields)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                made = per_batch(*[part.column(n).to_pylist() for n in names])
+                columns = [part.column(f.name).cast(arrow.field(f.name).type) for f in kept]
+                columns += [pa.array(v, type=arrow.field(len(kept) + i).type) for i, v in enumerate(made)]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return chosen.mapInArrow(run, out)

@@ -12,6 +12,7 @@ from obsq.llm.bpe import encode_digests
 from obsq.llm.htmltext import extract_pages
 from obsq.llm.linededup import line_dedup_digests
 from obsq.llm.mixing import mix_sources
+from obsq.llm.periodic import run_digests
 from obsq.llm.pii import pii_digests
 from obsq.llm.quality import quality_rules
 from obsq.llm.secrets import secret_digests
@@ -66,10 +67,14 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_digests(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_pii, op3_topk, op4_line_dedup, op5_simhash, op6_quality, op7_secrets, op8_html, op9_mixing,
-        op10_toxicity,
+        op10_toxicity, op11_runs,
     )
 }

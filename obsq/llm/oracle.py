@@ -84,4 +84,45 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(c.n, 0)
 FROM queued q LEFT JOIN copies c ON q.doc_id = c.doc_id AND q.size = c.size
 """
 
-ORACLE_SQL = {"op3_topk": _OP3, "op4_line_dedup": _OP4, "op9_mixing": _OP9}
+# CRC-32 of a text of digits: its bytes come in one after the other, eight shifts each.
+_OP13 = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list({'mark': md5(length(role) || ':' || role || text), 'chars': length(text)}
+        ORDER BY turn NULLS FIRST, role, text) AS turns
+    FROM turns GROUP BY conv_id
+), hashed AS (
+    SELECT *, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+            lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)))) % 6 AS h
+    FROM own
+), rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+    FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100
+), paths AS (
+    SELECT conv_id, len(turns) AS whole, d AS depth,
+        md5(array_to_string(list_transform(turns[1:d], lambda t: t.mark), ',')) AS node,
+        CASE WHEN d > 0 THEN md5(array_to_string(list_transform(turns[1:d - 1], lambda t: t.mark), ',')) END AS parent,
+        CASE WHEN d > 0 THEN turns[d].chars ELSE 0 END AS chars
+    FROM (SELECT *, unnest(generate_series(0, len(turns))) AS d FROM rebuilt)
+), nodes AS (
+    SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE whole = depth), '')) AS ends_sha256
+    FROM paths GROUP BY depth, node
+), children AS (
+    SELECT depth - 1 AS depth, parent AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), counted AS (
+    SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (depth, node)
+), sums AS (
+    -- a node's first member walks up to the root
+    SELECT p.depth, p.node, sum((c.n_convs - 1) * c.chars) AS saved, count(*) FILTER (c.n_children = 0) AS leaves
+    FROM counted c JOIN paths p ON p.conv_id = c.conv_id AND p.depth <= c.depth GROUP BY p.depth, p.node
+)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, a.conv_id AS parent_conv_id, c.n_convs, c.n_children,
+    s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN sums s USING (depth, node) LEFT JOIN nodes a ON a.depth = c.depth - 1 AND a.node = c.parent
+"""
+
+ORACLE_SQL = {"op3_topk": _OP3, "op4_line_dedup": _OP4, "op9_mixing": _OP9, "op13_trie": _OP13}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from obsq.llm.bpe import encode_digests
 from obsq.llm.htmltext import extract_pages
+from obsq.llm.imatch import edited_digests
 from obsq.llm.linededup import line_dedup_digests
 from obsq.llm.mixing import mix_sources
 from obsq.llm.periodic import run_digests
@@ -19,6 +20,7 @@ from obsq.llm.secrets import secret_digests
 from obsq.llm.simhash import near_dedup_digests
 from obsq.llm.topk import top_k, vectors
 from obsq.llm.toxicity import toxicity
+from obsq.llm.trie import conversation_trie
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,10 +73,18 @@ def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
     return run_digests(_table(spark, folder, "documents"))
 
 
+def op12_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_digests(_table(spark, folder, "documents"))
+
+
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(_table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_pii, op3_topk, op4_line_dedup, op5_simhash, op6_quality, op7_secrets, op8_html, op9_mixing,
-        op10_toxicity, op11_runs,
+        op10_toxicity, op11_runs, op12_imatch, op13_trie,
     )
 }

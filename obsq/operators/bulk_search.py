@@ -62,21 +62,7 @@ def search_entities_bulk(entities: DataFrame, requests: DataFrame) -> BulkSearch
     ``name``, ``domain``, ``type`` and ``tags``, with the rules of a single
     search. Null, an empty string or an empty tag list is no criterion.
     """
-    wanted = requests.select(
-        "req_id",
-        F.col("account_id").alias("r_account_id"),
-        F.when(given(F.col("name")), F.col("name")).alias("r_name"),
-        F.when(given(F.col("domain")), F.col("domain")).alias("r_domain"),
-        F.when(given(F.col("type")), F.col("type")).alias("r_type"),
-        well_formed_tags(F.col("tags")).alias("r_tags"),
-    )
-    criterion = F.coalesce("r_name", "r_domain", "r_type").isNotNull() | F.col("r_tags").isNotNull()
-    valid = wanted.filter(criterion)
-    errors = wanted.filter(~criterion).select(
-        "req_id",
-        F.lit("at least one of name, type, domain and tags is needed").alias("message"),
-    )
-
+    valid, errors = checked_requests(requests)
     few = fits_broadcast(requests, PROBE_GROWTH)
     asked = valid.select("req_id", F.explode(_request_probes()).alias("probe"))
     asked_for = asked.groupBy("probe").agg(F.count("*").alias("requests"))
@@ -107,10 +93,29 @@ def search_entities_bulk(entities: DataFrame, requests: DataFrame) -> BulkSearch
         # Only GUIDs and probes are shuffled; the fields join the pairs that meet.
         met = _maybe_asked(_offered(entities, used, "guid"), chosen).join(chosen, "probe")
         candidates = met.join(entities.select(*BASIC_FIELDS, "type"), "guid")
-    matches = candidates.filter(_satisfies()).select("req_id", *BASIC_FIELDS)
+    matches = candidates.filter(satisfies()).select("req_id", *BASIC_FIELDS)
     return BulkSearch(matches, errors)
 
 
+def checked_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests with a usable criterion, their arguments as ``r_`` columns; and errors of the others."""
+    wanted = requests.select(
+        "req_id",
+        F.col("account_id").alias("r_account_id"),
+        F.when(given(F.col("name")), F.col("name")).alias("r_name"),
+        F.when(given(F.col("domain")), F.col("domain")).alias("r_domain"),
+        F.when(given(F.col("type")), F.col("type")).alias("r_type"),
+        well_formed_tags(F.col("tags")).alias("r_tags"),
+    )
+    criterion = F.coalesce("r_name", "r_domain", "r_type").isNotNull() | F.col("r_tags").isNotNull()
+    valid = wanted.filter(criterion)
+    errors = wanted.filter(~criterion).select(
+        "req_id",
+        F.lit("at least one of name, type, domain and tags is needed").alias("message"),
+    )
+    return valid, errors
+
+
 def _maybe_asked(offered: DataFrame, asked: DataFrame) -> DataFrame:
     """Offered probes without most of those that nobody asks for.
 
@@ -130,7 +135,8 @@ def _hash_slot() -> Column:
     return F.pmod(F.xxhash64("probe"), F.lit(HASH_SLOTS))
 
 
-def _satisfies() -> Column:
+def satisfies() -> Column:
+    """Whether an entity meets all criteria of the request beside it."""
     pattern = F.concat(F.lit("%"), F.replace(F.col("r_name"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
     missing_tags = F.size(F.array_except("r_tags", "tags"))
     return (

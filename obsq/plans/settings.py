@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
+    # Values of a search for which row groups are skipped one by one, by Bloom filters.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
 
 

@@ -39,3 +39,12 @@ def plan(df):
 
 def first_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_scanned(df):
+    """Rows that the scans of a plan without shuffles gave, after skipping row groups."""
+    executed = df._jdf.queryExecution()
+    plan = executed.executedPlan()
+    executed.toRdd().count()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))

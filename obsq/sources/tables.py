@@ -1,8 +1,11 @@
 """Logical tables as Parquet folders.
 
 Events are laid out by day and entities by domain, so a time window or a domain
-predicate skips whole folders before any file is opened. Within a file the rows
-are sorted, so that pages are skipped as well.
+predicate skips whole folders before any file is opened. Rows are dealt to files by
+ranges of the columns they are sorted by, so that a file holds few accounts or a
+piece of a large one: an account scope, a cursor or a lookup skips the row groups of
+all other files by their bounds. Columns that are looked up by value without any
+order have Bloom filters besides.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ PARTITIONS = {
     "event": ["event_date"],
 }
 
-# Rows are sorted within a file, which gives its pages narrow bounds on the
-# columns that windows, cursors, lookups and account scopes filter by.
+# Rows are in this order over all files, which gives files and pages narrow bounds on
+# the columns that windows, cursors, lookups and account scopes filter by.
 SORTED = {
     "entity": ["guid"],
     "event": ["account_id", "ts"],
@@ -35,6 +38,15 @@ SORTED = {
     "dashboard_widget": ["page_guid"],
 }
 
+# Columns with Bloom filters, for exact matches that no order helps.
+LOOKED_UP = {
+    "entity": ["guid", "name"],
+    "incident": ["entity_guid"],
+    "violation": ["guid"],
+    "alert_condition": ["guid"],
+    "relationship": ["target_guid"],
+}
+
 
 # Logs have no folder before the first row is appended, and are empty then.
 LOGS = {"incident_ack"}
@@ -70,15 +82,14 @@ def write_table(rows: DataFrame, root: str, name: str, mode: str = "append") ->
         rows = rows.withColumn("event_date", F.to_date("ts"))
     rows = rows.select([F.col(f.name).cast(f.dataType) for f in table_schema(name)])
     layout = PARTITIONS.get(name, [])
-    if layout:
-        # Each folder's rows are brought together. AQE merges small partitions
-        # of a rebalance and splits large ones, so there are neither tiny files
-        # nor one task that writes a busy day alone.
-        rows = rows.hint("rebalance", *layout)
     order = [*layout, *SORTED.get(name, [])]
     if order:
-        rows = rows.sortWithinPartitions(*order)
-    rows.write.mode(mode).partitionBy(*layout).parquet(f"{root}/{name}")
+        # Ranges of all columns of the order, so a busy day or a large account is
+        # cut into several files. AQE merges what is small.
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    bloom = {f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKED_UP.get(name, [])}
+    bloom["parquet.bloom.filter.adaptive.enabled"] = "true"
+    rows.write.mode(mode).options(**bloom).partitionBy(*layout).parquet(f"{root}/{name}")
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

@@ -11,11 +11,13 @@ from obsq.functions.rendering import json_text, reply_text
 from obsq.operators.events import scan_events
 from obsq.operators.freequery import free_query
 from obsq.operators.replies import parse_replies
+from obsq.operators.search import find_exact
 from obsq.schema import TABLES
+from obsq.sources.catalog import union_kinds
 from obsq.sources.tables import read_tables, read_table, write_json, write_table
 from obsq.streaming import bucket_stream, read_event_stream
 from obsq.workspace import Workspace
-from tests.helpers import entities, outcomes, plan, table, values
+from tests.helpers import entities, outcomes, plan, rows_scanned, table, values
 
 
 def parsed(spark, *texts, path=("rows",)):
@@ -239,3 +241,44 @@ def test_a_free_query_leaves_the_callers_views(spark):
     assert not spark.catalog.tableExists("event")
     assert values(found) == [(9, 4)]
     spark.catalog.dropTempView("policy")
+
+
+def many_incidents(spark, n=4000):
+    """Incidents of 50 accounts, a third of them of account 7."""
+    return spark.range(n).selectExpr(
+        "id AS incident_id", "'t' AS title", "'INFO' AS priority", "'OPEN' AS state", "'p' AS policy_name",
+        "'c' AS condition_name", "concat('G', id % 97) AS entity_guid",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id * 7919 % 4001) AS started_at",
+        "timestamp_ntz'2024-01-01 00:00:00' AS updated_at", "'d' AS description", "'u' AS violation_url",
+        "CAST(if(id % 3 = 0, 7, id % 50) AS int) AS account_id",
+    )
+
+
+def test_an_account_reads_few_files_and_a_large_one_has_several(spark, tmp_path, conf):
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false")
+    write_table(many_incidents(spark), str(tmp_path), "incident")
+    stored = read_table(spark, str(tmp_path), "incident")
+    assert len(stored.inputFiles()) == 8 and stored.count() == 4000
+    one = stored.filter("account_id = 33").select("incident_id")
+    assert rows_scanned(one) <= 1000 and one.count() == many_incidents(spark).filter("account_id = 33").count()
+    # the large account is cut by time: no file has a piece of another file's times
+    spans = (
+        stored.filter("account_id = 7").groupBy(F.input_file_name().alias("file"))
+        .agg(F.min("started_at").alias("first"), F.max("started_at").alias("last")).orderBy("first").collect()
+    )
+    assert len(spans) >= 3 and all(a["last"] <= b["first"] for a, b in zip(spans, spans[1:]))
+
+
+def test_lookups_skip_files_by_bloom_filters(spark, tmp_path, conf):
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false")
+    rows = spark.range(4000).selectExpr(
+        "concat('G', md5(CAST(id AS string))) AS guid", "concat('name ', id) AS name", "CAST(1 AS int) AS account_id",
+        "'APM' AS domain", "'APPLICATION' AS type", "'APM_APPLICATION' AS entity_type",
+    )
+    write_table(union_kinds([rows]), str(tmp_path), "entity")
+    stored = read_table(spark, str(tmp_path), "entity")
+    files = len(stored.inputFiles())
+    named = find_exact(stored, "name 1234").select("guid")
+    assert files >= 8 and named.count() == 1 and rows_scanned(named) <= 2 * 4000 / files
+    unknown = find_exact(stored, "name 12345").select("guid")
+    assert unknown.count() == 0 and rows_scanned(unknown) <= 4000 / files

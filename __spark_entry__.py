@@ -23,9 +23,13 @@ from obsq.functions.rendering import (  # noqa: E402
     tags_text,
 )
 from obsq.operators import acknowledge, alerts, details  # noqa: E402
+from obsq.operators.ack_log import AcknowledgementLog  # noqa: E402
 from obsq.operators.accounts import resolve_accounts  # noqa: E402
 from obsq.operators.events import attribute, scan_events  # noqa: E402
+from obsq.operators.monitor_store import MonitorStore  # noqa: E402
 from obsq.operators.replies import parse_replies  # noqa: E402
+from obsq.operators.search_index import SearchIndex  # noqa: E402
+from obsq.plans.scratch import shared_folder  # noqa: E402
 from obsq.plans.settings import configure  # noqa: E402
 from obsq.sources.fixtures import Fixtures  # noqa: E402
 from obsq_oracle import ORACLE_SQL  # noqa: E402
@@ -171,6 +175,30 @@ def entity_search_bulk_first(spark, folder):
     return _entities(spark, folder).search_entities_bulk(requests).first(5).drop("tags")
 
 
+@lru_cache(maxsize=4)
+def _index(spark: SparkSession, folder: str) -> SearchIndex:
+    """An index that first knew the monitors by other names, kept for the queries on a folder."""
+    entities = _fixtures(spark, folder).entity
+    index = SearchIndex(spark, shared_folder(spark, "search-index"))
+    is_monitor = F.col("domain") == "SYNTH"
+    index.build(entities.withColumn("name", F.when(is_monitor, F.concat(F.lit("former "), "name")).otherwise(F.col("name"))))
+    index.extend(entities.filter(is_monitor))
+    return index
+
+
+def entity_index_name(spark, folder):
+    found = _index(spark, folder).search_one(name="red", domain="SYNTH", limit=None)
+    return _with_tags_text(found.rows)
+
+
+def entity_index_bulk(spark, folder):
+    return _index(spark, folder).search(_fixtures(spark, folder).customer_search).matches.drop("tags")
+
+
+def entity_index_totals(spark, folder):
+    return _index(spark, folder).search(_fixtures(spark, folder).customer_search).totals
+
+
 def entity_exact_match(spark, folder):
     everywhere = Workspace(spark, _fixtures(spark, folder).tables("entity"))
     return _with_tags_text(everywhere.find_exact("red widget", "SYNTH", "MONITOR"))
@@ -558,6 +586,38 @@ def account_ack_still_open(spark, folder):
     )
 
 
+def _ack_batches(spark, folder):
+    """Even and odd requests as two batches that use the same ids, and an empty log."""
+    requests = _fixtures(spark, folder).account_ack
+    own_id = F.expr("req_id div 2")
+    even, odd = (requests.filter(F.col("req_id") % 2 == i).withColumn("req_id", own_id) for i in (0, 1))
+    return even, odd, AcknowledgementLog(spark, shared_folder(spark, "ack-log"), DEFAULT_ACCOUNT)
+
+
+def ack_log_outcome(spark, folder):
+    """The outcomes of two batches that are applied again after the log was compacted."""
+    incidents = _fixtures(spark, folder).incident
+    even, odd, log = _ack_batches(spark, folder)
+    log.apply(even, incidents, "even")
+    log.apply(odd, incidents, "odd")
+    log.compact()
+    again = [log.apply(b, incidents, name).withColumn("batch", F.lit(name)) for b, name in ((even, "even"), (odd, "odd"))]
+    return again[0].unionByName(again[1])
+
+
+def ack_log_state(spark, folder):
+    """Incidents read back from a snapshot of one batch, a second batch and a repeat of the first."""
+    incidents = _fixtures(spark, folder).incident
+    even, odd, log = _ack_batches(spark, folder)
+    log.apply(even, incidents, "even")
+    log.compact()
+    log.apply(odd, incidents, "odd")
+    log.apply(even, incidents, "even")
+    return log.incidents(incidents).select(
+        "incident_id", "account_id", "state", "acknowledged_by", "acknowledged_at"
+    )
+
+
 # --- monitors --------------------------------------------------------------
 
 
@@ -574,6 +634,19 @@ def monitor_create_errors(spark, folder):
     return _workspace(spark, folder, "account").check_monitors(requests).rejected
 
 
+def monitor_stored(spark, folder):
+    """Monitors read back after two batches that share most requests, one of them created twice."""
+    requests = _fixtures(spark, folder).monitor_request
+    store = MonitorStore(spark, shared_folder(spark, "monitors"))
+    part = requests.filter("req_id % 3 <> 0")
+    store.create(part, "part")
+    store.create(requests, "all")
+    store.create(part, "part")
+    return _with_tags_text(store.monitors()).withColumn(
+        "locations_public", F.array_join("locations.public", ";")
+    ).drop("locations")
+
+
 # --- replies and free queries ----------------------------------------------
 
 
@@ -610,6 +683,7 @@ _QUERIES = [
     account_ack_outcome, account_ack_state, account_ack_still_open, account_ack_rerun,
     entity_detail_requested, entity_search_bulk_many, entity_search_bulk_totals,
     entity_search_bulk_errors, entity_search_bulk_first,
+    entity_index_name, entity_index_bulk, entity_index_totals, ack_log_outcome, ack_log_state, monitor_stored,
 ]
 
 

@@ -796,3 +796,57 @@ GROUP BY e.domain, i.priority""",
 }
 # A batch judged again after it was logged has the outcomes it had.
 ORACLE_SQL["account_ack_rerun"] = ORACLE_SQL["account_ack_outcome"]
+
+# A kept index answers as the catalog does.
+ORACLE_SQL["entity_index_name"] = _sql(
+    f"""
+SELECT {BASIC} FROM entity WHERE name LIKE '%red%' AND domain = 'SYNTH'""",
+    *ENTITY,
+)
+ORACLE_SQL["entity_index_bulk"] = ORACLE_SQL["entity_search_bulk_many"]
+ORACLE_SQL["entity_index_totals"] = ORACLE_SQL["entity_search_bulk_totals"]
+
+# The odd requests find incidents as the even ones left them.
+ACK_BATCHES = """, asked AS (
+  SELECT *, req_id % 2 AS odd, row_number() OVER (
+           PARTITION BY req_id % 2, account_id, incident_id ORDER BY acknowledged_at, req_id) AS turn
+  FROM account_ack
+), even AS (
+  SELECT i.incident_id, i.account_id, a.acknowledged_by, a.acknowledged_at
+  FROM incident i JOIN asked a USING (incident_id, account_id)
+  WHERE i.state = 'OPEN' AND a.odd = 0 AND a.turn = 1 AND a.incident_id > 0
+), seen AS (
+  SELECT i.incident_id, i.account_id, i.title, i.state AS at_first,
+         CASE WHEN e.incident_id IS NOT NULL THEN 'ACKNOWLEDGED' ELSE i.state END AS then_,
+         e.acknowledged_by AS even_by, e.acknowledged_at AS even_at
+  FROM incident i LEFT JOIN even e USING (incident_id, account_id)
+)"""
+ORACLE_SQL["ack_log_outcome"] = _sql(
+    ACK_BATCHES + """, judged AS (
+  SELECT a.*, s.title AS base_title, CASE WHEN odd = 1 THEN then_ ELSE at_first END AS base_state
+  FROM asked a LEFT JOIN seen s
+    ON s.incident_id = a.incident_id AND s.account_id = a.account_id AND a.incident_id > 0
+), told AS (
+  SELECT *, CASE WHEN account_id IS NULL THEN 'ACCOUNT' WHEN incident_id <= 0 THEN 'INVALID_ID'
+                 WHEN base_state IS NULL THEN 'NOT_FOUND' WHEN base_state <> 'OPEN' THEN 'NOT_OPEN'
+                 WHEN turn > 1 THEN 'ALREADY_ACKED' ELSE 'OK' END AS outcome
+  FROM judged)
+SELECT req_id // 2 AS req_id, incident_id, account_id, message, acknowledged_by, acknowledged_at, outcome,
+       CASE WHEN outcome = 'OK' THEN 'ACKNOWLEDGED' ELSE base_state END AS state,
+       CASE WHEN outcome = 'OK' THEN base_title END AS title,
+       CASE WHEN odd = 1 THEN 'odd' ELSE 'even' END AS batch
+FROM told""",
+    "incident", "account_ack",
+)
+ORACLE_SQL["ack_log_state"] = _sql(
+    ACK_BATCHES + """
+SELECT s.incident_id, s.account_id,
+       CASE WHEN then_ = 'OPEN' AND o.incident_id IS NOT NULL THEN 'ACKNOWLEDGED' ELSE then_ END AS state,
+       CASE WHEN even_at IS NOT NULL THEN even_by WHEN then_ = 'OPEN' THEN o.acknowledged_by END AS acknowledged_by,
+       CASE WHEN even_at IS NOT NULL THEN even_at WHEN then_ = 'OPEN' THEN o.acknowledged_at END AS acknowledged_at
+FROM seen s LEFT JOIN asked o
+  ON o.incident_id = s.incident_id AND o.account_id = s.account_id AND o.odd = 1 AND o.turn = 1 AND o.incident_id > 0""",
+    "incident", "account_ack",
+)
+ORACLE_SQL["monitor_stored"] = f"""
+SELECT *, CASE WHEN req_id % 3 <> 0 THEN 'part' ELSE 'all' END AS batch FROM ({ORACLE_SQL["monitor_create"]})"""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsq.errors import RequestError
+from obsq.plans.semi_join import KeySet
 from obsq.plans.sizes import fits_broadcast
 from obsq.plans.skew import salted_left_join
 from obsq.schema import (
@@ -269,12 +270,8 @@ def requested_details(
     or counted, so the work follows the requests and not the catalog.
     """
     _check_bound(children_per_row)
-    guids = requests.select("guid").distinct()
-    small = fits_broadcast(requests)
-
-    def cut(rows: DataFrame, column: str = "guid") -> DataFrame:
-        asked = guids.select(F.col("guid").alias(column))
-        return rows.join(F.broadcast(asked) if small else asked, column, "left_semi")
+    keys = KeySet(requests, "guid")
+    guids, cut = keys.values, keys.cut
 
     known = cut(entities)
     fields = F.struct(*[c for c in COMMON_FIELDS if c != "guid"], *_own_structs())

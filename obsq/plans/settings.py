@@ -15,6 +15,11 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
+    # A table of requests may be large and still cut a table of children to little: both
+    # sides are shuffled, the children behind a Bloom filter of the requested keys.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256m",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1g",
     # Values of a search for which row groups are skipped one by one, by Bloom filters.
     "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }

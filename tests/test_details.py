@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from obsq.errors import RequestError
 from obsq.operators import details
+from obsq.plans.semi_join import KeySet
 from obsq.plans.sizes import fits_broadcast
 from obsq.sources.tables import read_table, write_table
 from tests.helpers import entities, first_plan, plan, table, values
@@ -360,3 +361,38 @@ def test_a_hot_entity_is_split(spark, conf):
         assert found.filter("outcome = 'OK'").count() == 200000
     finally:
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_many_requests_cut_children_behind_a_bloom_filter(spark, tmp_path, conf):
+    """Of a child table only what may be asked for is shuffled."""
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    conf(spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0")
+    children = spark.range(50_000).selectExpr("concat('G', id % 5000) AS guid", "id AS violation_id")
+    children.write.parquet(str(tmp_path / "children"))
+    stored = spark.read.parquet(str(tmp_path / "children"))
+    requests = spark.range(300).selectExpr("concat('G', id % 60) AS guid").union(spark.sql("SELECT null"))
+    keys = KeySet(requests, "guid")
+    assert not keys.small and keys.values.count() == 61 and len(keys.values.inputFiles()) >= 1
+    cut = keys.cut(stored)
+    text = plan(cut)
+    assert "might_contain" in text
+    assert cut.count() == 600
+    shuffled = cut._jdf.queryExecution().executedPlan()
+    cut.collect()
+    written = [int(n) for n in shuffle_records(shuffled)]
+    # 600 rows, the few the filter lets through by chance, the keys and the filter itself
+    assert max(written) < 1500
+
+
+def shuffle_records(adaptive):
+    """Records that each shuffle of an executed plan wrote."""
+    found, waiting = [], [adaptive.finalPhysicalPlan()]
+    while waiting:
+        node = waiting.pop()
+        if "ShuffleExchange" in node.getClass().getSimpleName():
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if "QueryStage" in node.getClass().getSimpleName():
+            waiting.append(node.plan())
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return found

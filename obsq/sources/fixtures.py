@@ -423,6 +423,20 @@ class Fixtures:
             " CAST(array() AS array<struct<key: string, value: string>>)) AS tags",
         )
 
+    @cached_property
+    def tag_search(self) -> DataFrame:
+        """One search for each pair of a segment and a region that customers have, by the first of them."""
+        customers = self.sample("customer").withColumnRenamed("c_nationkey", "n_nationkey")
+        nations = self.sample("nation").withColumnRenamed("n_regionkey", "r_regionkey")
+        return (
+            customers.join(nations, "n_nationkey").join(self.sample("region"), "r_regionkey")
+            .groupBy("c_mktsegment", "r_name").agg(F.min("c_custkey").alias("req_id"))
+            .selectExpr(
+                "req_id",
+                "array(struct('segment' AS key, c_mktsegment AS value), struct('region' AS key, r_name AS value)) AS tags",
+            )
+        )
+
     # --- events and replies ---
 
     @cached_property

@@ -28,7 +28,10 @@ from obsq.operators.accounts import resolve_accounts  # noqa: E402
 from obsq.operators.events import attribute, scan_events  # noqa: E402
 from obsq.operators.monitor_store import MonitorStore  # noqa: E402
 from obsq.operators.replies import parse_replies  # noqa: E402
+from obsq.operators.rollups import Rollup  # noqa: E402
 from obsq.operators.search_index import SearchIndex  # noqa: E402
+from obsq.operators.stored_details import DetailStore  # noqa: E402
+from obsq.operators.tag_table import read_tags, search_by_tags, write_tags  # noqa: E402
 from obsq.plans.scratch import shared_folder  # noqa: E402
 from obsq.plans.settings import configure  # noqa: E402
 from obsq.sources.fixtures import Fixtures  # noqa: E402
@@ -199,6 +202,14 @@ def entity_index_totals(spark, folder):
     return _index(spark, folder).search(_fixtures(spark, folder).customer_search).totals
 
 
+def entity_tag_table(spark, folder):
+    """Searches for pairs of tags through a table laid out by tag key."""
+    fixtures = _fixtures(spark, folder)
+    root = shared_folder(spark, "tags")
+    write_tags(fixtures.entity, root)
+    return search_by_tags(read_tags(spark, root), fixtures.entity, fixtures.tag_search).drop("tags")
+
+
 def entity_exact_match(spark, folder):
     everywhere = Workspace(spark, _fixtures(spark, folder).tables("entity"))
     return _with_tags_text(everywhere.find_exact("red widget", "SYNTH", "MONITOR"))
@@ -257,13 +268,7 @@ def entity_detail_by_type(spark, folder):
     )
 
 
-def entity_detail_nested(spark, folder):
-    workspace = _workspace(
-        spark, folder, "entity", "violation", "alert_condition", "policy", "relationship"
-    )
-    # A low number of children per row, so that long lists do go on in parts.
-    nested = workspace.nested_details(children_per_row=100)
-
+def _nested_text(nested: DataFrame) -> DataFrame:
     def text(items: str, separator: str, *fields: str):
         return F.array_join(
             F.transform(items, lambda i: F.concat_ws(separator, *[i[f].cast("string") for f in fields])),
@@ -280,9 +285,17 @@ def entity_detail_nested(spark, folder):
     )
 
 
+def entity_detail_nested(spark, folder):
+    workspace = _workspace(
+        spark, folder, "entity", "violation", "alert_condition", "policy", "relationship"
+    )
+    # A low number of children per row, so that long lists do go on in parts.
+    return _nested_text(workspace.nested_details(children_per_row=100))
+
+
 def entity_detail_requested(spark, folder):
     fixtures = _fixtures(spark, folder)
-    found = details.requested_details(
+    return _requested_text(details.requested_details(
         fixtures.guid_request,
         fixtures.entity,
         fixtures.violation,
@@ -293,8 +306,10 @@ def entity_detail_requested(spark, folder):
         fixtures.dashboard_page,
         fixtures.dashboard_widget,
         children_per_row=100,
-    )
+    ))
+
 
+def _requested_text(found: DataFrame) -> DataFrame:
     def text(items: str, *fields: str):
         return F.array_join(
             F.transform(items, lambda i: F.concat_ws(":", *[i[f].cast("string") for f in fields])),
@@ -324,6 +339,23 @@ def entity_detail_requested(spark, folder):
     )
 
 
+@lru_cache(maxsize=4)
+def _detail_store(spark: SparkSession, folder: str) -> DetailStore:
+    """All detail tables in buckets of their entity, kept for the queries on a folder."""
+    fixtures = _fixtures(spark, folder)
+    names = ("entity", "violation", "alert_condition", "policy", "app_instance", "dashboard_page", "dashboard_widget")
+    tables = fixtures.tables(*names) | {"relationship": fixtures.delivery}
+    return DetailStore.save(spark, shared_folder(spark, "details"), tables, children_per_row=100)
+
+
+def entity_stored_requested(spark, folder):
+    return _requested_text(_detail_store(spark, folder).requested(_fixtures(spark, folder).guid_request))
+
+
+def entity_stored_violations(spark, folder):
+    return _rank_as_long(_detail_store(spark, folder).recent_violations(), "rank")
+
+
 def entity_recent_violations(spark, folder):
     return _rank_as_long(_workspace(spark, folder, "violation").recent_violations(), "rank")
 
@@ -500,6 +532,37 @@ def event_compare_total(spark, folder):
     ).with_total
 
 
+@lru_cache(maxsize=4)
+def _rollup(spark: SparkSession, folder: str) -> Rollup:
+    """Hourly rollups in two batches of all events, kept for the queries on a folder."""
+    events = _fixtures(spark, folder).event
+    rollup = Rollup(spark, shared_folder(spark, "rollup"), HOUR, [], ["value"], ["user_id"])
+    for name, wanted in (("even", 0), ("odd", 1)):
+        rollup.add(events.filter(F.col("event_id") % 2 == wanted), name)
+    return rollup
+
+
+def event_rollup_daily(spark, folder):
+    rollup = _rollup(spark, folder)
+    measures = [
+        rollup.count().alias("n"),
+        F.round(rollup.total("value"), 2).alias("total_value"),
+        rollup.most("value").alias("most"),
+    ]
+    return rollup.query(measures, facets=["event_type"], bucket=timedelta(days=1)).with_total
+
+
+def event_rollup_compare(spark, folder):
+    rollup = _rollup(spark, folder)
+    return rollup.query(
+        [F.nullif(rollup.count(), F.lit(0)).alias("n")],
+        begin=datetime(2024, 1, 15),
+        end=datetime(2024, 1, 16),
+        facets=["event_type"],
+        compare_back=timedelta(days=1),
+    ).with_total
+
+
 # --- alerts ----------------------------------------------------------------
 
 
@@ -684,6 +747,7 @@ _QUERIES = [
     entity_detail_requested, entity_search_bulk_many, entity_search_bulk_totals,
     entity_search_bulk_errors, entity_search_bulk_first,
     entity_index_name, entity_index_bulk, entity_index_totals, ack_log_outcome, ack_log_state, monitor_stored,
+    entity_stored_requested, entity_stored_violations, entity_tag_table, event_rollup_daily, event_rollup_compare,
 ]
 
 

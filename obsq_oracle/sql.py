@@ -850,3 +850,26 @@ FROM seen s LEFT JOIN asked o
 )
 ORACLE_SQL["monitor_stored"] = f"""
 SELECT *, CASE WHEN req_id % 3 <> 0 THEN 'part' ELSE 'all' END AS batch FROM ({ORACLE_SQL["monitor_create"]})"""
+
+# Bucketed tables answer as the plain ones do.
+ORACLE_SQL["entity_stored_requested"] = ORACLE_SQL["entity_detail_requested"]
+ORACLE_SQL["entity_stored_violations"] = ORACLE_SQL["entity_recent_violations"]
+
+# A customer's entity has the tags of its segment and region.
+ORACLE_SQL["entity_tag_table"] = _sql(
+    """, pair AS (
+  SELECT min(c_custkey) AS req_id, 'segment=' || c_mktsegment || ';region=' || r_name AS pair
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 2
+)
+SELECT req_id, guid, name, entity_type, domain, account_id FROM pair JOIN entity ON tags_text = pair""",
+    *ENTITY,
+)
+
+# Rollups answer as the events do.
+ORACLE_SQL["event_rollup_compare"] = ORACLE_SQL["event_compare_total"]
+ORACLE_SQL["event_rollup_daily"] = """
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS bucket_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS bucket_end,
+       event_type, 0 AS is_total, count(*) AS n, round(sum(value), 2) AS total_value, max(value) AS most
+FROM events GROUP BY 1, 2, 3
+UNION ALL
+SELECT NULL, NULL, NULL, 1, count(*), round(sum(value), 2), max(value) FROM events"""

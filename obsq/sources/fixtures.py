@@ -306,18 +306,15 @@ class Fixtures:
 
     @cached_property
     def incident_ack(self) -> DataFrame:
-        return (
-            self.sample("events")
-            .filter("event_type = 'click'")
-            .selectExpr(
-                "event_id AS req_id",
-                "CASE event_id % 10 WHEN 9 THEN event_id + 1000000 WHEN 8 THEN -event_id"
-                " ELSE event_id % 700 END AS incident_id",
-                "CAST(NULL AS int) AS account_id",
-                "if(event_id % 3 = 0, concat('seen by ', user_id), NULL) AS message",
-                "CAST(user_id AS string) AS acknowledged_by",
-                "ts AS acknowledged_at",
-            )
+        """A request per event, two for most incidents asked for, over the range of all."""
+        return self.sample("events").selectExpr(
+            "event_id AS req_id",
+            "CASE event_id % 10 WHEN 9 THEN event_id + 1000000000 WHEN 8 THEN -event_id"
+            " ELSE (event_id div 4) * 6 + event_id % 2 END AS incident_id",
+            "CAST(NULL AS int) AS account_id",
+            "if(event_id % 3 = 0, concat('seen by ', user_id), NULL) AS message",
+            "CAST(user_id AS string) AS acknowledged_by",
+            "ts AS acknowledged_at",
         )
 
     @cached_property

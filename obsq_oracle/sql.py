@@ -111,11 +111,11 @@ CTES = {
 )""",
     "ack": """ack AS (
   SELECT event_id AS req_id,
-         CASE WHEN event_id % 10 = 9 THEN 1000000 + event_id WHEN event_id % 10 = 8 THEN -event_id
-              ELSE event_id % 700 END AS incident_id,
+         CASE WHEN event_id % 10 = 9 THEN 1000000000 + event_id WHEN event_id % 10 = 8 THEN -event_id
+              ELSE event_id // 4 * 6 + event_id % 2 END AS incident_id,
          CASE WHEN event_id % 3 = 0 THEN 'seen by ' || user_id END AS message,
          user_id::VARCHAR AS acknowledged_by, ts AS acknowledged_at
-  FROM events WHERE event_type = 'click'
+  FROM events
 )""",
     "scoped": """scoped AS (
   SELECT * FROM events

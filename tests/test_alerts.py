@@ -264,7 +264,7 @@ def test_outcomes_of_the_sample(fixtures):
         fixtures.incident_ack, fixtures.incident, default_account=7, match_account=False
     )
     assert outcomes(done) == {
-        "OK": 188, "ALREADY_ACKED": 368, "NOT_OPEN": 1028, "NOT_FOUND": 198, "INVALID_ID": 224,
+        "OK": 1656, "ALREADY_ACKED": 997, "NOT_OPEN": 5345, "NOT_FOUND": 1000, "INVALID_ID": 1002,
     }
 
 

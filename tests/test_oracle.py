@@ -36,7 +36,7 @@ EXPECTED_ROWS = {
     "entity_recent_violations": 7423,
     "apm_running_instances": 750,
     "dashboard_pages_widgets": 2150,
-    "open_incident_after_ack": 4791,
+    "open_incident_after_ack": 3323,
     "policy_list": 25,
     "monitor_create": 161,
     "monitor_create_errors": 89,

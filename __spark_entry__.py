@@ -24,6 +24,11 @@ from obsq.functions.rendering import (  # noqa: E402
 )
 from obsq.operators import acknowledge, alerts, details  # noqa: E402
 from obsq.operators.ack_log import AcknowledgementLog  # noqa: E402
+from obsq.operators.attributes import (  # noqa: E402
+    read_attribute_events,
+    variant_attribute,
+    write_attribute_events,
+)
 from obsq.operators.accounts import resolve_accounts  # noqa: E402
 from obsq.operators.events import attribute, scan_events  # noqa: E402
 from obsq.operators.monitor_store import MonitorStore  # noqa: E402
@@ -31,6 +36,7 @@ from obsq.operators.replies import parse_replies  # noqa: E402
 from obsq.operators.rollups import Rollup  # noqa: E402
 from obsq.operators.search_index import SearchIndex  # noqa: E402
 from obsq.operators.stored_details import DetailStore  # noqa: E402
+from obsq.operators.typed_replies import typed_rows  # noqa: E402
 from obsq.operators.tag_table import read_tags, search_by_tags, write_tags  # noqa: E402
 from obsq.plans.scratch import shared_folder  # noqa: E402
 from obsq.plans.settings import configure  # noqa: E402
@@ -421,6 +427,16 @@ def event_facet_attr(spark, folder):
     ).rows
 
 
+def event_facet_variant(spark, folder):
+    """The same facet from events whose attributes were parsed when they were written."""
+    root = shared_folder(spark, "events")
+    write_attribute_events(_fixtures(spark, folder).event, root)
+    events = Workspace(spark, {"event": read_attribute_events(spark, root)}, DEFAULT_ACCOUNT)
+    return events.event_query(
+        [_n(), F.max("value").alias("max_value")], facets=[variant_attribute("k")], account=ALL_ACCOUNTS
+    ).rows
+
+
 def event_timeseries(spark, folder):
     return _events(spark, folder).event_query(
         [_n(), _total_value()], bucket=HOUR, account=ALL_ACCOUNTS
@@ -717,6 +733,11 @@ def response_parse(spark, folder):
     return parse_replies(_fixtures(spark, folder).response, rows_path=["rows"]).drop("detail")
 
 
+def response_typed(spark, folder):
+    """Data rows of the archive with the columns that their content has."""
+    return typed_rows(parse_replies(_fixtures(spark, folder).response, rows_path=["rows"]))
+
+
 def sql_param_query(spark, folder):
     return _workspace(spark, folder, "entity", "incident").query(
         """
@@ -748,6 +769,7 @@ _QUERIES = [
     entity_search_bulk_errors, entity_search_bulk_first,
     entity_index_name, entity_index_bulk, entity_index_totals, ack_log_outcome, ack_log_state, monitor_stored,
     entity_stored_requested, entity_stored_violations, entity_tag_table, event_rollup_daily, event_rollup_compare,
+    event_facet_variant, response_typed,
 ]
 
 

@@ -873,3 +873,8 @@ SELECT time_bucket(INTERVAL 1 DAY, ts) AS bucket_start, time_bucket(INTERVAL 1 D
 FROM events GROUP BY 1, 2, 3
 UNION ALL
 SELECT NULL, NULL, NULL, 1, count(*), round(sum(value), 2), max(value) FROM events"""
+
+ORACLE_SQL["event_facet_variant"] = ORACLE_SQL["event_facet_attr"]
+ORACLE_SQL["response_typed"] = """
+SELECT 'event-' || event_id AS reply_id, 0 AS position, event_id AS id, event_type AS type
+FROM events WHERE event_type <> 'error'"""

@@ -7,7 +7,7 @@ Facets are column names or aliased Columns, such as an attribute read from JSON.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -114,6 +114,7 @@ def timeseries_filled(
     facets: Sequence[str | Column] = (),
     origin: datetime = EPOCH,
     zero: bool = True,
+    total: bool = False,
 ) -> DataFrame:
     """As :func:`timeseries` over a window, with rows for empty buckets.
 
@@ -124,11 +125,19 @@ def timeseries_filled(
     read once: gaps are filled between the buckets that were found, in a window
     that holds one row per bucket of a facet value, not one per event. A gap is
     cut into blocks, which are dealt to all tasks before they become buckets.
+
+    With ``total`` and facets there is one more row over everything, from the same
+    scan, and rows are marked by ``is_total``.
     """
-    found = timeseries(scan_events(events, None, begin, end), aggregates, bucket, facets, origin)
+    scanned = scan_events(events, None, begin, end)
     names = _names(events, facets)
-    measures = [c for c in found.columns if c not in ("bucket_start", "bucket_end", *names)]
     size = _seconds(bucket)
+    if total:
+        found = _buckets_with_total(scanned, aggregates, size, facets, origin)
+        names = [*names, "is_total"]
+    else:
+        found = timeseries(scanned, aggregates, bucket, facets, origin)
+    measures = [c for c in found.columns if c not in ("bucket_start", "bucket_end", *names)]
     first = _slot_of(events, begin, size, origin)
     last = _slot_of(events, end - timedelta(microseconds=1), size, origin)
     step = _interval(size)
@@ -140,6 +149,9 @@ def timeseries_filled(
         spread = found.withColumn(
             "_from", F.when(before.isNull(), first).otherwise(F.col("bucket_start"))
         ).withColumn("_to", F.coalesce(behind - step, last))
+        if total:
+            # the total stands for one bucket, which is none
+            spread = spread.withColumn("_to", F.when(F.col("is_total") == 1, first).otherwise(F.col("_to")))
         slots = _each_slot(spread, size)
     else:
         whole = events.sparkSession.range(1).select(first.alias("_from"), last.alias("_to"))
@@ -148,17 +160,28 @@ def timeseries_filled(
     fields = {f.name: f for f in found.schema}
     counts = [m for m in measures if not fields[m].nullable and isinstance(fields[m].dataType, NumericType)]
     empty = {m: F.lit(0 if zero or m in counts else None) for m in measures}
+    own, start, end_ = F.col("_slot") == F.col("bucket_start"), F.col("_slot"), F.col("_slot") + step
+    if total:
+        overall = F.col("is_total") == 1
+        own, start, end_ = own | overall, F.when(~overall, start), F.when(~overall, end_)
     return slots.select(
-        F.col("_slot").alias("bucket_start"),
-        (F.col("_slot") + step).alias("bucket_end"),
+        start.alias("bucket_start"),
+        end_.alias("bucket_end"),
         *names,
-        *[
-            F.when(F.col("_slot") == F.col("bucket_start"), F.col(m)).otherwise(empty[m]).alias(m)
-            for m in measures
-        ],
+        *[F.when(own, F.col(m)).otherwise(empty[m]).alias(m) for m in measures],
     )
 
 
+def _buckets_with_total(
+    events: DataFrame, aggregates: Sequence[Column], size: int, facets: Sequence[str | Column], origin: datetime = EPOCH
+) -> DataFrame:
+    """Time buckets and facets, and one row over everything, marked by ``is_total``."""
+    offset = int((origin - EPOCH).total_seconds()) % size
+    placed = events.withColumn("_slot", F.window("ts", f"{size} seconds", f"{size} seconds", f"{offset} seconds"))
+    ends = [F.col(f"_slot.{end}").alias(f"bucket_{end}") for end in ("start", "end")]
+    return facet_with_total(placed, aggregates, [*ends, *facets])
+
+
 def _each_slot(spans: DataFrame, size: int) -> DataFrame:
     """A row for each bucket ``_slot`` from ``_from`` to ``_to``, by way of blocks of buckets."""
     parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -178,12 +201,14 @@ def compare(
     facets: Sequence[str | Column] = (),
     bucket: timedelta | None = None,
     origin: datetime = EPOCH,
+    total: bool = False,
 ) -> DataFrame:
     """Aggregates of a window beside those of the same window ``back`` earlier.
 
     Gives ``current_x`` and ``previous_x`` for each aggregate x, null where a
     period has no rows. Earlier events are moved forward by ``back`` before they
-    are bucketed. Both periods come from one scan.
+    are bucketed. Both periods come from one scan, and so does, with ``total``, one
+    more row over everything; rows are then marked by ``is_total``.
     """
     if back <= timedelta(0):
         raise RequestError("the comparison window must lie before the current one")
@@ -222,7 +247,9 @@ def compare(
 
     names = _names(events, facets)
     by_period = [*facets, F.col("period")]
-    if bucket is None:
+    if total:
+        summed, keys = _periods_with_total(tagged, aggregates, facets, bucket, origin)
+    elif bucket is None:
         summed = facet(tagged, aggregates, by_period)
         keys = names
     else:
@@ -238,6 +265,25 @@ def compare(
     )
 
 
+def _periods_with_total(
+    tagged: DataFrame, aggregates: Sequence[Column], facets: Sequence[str | Column],
+    bucket: timedelta | None, origin: datetime,
+) -> tuple[DataFrame, list[str]]:
+    """Aggregates by period, facets and buckets, and by period alone; and the keys besides the period."""
+    keyed, keys = _named(tagged, facets)
+    if bucket is not None:
+        size = _seconds(bucket)
+        offset = int((origin - EPOCH).total_seconds()) % size
+        slot = F.window("ts", f"{size} seconds", f"{size} seconds", f"{offset} seconds")
+        keyed = keyed.withColumn("_slot", slot).withColumns(
+            {f"bucket_{end}": F.col(f"_slot.{end}") for end in ("start", "end")}
+        )
+        keys = ["bucket_start", "bucket_end", *keys]
+    is_total = F.grouping(keys[0]).cast("int").alias("is_total")
+    summed = keyed.groupingSets([[*keys, "period"], ["period"]], *keys, "period").agg(is_total, *aggregates)
+    return summed, [*keys, "is_total"]
+
+
 def describe(
     events: DataFrame,
     event_types: Sequence[str] | None = None,
@@ -329,15 +375,23 @@ class EventQuery:
         if self.fill or self.compare_back is not None:
             if self.bucket is None and not self.facets:
                 raise RequestError("a total beside facets needs a facet")
-            overall = replace(self, facets=(), bucket=None, fill=False).rows
+            if self.compare_back is not None:
+                return compare(
+                    self._of_types, self.aggregates, self.begin, self.end,
+                    self.compare_back, self.facets, self.bucket, total=True,
+                )
+            if self.facets:
+                return timeseries_filled(
+                    self._of_types, self.aggregates, self.bucket, self.begin, self.end, self.facets,
+                    zero=False, total=True,
+                )
+            # without facets the buckets are made apart from the events, and the total beside them
             return self.rows.withColumn("is_total", F.lit(0)).unionByName(
-                overall.withColumn("is_total", F.lit(1)), allowMissingColumns=True
+                self.total.withColumn("is_total", F.lit(1)), allowMissingColumns=True
             )
         if self.bucket is None:
             return facet_with_total(self._in_window, self.aggregates, self.facets)
-        placed = self._in_window.withColumn("_slot", F.window("ts", f"{_seconds(self.bucket)} seconds"))
-        ends = [F.col(f"_slot.{end}").alias(f"bucket_{end}") for end in ("start", "end")]
-        return facet_with_total(placed, self.aggregates, [*ends, *self.facets])
+        return _buckets_with_total(self._in_window, self.aggregates, _seconds(self.bucket), self.facets)
 
     @property
     def metadata(self) -> DataFrame:

@@ -9,7 +9,7 @@ from obsq.errors import AccountRequired, RequestError
 from obsq.operators import events
 from obsq.operators.events import EventQuery
 from obsq.workspace import Workspace
-from tests.helpers import plan, table, values
+from tests.helpers import first_plan, plan, table, values
 
 HOUR = timedelta(hours=1)
 START = datetime(2024, 1, 1)
@@ -261,3 +261,22 @@ def test_total_beside_buckets_and_comparisons(spark):
     assert values(compared.with_total, "event_type", "is_total", "current_n", "previous_n") == sorted(
         [("view", 0, 2, 1), (None, 1, 2, 1)], key=str
     )
+
+
+@pytest.mark.parametrize("form", [
+    {"bucket": timedelta(hours=6), "fill": True, "facets": ["event_type"]},
+    {"compare_back": timedelta(days=2), "facets": ["event_type"]},
+    {"compare_back": timedelta(hours=6), "bucket": timedelta(hours=3), "facets": ["event_type", "account_id"]},
+    {"compare_back": timedelta(hours=6), "bucket": timedelta(hours=3)},
+])
+def test_totals_come_from_the_scan_of_the_rows(fixtures, form):
+    users = F.countDistinct("user_id").alias("users")
+    window = {"begin": datetime(2024, 1, 10), "end": datetime(2024, 1, 12)}
+    query = events.EventQuery(fixtures.event, [n(), users], **window, **form)
+    both = query.with_total
+    rows, totals = both.filter("is_total = 0").drop("is_total"), both.filter("is_total = 1")
+    assert values(rows.select(query.rows.columns)) == values(query.rows)
+    plain = events.EventQuery(fixtures.event, [n(), users], **window, compare_back=form.get("compare_back"))
+    measures = plain.rows.columns
+    assert values(totals.select(measures)) == values(plain.rows) and totals.count() == 1
+    assert first_plan(both).count("FileScan") == 1

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from obsq.errors import RequestError
 from obsq.operators.bulk_search import BulkSearch, checked_requests, satisfies
 from obsq.operators.paging import BY_GUID, Listing
-from obsq.operators.search import BASIC_FIELDS
+from obsq.operators.search import BASIC_FIELDS, _whole_number
 from obsq.plans.sizes import fits_broadcast
 from obsq.schema import ENTITY, SEARCH_LIMIT, SEARCH_REQUEST
 from obsq.sources.published import Part, Published, Version
@@ -166,6 +166,7 @@ class SearchIndex:
         ]
         if not (name or entity_type or domain or pairs):
             raise RequestError("give at least one of name, type, domain and tags")
+        account = None if account is None else _whole_number(account)
         asked = [(0, account, name, domain, entity_type, pairs)]
         valid, _ = checked_requests(self.spark.createDataFrame(asked, SEARCH_REQUEST))
         searches = valid.withColumn("search", F.lit("one")).drop("req_id")

@@ -22,6 +22,7 @@ from obsq.operators import (
     search,
 )
 from obsq.operators.paging import Listing
+from obsq.operators.search_index import SearchIndex
 from obsq.plans.settings import configure
 from obsq.schema import LISTING_LIMIT, SEARCH_LIMIT
 from obsq.sources.tables import read_tables
@@ -35,10 +36,13 @@ class Workspace:
         spark: SparkSession,
         tables: Mapping[str, DataFrame],
         default_account: int | None = None,
+        index: SearchIndex | None = None,
     ):
+        """``index`` answers entity searches in place of the catalog, as of its last extension."""
         self.spark = configure(spark)
         self.tables = dict(tables)
         self.default_account = default_account
+        self.index = index
 
     @classmethod
     def at(
@@ -93,11 +97,15 @@ class Workspace:
         account: int | None = None,
         limit: int | None = SEARCH_LIMIT,
     ) -> Listing:
+        if self.index is not None:
+            return self.index.search_one(name, entity_type, domain, tags, account, limit)
         return search.search_entities(
             self.tables["entity"], name, entity_type, domain, tags, account, limit
         )
 
     def search_entities_bulk(self, requests: DataFrame) -> bulk_search.BulkSearch:
+        if self.index is not None:
+            return self.index.search(requests)
         return bulk_search.search_entities_bulk(self.tables["entity"], requests)
 
     def find_exact(

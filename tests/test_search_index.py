@@ -11,6 +11,7 @@ from obsq.operators.bulk_search import search_entities_bulk
 from obsq.operators.search import search_entities
 from obsq.operators.search_index import SearchIndex
 from obsq.sources.published import PublishConflict
+from obsq.workspace import Workspace
 from tests.helpers import entities, plan, rows_scanned, table, values
 
 NAMES = [
@@ -116,6 +117,16 @@ def test_extended_changed_removed_and_compacted(spark, index):
     assert pairs(index.search(requests)) == want
 
 
+def test_a_workspace_searches_its_index(spark, index):
+    catalog, requests = entities(spark, *made_entities()), table(spark, "search_request", *made_requests(20))
+    index.build(catalog)
+    plain, indexed = Workspace(spark, {"entity": catalog}), Workspace(spark, {}, index=index)
+    assert pairs(indexed.search_entities_bulk(requests)) == pairs(plain.search_entities_bulk(requests))
+    for arguments in ({"name": "out", "domain": "APM"}, {"tags": [{"key": "env", "value": "prod"}], "account": 1}):
+        want, got = plain.search_entities(**arguments), indexed.search_entities(**arguments)
+        assert values(got.with_total(), "guid", "total_count") == values(want.with_total(), "guid", "total_count")
+
+
 def test_empty_catalog_and_no_index(spark, index):
     requests = table(spark, "search_request", *made_requests(10))
     assert index.search(requests).matches.count() == 0

@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +22,16 @@ WORD = rf"[^{SPACE_CLASS}]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session in one process gets a temporary folder; on a
+    cluster it is an error, as executors would write to disks of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="obsq-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -39,7 +47,54 @@ def store(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     path = f"{scratch_dir(spark)}/obsq-{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return from_scratch(spark.read.schema(rows.schema).parquet(path), path)
+
+
+def from_scratch(rows: DataFrame, *paths: str) -> DataFrame:
+    """Note the stored tables that rows are read from, for `discard`."""
+    rows._scratch_paths = paths
+    return rows
+
+
+def store_buckets(rows: DataFrame, key: str) -> DataFrame:
+    """As ``store``, in buckets of a key by which later joins meet without shuffling the table.
+
+    ``rows`` are dealt by ``repartition(n, key)`` with the session's shuffle partitions.
+    """
+    spark = rows.sparkSession
+    name = f"obsq_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = rows.write.format("parquet").option("compression", "zstd").option("path", path)
+    writer.bucketBy(n, key).saveAsTable(name)
+    table = from_scratch(spark.table(name), path)
+    table._scratch_table = name
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the tables that ``store`` wrote, once what was derived from them is written."""
+    for rows in tables:
+        spark = rows.sparkSession
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        if hasattr(rows, "_scratch_table"):
+            spark.sql(f"DROP TABLE IF EXISTS {rows._scratch_table}")
+        for name in getattr(rows, "_scratch_paths", ()):
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of each job once it has ended, not when the driver
+    comes to collect its garbage; for code that runs many jobs and stores what it keeps."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def row_key(id_column: str, text_column: str) -> Column:

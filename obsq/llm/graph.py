@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsq.llm.common import store
+from obsq.llm.common import discard, from_scratch, store
 
 
 def _largest_to_smallest(links: DataFrame) -> DataFrame:
@@ -48,7 +48,10 @@ def components(links: DataFrame) -> DataFrame:
     while not _all_stars(links):
         # repeats of a link are dropped once a round
         wide = store(_largest_to_smallest(links))
+        discard(links)
         links = store(_smaller_to_smallest(wide).distinct())
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        discard(wide)
+    found = links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+    return from_scratch(found, *links._scratch_paths)

@@ -40,6 +40,9 @@ class BulkSearch:
     errors: DataFrame
     """``req_id`` and ``message`` of the searches without a usable criterion."""
 
+    counted: DataFrame
+    """``req_id`` and ``n``, the matches of the search that a request asks for."""
+
     def first(self, limit: int) -> DataFrame:
         """The first ``limit`` matches of each search, by GUID."""
         if limit <= 0:
@@ -54,7 +57,26 @@ class BulkSearch:
     @property
     def totals(self) -> DataFrame:
         """Matches per search; a search without any is not listed."""
-        return self.matches.groupBy("req_id").agg(F.count("*").alias("total_count"))
+        return self.counted.groupBy("req_id").agg(F.sum("n").alias("total_count"))
+
+
+def distinct_searches(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests with the key of the search they ask for, and each search once.
+
+    Requests that ask the same are one search, so what it finds is found once.
+    """
+    criteria = [c for c in valid.columns if c != "req_id"]
+    keyed = valid.withColumn("search", F.sha2(F.to_json(F.struct(*criteria)), 256))
+    searches = keyed.groupBy("search").agg(*[F.first(c).alias(c) for c in criteria])
+    return keyed.select("req_id", "search"), searches
+
+
+def answers(keyed: DataFrame, found: DataFrame, errors: DataFrame) -> BulkSearch:
+    """What the searches of ``keyed`` requests found, given back to the requests."""
+    matches = keyed.join(found, "search").select("req_id", *BASIC_FIELDS)
+    # counted per search, so that a total needs no row for each request and match
+    counts = found.groupBy("search").agg(F.count("*").alias("n"))
+    return BulkSearch(matches, errors, keyed.join(counts, "search").select("req_id", "n"))
 
 
 def search_entities_bulk(entities: DataFrame, requests: DataFrame) -> BulkSearch:
@@ -64,10 +86,13 @@ def search_entities_bulk(entities: DataFrame, requests: DataFrame) -> BulkSearch
     """
     valid, errors = checked_requests(requests)
     few = fits_broadcast(requests, PROBE_GROWTH)
-    asked = valid.select("req_id", F.explode(_request_probes()).alias("probe"))
+    keyed, searches = distinct_searches(valid)
+    asked = searches.select("search", F.explode(_request_probes()).alias("probe"))
     asked_for = asked.groupBy("probe").agg(F.count("*").alias("requests"))
     used = _forms_used(valid)
-    offered = _offered(entities, used)
+    # An entity offers many times its own size, so the catalog is dealt to all tasks first.
+    catalog = entities if few else _dealt(entities)
+    offered = _offered(catalog, used)
     if few:
         of_interest = offered.join(F.broadcast(asked_for.select("probe")), "probe", "left_semi")
     else:
@@ -79,22 +104,30 @@ def search_entities_bulk(entities: DataFrame, requests: DataFrame) -> BulkSearch
         weighed = asked.join(frequency, "probe", "left")
     else:
         # Many names share a beginning, so one probe may be in most requests.
-        weighed = salted_left_join(asked, frequency, ["probe"], "req_id", asked_for, "requests")
+        weighed = salted_left_join(asked, frequency, ["probe"], "search", asked_for, "requests")
     best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "probe"))
     rarest = (
-        weighed.groupBy("req_id").agg(best.alias("best")).select("req_id", "best.probe")
+        weighed.groupBy("search").agg(best.alias("best")).select("search", "best.probe")
     )
-    chosen = valid.join(rarest, "req_id")
+    chosen = searches.join(rarest, "search")
     if few:
-        # One row per request: the catalog stays where it is.
+        # One row per search: the catalog stays where it is.
         offered = _offered(entities, used, *BASIC_FIELDS, "type")
         candidates = offered.join(F.broadcast(chosen), "probe")
+        keyed = F.broadcast(keyed)
     else:
         # Only GUIDs and probes are shuffled; the fields join the pairs that meet.
-        met = _maybe_asked(_offered(entities, used, "guid"), chosen).join(chosen, "probe")
+        met = _maybe_asked(_offered(catalog, used, "guid"), chosen).join(chosen, "probe")
         candidates = met.join(entities.select(*BASIC_FIELDS, "type"), "guid")
-    matches = candidates.filter(satisfies()).select("req_id", *BASIC_FIELDS)
-    return BulkSearch(matches, errors)
+    found = candidates.filter(satisfies()).select("search", *BASIC_FIELDS)
+    return answers(keyed, found, errors)
+
+
+def _dealt(entities: DataFrame) -> DataFrame:
+    """What probes are made of, in as many partitions as a shuffle has: AQE would join
+    them by their size, which is small beside that of the probes."""
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return entities.select("guid", "name", "account_id", "domain", "type", "tags").repartition(parts, "guid")
 
 
 def checked_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

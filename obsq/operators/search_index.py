@@ -1,6 +1,6 @@
 """Searches of the entity catalog through a kept index.
 
-The index holds postings: for every probe (one, two or three letters of a name, a
+The index holds postings: for every probe (one, two, three or six letters of a name, a
 tag, a domain, a type, an account) the sorted numbers of the entities that satisfy
 it. A search asks for all its probes and intersects their postings; only what is in
 all of them is compared in full, as short pieces of a name may meet in another order.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from obsq.errors import RequestError
-from obsq.operators.bulk_search import BulkSearch, checked_requests, satisfies
+from obsq.operators.bulk_search import BulkSearch, answers, checked_requests, distinct_searches, satisfies
 from obsq.operators.paging import BY_GUID, Listing
 from obsq.operators.search import BASIC_FIELDS, _whole_number
 from obsq.plans.sizes import fits_broadcast
@@ -37,8 +37,11 @@ from obsq.sources.published import Part, Published, Version
 
 #: About so many entities share a shard, and a posting has at most so many numbers.
 SHARD_ENTITIES = 1 << 16
-#: Lengths of the pieces of a name that have postings.
-PIECES = (3, 2, 1)
+#: Lengths of the pieces of a name that have postings. A search uses the longest that
+#: fits: lists of short pieces grow with the catalog, and so would the work of each search.
+PIECES = (6, 3, 2, 1)
+#: Entities whose postings are gathered in one task before they are shuffled.
+CHUNK = 1 << 13
 #: Lists of a search that are intersected: so many, and at most so many times the
 #: length of the shortest. The others are settled by the comparison in full.
 MOST_LISTS, LONGER = 6, 16
@@ -106,7 +109,8 @@ class SearchIndex:
 
     def _segment(self, entities: DataFrame, segment: int) -> list[Part]:
         """Stage numbered entities and their postings."""
-        shards = max(1, -(-entities.count() // SHARD_ENTITIES))
+        count = entities.count()
+        shards = max(1, -(-count // SHARD_ENTITIES))
         in_shard = W.partitionBy("shard").orderBy("guid")
         numbered = (
             entities.select(FIELDS)
@@ -115,12 +119,17 @@ class SearchIndex:
             .select(F.lit(segment).alias("segment"), "shard", "no", *FIELDS)
         )
         kept = self.store.stage(numbered, "entity", segment, compression="zstd")
+        # an entity has many times its size in postings, so tasks are dealt by number of entities
+        dealt = self.store.open([kept], ENTITY_ROW).repartition(
+            max(1, -(-count // CHUNK)), "shard", F.floor(F.col("no") / CHUNK)
+        )
         postings = (
-            self.store.open([kept], ENTITY_ROW)
+            dealt
             .select("segment", "shard", "no", F.explode(_offered()).alias("probe"))
             .groupBy("probe", "segment", "shard").agg(F.sort_array(F.collect_list("no")).alias("numbers"))
             .select("probe", "segment", "shard", F.size("numbers").alias("n"), "numbers")
-            .repartitionByRange("probe", "shard").sortWithinPartitions("probe", "shard")
+            # the grouping has dealt them by probe and shard already
+            .sortWithinPartitions("probe", "shard")
         )
         lists = self.store.stage(postings, "posting", segment, **POSTING_OPTIONS)
         counts = self.store.open([lists], POSTING).groupBy("probe").agg(F.sum("n").alias("n"))
@@ -142,14 +151,8 @@ class SearchIndex:
     def search(self, requests: DataFrame) -> BulkSearch:
         """One search per request row, by the rules of `search_entities_bulk`."""
         valid, errors = checked_requests(requests)
-        criteria = [c for c in valid.columns if c != "req_id"]
-        # requests that ask the same are one search
-        key = F.sha2(F.to_json(F.struct(*criteria)), 256).alias("search")
-        keyed = valid.select("req_id", key, *criteria)
-        searches = keyed.drop("req_id").groupBy("search").agg(*[F.first(c).alias(c) for c in criteria])
-        found = self._found(searches, fits_broadcast(requests, PROBE_GROWTH))
-        matches = keyed.select("req_id", "search").join(found, "search").select("req_id", *BASIC_FIELDS)
-        return BulkSearch(matches, errors)
+        keyed, searches = distinct_searches(valid)
+        return answers(keyed, self._found(searches, fits_broadcast(requests, PROBE_GROWTH)), errors)
 
     def search_one(
         self,
@@ -246,14 +249,11 @@ def _offered() -> Column:
 
 def _asked() -> Column:
     """The probes of a search: of each run of letters between wildcards the pieces of
-    three, or the whole of a shorter one."""
+    the greatest length that fits."""
     runs = F.filter(F.split(F.coalesce("r_name", F.lit("")), "[%_]"), lambda run: F.length(run) > 0)
-    longest = max(PIECES)
 
     def of_run(run: Column) -> Column:
-        return F.when(F.length(run) >= longest, _pieces(run, longest)).otherwise(
-            F.array(F.concat(F.lit("name:"), run))
-        )
+        return F.coalesce(*[F.when(F.length(run) >= size, _pieces(run, size)) for size in PIECES])
 
     pieces = F.flatten(F.transform(runs, of_run))
     probes = F.array_distinct(F.array_compact(F.concat(pieces, *_others("r_account_id", "r_domain", "r_type", "r_tags"))))

@@ -5,9 +5,11 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from obsq.errors import RequestError
 from obsq.operators import search_index
-from obsq.operators.bulk_search import search_entities_bulk
+from obsq.operators.bulk_search import checked_requests, search_entities_bulk
 from obsq.operators.search import search_entities
 from obsq.operators.search_index import SearchIndex
 from obsq.sources.published import PublishConflict
@@ -154,6 +156,19 @@ def test_row_groups_of_other_probes_are_skipped(spark, index, monkeypatch):
     assert lists.count() == 3 and rows_scanned(lists.select("numbers")) < postings.count() / 2
 
 
+def test_six_letters_have_a_list_of_their_own(spark, index):
+    rows = [{"guid": f"G{i}", "name": f"service {i:06d}"} for i in range(1500)]
+    index.build(entities(spark, *rows))
+    asked = [(1, "001234"), (2, "001234"), (2, "1499"), (3, "none")]
+    requests = table(spark, "search_request", *[{"req_id": i, "name": name} for i, name in asked])
+    valid, _ = checked_requests(requests)
+    probes = valid.filter("req_id = 1").select(F.explode(search_index._asked()).alias("probe"))
+    postings = index.store.open(index.store.current().of_kind("posting"), search_index.POSTING)
+    # the list read for a search does not grow with the entities that share three letters with it
+    assert values(postings.join(probes, "probe"), "probe", "n") == [("name:001234", 1)]
+    assert values(index.search(requests).totals) == [(1, 1), (2, 2)]
+
+
 def test_two_writers_of_one_version(spark, index, monkeypatch):
     index.build(entities(spark, *made_entities(5)))
     stale = index.store.current()

@@ -183,3 +183,14 @@ def test_a_common_piece_of_a_name_is_not_the_probe(spark):
     requests = table(spark, "search_request", {"req_id": 1, "name": "customer-004321"})
     matches = search_entities_bulk(catalog, requests).matches
     assert values(matches, "guid") == ["g4321"]
+
+
+def test_equal_requests_are_one_search(spark, catalog):
+    asked = [{"req_id": i // 2, "name": "b", "domain": "APM" if i % 2 else None} for i in range(8)]
+    requests = table(spark, "search_request", *asked)
+    valid, _ = bulk_search.checked_requests(requests)
+    keyed, searches = bulk_search.distinct_searches(valid)
+    assert (keyed.count(), searches.count()) == (8, 2)
+    found = bulk_search.search_entities_bulk(catalog, requests)
+    counted = found.matches.groupBy("req_id").count()
+    assert values(found.totals, "req_id", "total_count") == values(counted, "req_id", "count")

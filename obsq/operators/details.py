@@ -363,8 +363,8 @@ def _edge_items(edges: DataFrame, entities: DataFrame, per_row: int) -> DataFram
     """Edges of each end, equal ones numbered so that parts divide them as well.
 
     Equal edges travel as one row with their number. They become rows again in
-    two steps, blocks and then the edges of a block, with the blocks dealt to
-    all tasks in between. ``edges`` may already hold ``guid``, the end meant.
+    two steps, blocks and then the edges of a block; where an edge has several
+    blocks, they are dealt to all tasks in between. ``edges`` may already hold ``guid``, the end meant.
     """
     ends = ["source_guid", "target_guid", "type"]
     if "guid" in edges.columns:
@@ -377,12 +377,14 @@ def _edge_items(edges: DataFrame, entities: DataFrame, per_row: int) -> DataFram
     sizes = counted.groupBy("guid").agg(F.sum("copies").alias("children"))
     edge_id = F.concat_ws("\u0001", *ends)
     last = F.col("copies") - 1
-    blocks = (
-        listed.filter(_end_known())
+    known = listed.filter(_end_known())
+    many = F.col("copies") > COPY_BLOCK
+    # edges of one block stay where they are
+    blocks = known.filter(~many).withColumn("_block", F.lit(0).cast("bigint")).unionByName(
+        known.filter(many)
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / COPY_BLOCK))))
-        .withColumn("_row", F.concat_ws("\u0001", edge_id, F.col("_block").cast("string")))
-        .repartition("guid", "_row")
-    )
+        .repartition("guid", *ends, "_block")
+    ).withColumn("_row", F.concat_ws("\u0001", edge_id, F.col("_block").cast("string")))
     first = F.col("_block") * COPY_BLOCK
     copies = F.sequence(first, F.least(last, first + (COPY_BLOCK - 1)))
     numbered = F.when(F.col("_copy") == 0, edge_id).otherwise(

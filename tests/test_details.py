@@ -396,3 +396,9 @@ def shuffle_records(adaptive):
         children = node.children()
         waiting += [children.apply(i) for i in range(children.size())]
     return found
+
+
+def test_only_blocks_of_many_copies_are_dealt(fixtures):
+    items = details._edge_items(fixtures.delivery, fixtures.entity, 100)
+    text = items._jdf.queryExecution().optimizedPlan().toString()
+    assert f"> {details.COPY_BLOCK}" in text.split("RepartitionByExpression")[1]

@@ -111,12 +111,7 @@ class DetailStore:
         write(tables["policy"], "policy")
         for name in ("violation", "alert_condition", "app_instance"):
             write(of_long(tables[name], "guid"), f"long_{name}")
-        edges = tables["relationship"]
-        ends = F.explode(F.array_distinct(F.array("source_guid", "target_guid"))).alias("guid")
-        # an edge between two long entities is kept once
-        numbered = edges.withColumn("_id", F.struct(*edges.columns))
-        touching = of_long(numbered.select("_id", ends).distinct(), "guid").select("_id").distinct()
-        write(numbered.join(touching, "_id", "left_semi").select(edges.columns), "long_relationship")
+        write(_touching(tables["relationship"], long), "long_relationship")
         write(of_long(pages, "dashboard_guid"), "long_dashboard_page")
         kept = of_long(on_dashboard, "dashboard_guid").select("page_guid")
         write(tables["dashboard_widget"].join(kept, "page_guid", "left_semi"), "long_dashboard_widget")
@@ -243,6 +238,14 @@ class DetailStore:
         )
 
 
+def _touching(edges: DataFrame, guids: DataFrame) -> DataFrame:
+    """The edges with an end among distinct ``guids``; one between two of them is kept once."""
+    rows = edges
+    for end in ("source_guid", "target_guid"):
+        rows = rows.join(guids.select(F.col("guid").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    return rows.filter(F.col("_source_guid") | F.col("_target_guid")).select(edges.columns)
+
+
 def _listed(rows: DataFrame, item: str) -> DataFrame:
     return rows.groupBy("guid").agg(F.sort_array(F.collect_list(item)).alias("items"))
 

@@ -3,7 +3,7 @@
 import pytest
 
 from obsq.errors import RequestError
-from obsq.operators import details
+from obsq.operators import details, stored_details
 from obsq.operators.stored_details import KEYS, DetailStore, _table_name
 from tests.helpers import first_plan, values
 
@@ -86,3 +86,12 @@ def test_a_store_is_opened_by_another_session(spark, store, fixtures):
 def test_a_store_is_not_overwritten(spark, store, tables):
     with pytest.raises(RequestError):
         DetailStore.save(spark, store.root, tables)
+
+
+def test_edges_of_long_entities_are_found_without_grouping_all_edges(spark):
+    ends = [("a", "b"), ("a", "b"), ("a", "c"), ("c", "a"), ("c", "d"), (None, "b"), ("a", None), (None, None), ("b", "b")]
+    edges = spark.createDataFrame([(*e, None) for e in ends], "source_guid string, target_guid string, type string")
+    guids = spark.createDataFrame([("a",), ("b",)], "guid string")
+    found = stored_details._touching(edges, guids)
+    assert values(found) == values(edges.filter("source_guid IN ('a', 'b') OR target_guid IN ('a', 'b')"))
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from obsq.llm.common import map_texts, store
+from obsq.llm.common import discard, map_texts, store
 from obsq.llm.graph import components
 
 WIDTH = 4
@@ -57,7 +57,11 @@ def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
 
 def fingerprint(text: str, width: int = WIDTH) -> int:
     """A bit is 1 if it is set in over half the shingles' hashes; no shingles: 0."""
-    hashes = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; none of no hashes."""
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
@@ -96,7 +100,10 @@ def _close(a: str, b: str) -> Column:
 
 
 def near_components(fps: DataFrame) -> DataFrame:
-    """``fp, component`` of distinct fingerprints; a component is its smallest fingerprint."""
+    """``fp, component`` of distinct fingerprints; a component is its smallest fingerprint.
+
+    The rows are stored, for `discard`.
+    """
     indexed = store(fps.select("fp", F.explode(_variants(F.col("fp"))).alias("variant")))
     ends = indexed.groupBy("variant").agg(
         F.min("fp").alias("low"), F.max("fp").alias("high")
@@ -114,11 +121,13 @@ def near_components(fps: DataFrame) -> DataFrame:
         .distinct()
     )
     stars = store(stars)
-    found = store(components(stars))
+    linked = components(stars)
+    found = store(linked)
     placed = store(
         fps.join(found.withColumnRenamed("node", "fp"), "fp", "left")
         .select("fp", F.coalesce("component", "fp").alias("component"))
     )
+    discard(stars, linked, found)
     # variants all of whose fingerprints are joined already need no more looks
     listed = indexed.join(placed, "fp")
     closed = listed.groupBy("variant").agg(
@@ -133,10 +142,17 @@ def near_components(fps: DataFrame) -> DataFrame:
         & _close("one.fp", "other.fp"),
     ).select(F.col("other.component").alias("a"), F.col("one.component").alias("b")).distinct()
     late = store(late)
+    discard(indexed)
     if late.isEmpty():
+        discard(late)
         return placed
-    merged = components(late).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    return placed.join(merged, "component", "left").select("fp", F.coalesce("whole", "component").alias("component"))
+    linked = components(late)
+    merged = linked.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    whole = store(
+        placed.join(merged, "component", "left").select("fp", F.coalesce("whole", "component").alias("component"))
+    )
+    discard(late, linked, placed)
+    return whole
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", width: int = WIDTH) -> DataFrame:
@@ -153,6 +169,7 @@ def _grouped(docs: DataFrame, text: str, keep: list[Column], width: int = WIDTH)
     fps = store(marked.groupBy("fp").agg(F.min("id").alias("least")))
     placed = near_components(fps.select("fp"))
     members = store(placed.join(fps, "fp").select("fp", "least", "component"))
+    discard(placed)
     names = store(members.groupBy("component").agg(F.min("least").alias("component_id")))
     named = store(members.join(names, "component").select("fp", "component", "component_id"))
     return marked.join(named, "fp")

@@ -1,12 +1,17 @@
-"""Near-dedup by Jaccard similarity: documents that share 0.8 of their five-word shingles.
+"""Near-dedup by SimHash, checked and completed by Jaccard similarity: 0.8 of the five-word shingles.
 
-All pairs are found, none by chance. The shingles of a document are put in one
-order for the whole corpus; of two documents with similarity 0.8 or more, the
-first fifth of either (and one more) have a shingle in common. Documents that
-meet under such a shingle are candidates, and all are verified on their whole
-shingle sets. Shingles that many documents of a sample have come last in the
-order, so that a passage many documents quote is not what they meet under. The
-sample decides only how many candidates there are, not which pairs are found.
+Documents get a SimHash fingerprint of their five-word shingles, as in ``simhash``;
+those whose fingerprints are linked form groups, and each is compared with the
+first of its group on the whole shingle sets. Four bits link only the closest
+copies, so the rest of the pairs is found exactly, none by chance:
+
+- Of two documents with similarity 0.8 or more, the first three tenths of the
+  shingles of either by hash have a number in common that their sizes tell
+  (`early`). Documents that share fewer with all others have no near copy.
+- The shingles of the others are put in one order, the rarest first, by how many
+  of these documents have them. Of two similar ones, the first fifth of either
+  (and one more) have a shingle in common. Documents that meet under such a
+  shingle are candidates, and all are verified on their whole shingle sets.
 
 Equal sets are one node, whatever their number. In a few turns a node is first
 verified with two nodes only, of the first and last under each of its shingles in
@@ -31,17 +36,13 @@ from pyspark.sql import functions as F
 
 from obsq.llm.common import discard, map_texts, shuffles_freed, store, store_buckets
 from obsq.llm.graph import components
-from obsq.llm.simhash import _signed, shingle_hashes
+from obsq.llm.simhash import _signed, majority, near_components, shingle_hashes
 
 WIDTH = 5
 #: Counts of a set's shingles by the top bits of their hash; sets of similarity 0.8 have similar ones.
 BINS = 64
 #: Shares of the candidates whose sets are compared at a time, for the disk they take on the way.
 SHARES = 4
-#: Documents whose shingles are counted for the order, about.
-SAMPLE = 5_000
-#: A shingle comes last if so many documents of the sample have it, and at most so many do.
-COMMON, MOST_COMMON = 8, 100_000
 #: Most turns in which nodes are verified with two others before all pairs left are.
 TURNS = 5
 
@@ -50,11 +51,10 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text, WIDTH))
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of which a set of similarity 0.8 or more must have one in its own prefix."""
+def early(hashes: np.ndarray) -> np.ndarray:
+    """The smallest shingles of a set; sets of similarity 0.8 have `_known` or more of either's in common."""
     n = len(hashes)
-    late = np.isin(hashes, common)
-    return np.concatenate([hashes[~late], hashes[late]])[: n - _least(n) + 1] if n else hashes
+    return hashes[: n - _least(n) + max(1, n // 10)] if n else hashes
 
 
 def histogram(hashes: np.ndarray) -> np.ndarray:
@@ -67,6 +67,11 @@ def _least(n: int) -> int:
     return (4 * n + 4) // 5
 
 
+def _known() -> Column:
+    """How many shingles of `early` any set similar to one of ``n`` shares: its own tenth, if it has 0.8 of them."""
+    return F.greatest(F.lit(1), F.expr("(4 * n + 4) div 5 div 10"))
+
+
 def _longs(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
@@ -92,22 +97,6 @@ def _histograms_allow(f: str, g: str) -> Column:
     return _similar(F.aggregate(least, F.lit(0), lambda a, x: a + x))
 
 
-def common_shingles(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Sorted shingles that many documents of a sample have."""
-    parts = max(1, docs.count() // SAMPLE)
-    sample = docs.filter(F.pmod(F.xxhash64(F.col(text)), F.lit(parts)) == 0)
-
-    def per_text(texts: list[str]) -> list[list]:
-        return [[_longs(shingle_set(t)) for t in texts]]
-
-    found = (
-        map_texts(sample, text, [], "shingles array<long>", per_text)
-        .select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
-        .filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON)
-    ).collect()
-    return np.sort(np.array([r["shingle"] for r in found], np.int64).view(np.uint64))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar.
 
@@ -173,18 +162,75 @@ def _shared(rows: DataFrame, column: str) -> DataFrame:
     return rows.join(several, "token", "left_semi")
 
 
+def _with_copies(nodes: DataFrame) -> DataFrame:
+    """The nodes that can have a near copy, by the shingles of `early` that others share."""
+    tokens = nodes.select(F.explode("early").alias("token"), "node")
+    several = tokens.groupBy("token").count().filter("count > 1").select("token")
+    shared = tokens.join(several, "token", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+    return store(nodes.select("node", "n", "row", "fp").join(shared, "node").filter(F.col("shared") >= _known()).drop("shared"))
+
+
+def _hashed_alike(heads: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of a node with the first of its SimHash group and the first of its fingerprint."""
+    rows = heads.join(groups, "fp")
+    first = F.min(F.struct("node", "n")).alias("first")
+    pairs = [
+        rows.join(rows.groupBy(of).agg(first), of)
+        .filter((F.col("node") != F.col("first.node")) & _sizes_allow("n", "first.n"))
+        .select(F.col("node").alias("a"), F.col("first.node").alias("b"))
+        for of in ("component", "fp")
+    ]
+    return store(pairs[0].unionByName(pairs[1]).distinct())
+
+
+def _met(sets: DataFrame) -> DataFrame:
+    """``token, node, n, at`` of the shingles under which a node meets others, rarest first.
+
+    What only one node has comes before all of these and meets none.
+    """
+    tokens = sets.select(F.explode("shingles").alias("token"), "node", "n")
+    times = store(tokens.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1"))
+    # counted from the commonest, as the shingles of no other node are not listed
+    last = F.row_number().over(W.partitionBy("node").orderBy(F.desc("times"), F.desc("token")))
+    ordered = (
+        tokens.join(times, "token").withColumn("last", last).filter(F.expr("last >= (4 * n + 4) div 5"))
+        .select("token", "node", "n", (F.col("n") - F.col("last")).alias("at"))
+    )
+    listed = store(ordered)
+    met = store(_shared(listed, "node"))
+    discard(times, listed)
+    return met
+
+
+def _apart(left: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """Shingles under which nodes of more than one component meet, with the component of each."""
+    placed = components(reduce(DataFrame.unionByName, links))
+    found = store(placed)
+    discard(placed)
+    kept = store(_shared(
+        left.join(found, "node", "left")
+        .select("token", "node", "n", "at", F.coalesce("component", "node").alias("component")),
+        "component",
+    ))
+    discard(found)
+    return kept
+
+
 def similar_components(marked: DataFrame, texts: DataFrame) -> DataFrame:
     """``node, component`` of the nodes that are linked to another.
 
-    ``marked`` has ``row, node, n, prefix`` of every row and is discarded, ``texts`` has
+    ``marked`` has ``row, node, n, fp, early`` of every row and is discarded, ``texts`` has
     ``row, text``; ``row`` is a key that only equal rows share.
     """
-    nodes = store(marked.groupBy("node", "n").agg(F.first("prefix").alias("prefix"), F.min("row").alias("row")))
+    # equal sets of which words repeat differ in their fingerprints; one stands for them
+    nodes = store(
+        marked.groupBy("node", "n")
+        .agg(F.min("fp").alias("fp"), F.first("early").alias("early"), F.min("row").alias("row"))
+    )
     discard(marked)
-    tokens = nodes.select(F.posexplode("prefix").alias("at", "token"), "node", "n").select("token", "node", "n", "at")
-    met = store(_shared(tokens, "node"))
-    # one row of each node that meets another, to read its text by
-    heads = store(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "row"))
+    groups = near_components(nodes.select("fp").distinct())
+    # one row of each node that may have near copies, to read its text by
+    heads = _with_copies(nodes)
     discard(nodes)
 
     def per_text(batch: list[str]) -> list[list]:
@@ -197,10 +243,12 @@ def similar_components(marked: DataFrame, texts: DataFrame) -> DataFrame:
         .groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"))
     )
     sets = store_buckets(map_texts(once, "text", ["node", "n"], "shingles array<long>, bins array<int>", per_text), "node")
-    discard(heads)
-
-    links: list[DataFrame] = []
-    left = met.withColumn("component", F.col("node"))
+    alike = _hashed_alike(heads, groups)
+    discard(heads, groups)
+    links = [_verified(alike, sets)]
+    discard(alike)
+    met = _met(sets)
+    left = _apart(met, links)
     for turn in range(TURNS):
         promising = _tries(left, met, turn)
         new = _verified(promising, sets)
@@ -208,16 +256,9 @@ def similar_components(marked: DataFrame, texts: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
         links.append(new)
-        placed = components(reduce(DataFrame.unionByName, links))
-        found = store(placed)
-        discard(placed)
         # shingles all of whose nodes are joined already need no more looks
-        kept = store(_shared(
-            left.drop("component").join(found, "node", "left")
-            .select("token", "node", "n", "at", F.coalesce("component", "node").alias("component")),
-            "component",
-        ))
-        discard(left, found)
+        kept = _apart(left.drop("component"), links)
+        discard(left)
         left = kept
     other = left.select(
         "token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("component").alias("d")
@@ -237,18 +278,19 @@ def similar_components(marked: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _heads(docs: DataFrame, text: Column, own: list[Column], row: Column) -> DataFrame:
     """``row`` of one document of each group; that is a key which only equal rows share."""
-    common = common_shingles(docs)
 
     def per_text(texts: list[str]) -> list[list]:
-        columns: list[list] = [[], [], []]
+        columns: list[list] = [[], [], [], []]
         for t in texts:
-            hashes = shingle_set(t)
+            every = shingle_hashes(t, WIDTH)
+            hashes = np.unique(every)
             node = _signed(xxhash.xxh64_intdigest(hashes.tobytes()))
-            for column, value in zip(columns, [node, len(hashes), _longs(prefix(hashes, common))]):
+            values = [node, len(hashes), _signed(majority(every)), _longs(early(hashes))]
+            for column, value in zip(columns, values):
                 column.append(value)
         return columns
 
-    marked = store(map_texts(docs, "text", [*own, row], "node long, n long, prefix array<long>", per_text))
+    marked = store(map_texts(docs, "text", [*own, row], "node long, n long, fp long, early array<long>", per_text))
     ids = store(marked.select("node", "row", "id", "h", "g"))
     placed = similar_components(marked, docs.select(row, text.alias("text")))
     found = store(placed)
@@ -264,6 +306,8 @@ def _heads(docs: DataFrame, text: Column, own: list[Column], row: Column) -> Dat
 def drop_similar(docs: DataFrame) -> DataFrame:
     """One document of each group linked by similarities of 0.8 or more, columns as they came.
 
+    Links are found by SimHash and verified, then completed by shingles (see above).
+
     It is the one with the smallest id. A null id is larger than any; of documents
     with one id, null or repeated, the one with the smaller hash of its text counts
     as smaller. Equal texts under one id are one document, of which one row stays.

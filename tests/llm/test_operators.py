@@ -202,6 +202,43 @@ def test_near_copies_at_the_similarity_of_the_pipeline(spark, sample_dir):
     assert similar.drop_similar(frame.limit(0)).count() == 0
 
 
+def test_near_dedup_of_the_pipeline_goes_through_simhash(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join(base[:-1] + ["other"]), " ".join(f"v{i}" for i in rng.integers(0, 900, 300))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashed, checked = [], []
+    found, verified = similar.near_components, similar._verified
+    monkeypatch.setattr(similar, "near_components", lambda fps: hashed.append([r["fp"] for r in fps.collect()]) or found(fps))
+    monkeypatch.setattr(similar, "_verified", lambda pairs, sets: checked.append(pairs.count()) or verified(pairs, sets))
+    assert [r["doc_id"] for r in similar.drop_similar(frame).orderBy("doc_id").collect()] == [0, 2]
+    assert sorted(hashed[0]) == sorted(simhash._signed(simhash.fingerprint(t, 5)) for t in texts)
+    # the near copy is found by its fingerprint and verified; what follows has no pair left
+    assert checked[0] == 1 and not any(checked[1:])
+
+
+def test_similar_sets_share_early_shingles():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        one = rng.integers(0, 2**63, n).astype(np.uint64)
+        keep = one[: max(1, int(np.ceil(0.8 * n)) + int(rng.integers(0, n // 5 + 1)))]
+        two = np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, n // 5 + 1))).astype(np.uint64)]))
+        one = np.unique(one)
+        if 10 * len(np.intersect1d(one, two)) >= 8 * len(np.union1d(one, two)):
+            shared = len(np.intersect1d(similar.early(one), similar.early(two)))
+            assert all(shared >= max(1, (4 * k + 4) // 5 // 10) for k in (len(one), len(two)))
+
+
+def test_shingles_that_many_documents_share_are_not_what_near_copies_meet_under(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"u{i}_{j}" for j in range(40))) for i in range(50)]
+    sets = [(i, len(s), similar._longs(s).tolist()) for i, s in ((i, similar.shingle_set(t)) for i, t in rows)]
+    assert similar._met(spark.createDataFrame(sets, "node long, n long, shingles array<long>")).count() == 0
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert similar.drop_similar(frame).count() == 50
+
+
 def test_one_document_of_each_group_stays_whatever_its_id(spark):
     far = ["one two three four five six", "seven eight nine ten eleven", "red green blue black white", "up down left right"]
     rows = [

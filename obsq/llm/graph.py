@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from obsq.llm.common import discard, from_scratch, store
 
+#: Most links that are joined in one task, without a shuffle.
+FEW = 1 << 15
+
 
 def _largest_to_smallest(links: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour."""
@@ -35,6 +42,29 @@ def _all_stars(links: DataFrame) -> bool:
     return seen.filter((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)).isEmpty()
 
 
+def _joined(links: DataFrame) -> DataFrame:
+    """The stars of ``FEW`` links or less, by union-find in one task."""
+    arrow = to_arrow_schema(links.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(node):
+            while (up := parent.setdefault(node, node)) != node:
+                parent[node] = node = parent[up]
+            return node
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+        stars = [(node, root(node)) for node in parent if root(node) != node]
+        columns = list(zip(*stars)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
+
+    return links.coalesce(1).mapInArrow(run, links.schema)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` of every linked node; a component is its smallest node.
 
@@ -42,10 +72,16 @@ def components(links: DataFrame) -> DataFrame:
     joins of the links on a node, their table written in between; a node with very
     many links is a hot join key that AQE splits, and its smallest neighbour comes
     from partial aggregates. The number of rounds grows with the logarithm of the
-    longest chain; links that are stars already take none.
+    longest chain; links that are stars already take none. ``FEW`` links take no round
+    either, as the tasks of its shuffles would cost more than the links: one task joins them.
     """
     links = store(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while not _all_stars(links):
+    few = links.count() <= FEW
+    if few:
+        stars = store(_joined(links))
+        discard(links)
+        links = stars
+    while not few and not _all_stars(links):
         # repeats of a link are dropped once a round
         wide = store(_largest_to_smallest(links))
         discard(links)

@@ -15,8 +15,8 @@ copies, so the rest of the pairs is found exactly, none by chance:
 
 Equal sets are one node, whatever their number. In a few turns a node is first
 verified with two nodes only, of the first and last under each of its shingles in
-an order of the turn, which is linear and joins most of a large group of copies.
-What is still in different components then meets under the shingles where more
+an order of the turn, which is linear and joins most of a large group of copies;
+no further turn is taken once one hardly lowers the number of pairs left. What is still in different components then meets under the shingles where more
 than one component is left. Sets are compared only where the number of shingles
 shared in the prefixes allows 0.8.
 
@@ -41,10 +41,16 @@ from obsq.llm.simhash import _signed, majority, near_components, shingle_hashes
 WIDTH = 5
 #: Counts of a set's shingles by the top bits of their hash; sets of similarity 0.8 have similar ones.
 BINS = 64
-#: Shares of the candidates whose sets are compared at a time, for the disk they take on the way.
+#: Candidates are compared in shares of so many shingles, for the disk they take on the way, ...
+SHARE = 1 << 22
+#: ... but in so many shares at most.
 SHARES = 4
 #: Most turns in which nodes are verified with two others before all pairs left are.
 TURNS = 5
+#: No turn is taken where the shingles left make no more pairs than this times their rows, ...
+FEW_PAIRS = 4
+#: ... or where the last turn left more than this of them.
+STALLED = 0.9
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -102,7 +108,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     Histograms are compared first; they travel in place of the sets of most pairs. The
     sets are in buckets of their node, so what travels is one set for each pair left,
-    and that in a few shares, one after the other.
+    and that in a few shares, one after the other, if the sets are large or many.
     """
 
     def side(node: str, size: str, column: str, name: str) -> DataFrame:
@@ -110,17 +116,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     close = store(
         pairs.select("a", "b").join(side("a", "n", "bins", "f"), "a").join(side("b", "m", "bins", "g"), "b")
-        .filter(_histograms_allow("f", "g")).select("a", "b")
+        .filter(_histograms_allow("f", "g")).select("a", "b", (F.col("n") + F.col("m")).alias("both"))
     )
+    size = close.agg(F.sum("both")).first()[0] or 0
+    shares = max(1, min(SHARES, -(-size // SHARE)))
     found = [
         store(
-            close.filter(F.pmod(F.xxhash64("b"), F.lit(SHARES)) == share)
+            close.filter(F.pmod(F.xxhash64("b"), F.lit(shares)) == share).select("a", "b")
             .join(side("a", "n", "shingles", "s"), "a").join(side("b", "m", "shingles", "t"), "b")
             .filter(_similar(F.size(F.array_intersect("s", "t")))).select("a", "b")
         )
-        for share in range(SHARES)
+        for share in range(shares)
     ]
     discard(close)
+    if shares == 1:
+        return found[0]
     whole = store(reduce(DataFrame.unionByName, found))
     discard(*found)
     return whole
@@ -202,18 +212,29 @@ def _met(sets: DataFrame) -> DataFrame:
     return met
 
 
-def _apart(left: DataFrame, links: list[DataFrame]) -> DataFrame:
+def _joined(new: DataFrame, *linked: DataFrame) -> DataFrame:
+    """``node, component`` by new links and what is linked already, stored; the others are discarded."""
+    stars = [rows.select(F.col("node").alias("a"), F.col("component").alias("b")) for rows in linked]
+    whole = components(reduce(DataFrame.unionByName, stars, new))
+    found = store(whole)
+    discard(new, whole, *linked)
+    return found
+
+
+def _apart(left: DataFrame, linked: DataFrame) -> DataFrame:
     """Shingles under which nodes of more than one component meet, with the component of each."""
-    placed = components(reduce(DataFrame.unionByName, links))
-    found = store(placed)
-    discard(placed)
-    kept = store(_shared(
-        left.join(found, "node", "left")
+    return store(_shared(
+        left.join(linked, "node", "left")
         .select("token", "node", "n", "at", F.coalesce("component", "node").alias("component")),
         "component",
     ))
-    discard(found)
-    return kept
+
+
+def _meetings(left: DataFrame) -> tuple[int, float]:
+    """How many rows the shingles left have, and how many pairs these make at most."""
+    n = F.col("count")
+    found = left.groupBy("token").count().agg(F.sum(n).alias("rows"), F.sum(n * (n - 1) / 2).alias("pairs")).first()
+    return found["rows"] or 0, found["pairs"] or 0
 
 
 def similar_components(marked: DataFrame, texts: DataFrame) -> DataFrame:
@@ -245,19 +266,26 @@ def similar_components(marked: DataFrame, texts: DataFrame) -> DataFrame:
     sets = store_buckets(map_texts(once, "text", ["node", "n"], "shingles array<long>, bins array<int>", per_text), "node")
     alike = _hashed_alike(heads, groups)
     discard(heads, groups)
-    links = [_verified(alike, sets)]
+    new = _verified(alike, sets)
     discard(alike)
+    linked = _joined(new)
     met = _met(sets)
-    left = _apart(met, links)
+    left = _apart(met, linked)
+    before = float("inf")
     for turn in range(TURNS):
+        rows, meetings = _meetings(left)
+        if meetings <= FEW_PAIRS * rows or meetings > STALLED * before:
+            break
+        before = meetings
         promising = _tries(left, met, turn)
         new = _verified(promising, sets)
         discard(promising)
         if new.isEmpty():
+            discard(new)
             break
-        links.append(new)
+        linked = _joined(new, linked)
         # shingles all of whose nodes are joined already need no more looks
-        kept = _apart(left.drop("component"), links)
+        kept = _apart(left.drop("component"), linked)
         discard(left)
         left = kept
     other = left.select(
@@ -269,11 +297,9 @@ def similar_components(marked: DataFrame, texts: DataFrame) -> DataFrame:
         .filter((F.col("component") < F.col("d")) & _sizes_allow("n", "m") & _in_order("at", "bt"))
         .select("a", "b").distinct()
     )
-    links.append(_verified(pairs, sets))
+    new = _verified(pairs, sets)
     discard(pairs, left, met, sets)
-    placed = components(reduce(DataFrame.unionByName, links))
-    discard(*links)
-    return placed
+    return _joined(new, linked)
 
 
 def _heads(docs: DataFrame, text: Column, own: list[Column], row: Column) -> DataFrame:
@@ -293,13 +319,12 @@ def _heads(docs: DataFrame, text: Column, own: list[Column], row: Column) -> Dat
     marked = store(map_texts(docs, "text", [*own, row], "node long, n long, fp long, early array<long>", per_text))
     ids = store(marked.select("node", "row", "id", "h", "g"))
     placed = similar_components(marked, docs.select(row, text.alias("text")))
-    found = store(placed)
     smallest = F.struct(F.col("id").isNull(), "id", "h", "g")
     heads = store(
-        ids.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
+        ids.join(placed, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
         .agg(F.min_by("row", smallest).alias("row")).select("row")
     )
-    discard(ids, placed, found)
+    discard(ids, placed)
     return heads
 
 

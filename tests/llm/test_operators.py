@@ -217,6 +217,40 @@ def test_near_dedup_of_the_pipeline_goes_through_simhash(spark, monkeypatch):
     assert checked[0] == 1 and not any(checked[1:])
 
 
+def test_few_near_copies_take_few_jobs(spark):
+    # each copy is similar to its neighbours only, so their links are a long chain
+    words = [f"w{i}" for i in range(600)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 200])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    context = spark.sparkContext
+    context.setJobGroup("few near copies", "")
+    try:
+        assert [r["doc_id"] for r in similar.drop_similar(frame).collect()] == [0]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    # what a job costs whatever its rows adds up: its tasks and their files, shuffles and log
+    assert len(context.statusTracker().getJobIdsForGroup("few near copies")) < 130
+
+
+def test_shares_and_turns_do_not_change_what_stays(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in rng.integers(0, 3000, 120)]
+    rows = []
+    for i in range(60):
+        copy = list(words) if i < 45 else [f"v{j}" for j in rng.integers(0, 3000, 120)]
+        for at in rng.integers(0, 120, i % 5):
+            copy[at] = f"x{rng.integers(10**6)}"
+        rows.append((i, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in similar.drop_similar(frame).collect())
+    monkeypatch.setattr(similar, "SHARE", 1)
+    monkeypatch.setattr(similar, "FEW_PAIRS", -1)
+    monkeypatch.setattr(similar, "STALLED", 1.0)
+    monkeypatch.setattr(similar, "TURNS", 2)
+    monkeypatch.setattr("obsq.llm.graph.FEW", -1)
+    assert sorted(r["doc_id"] for r in similar.drop_similar(frame).collect()) == kept
+
+
 def test_similar_sets_share_early_shingles():
     rng = np.random.default_rng(6)
     for _ in range(300):
@@ -274,6 +308,21 @@ def test_components(spark, links):
     assert {r.node: r.component for r in rows} == {n: root(n) for n in parent}
 
 
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(n + 1000, n + 1001) for n in range(30)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    monkeypatch.setattr("obsq.llm.graph.FEW", -1)
+    rounds = sorted(components(frame).collect())
+    monkeypatch.setattr("obsq.llm.graph.FEW", len(links))
+
+    def none(links):
+        raise AssertionError("few links take no round")
+
+    monkeypatch.setattr("obsq.llm.graph._largest_to_smallest", none)
+    assert sorted(components(frame).collect()) == rounds
+
+
 def test_quality(spark, docs, labels):
     got = quality.quality_rules(docs, labels)
     want = []
